@@ -160,16 +160,19 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
           for name, share in wanted.items()])
 
 
-Step = Callable[[pd.DataFrame, object], tuple[pd.DataFrame, object]]
+# step(state, *used values) -> (added values, or None to drop the row; state for the next row)
+Step = Callable[..., tuple[tuple | None, object]]
 
 
-def ordered_fold(df: DataFrame, keys: Sequence[str], idx: str, step: Step, schema: str,
-                 *, block_rows: int = BLOCK_ROWS, one_record_per_key: bool = False) -> DataFrame:
+def ordered_fold(df: DataFrame, keys: Sequence[str], idx: str, uses: Sequence[str], step: Step,
+                 adds: str = "", *, block_rows: int = BLOCK_ROWS,
+                 one_record_per_key: bool = False) -> DataFrame:
     """Left-to-right pass per key where each row's fate depends on what was kept before.
 
-    ``step(rows, state) -> (kept rows, state)`` sees one block in ``idx`` order; ``state`` is
-    a small JSON value, ``None`` at the start of a key. ``idx`` must be dense from 0, so a key
-    spans several blocks exactly when it has a row at position ``block_rows``.
+    ``step`` sees the ``uses`` columns of one row and a small JSON-like state, ``None`` at the
+    start of a key. Rows stream through each task in ``idx`` order, so a task holds one batch.
+    ``idx`` must be dense from 0: a key spans several blocks exactly when it has a row at
+    position ``block_rows``.
 
     Blocks of such keys run in parallel on the state their left neighbour last produced; the
     blocks whose incoming state changed run again until none does. Greedy passes forget their
@@ -178,59 +181,84 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], idx: str, step: Step, schem
     ``one_record_per_key`` is for keys cut out of one input record (the lines of a document),
     which one task has already held.
     """
-    keys = list(keys)
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return step(pdf.sort_values(idx, kind="stable"), None)[0]
-
-    if one_record_per_key:
-        return df.groupBy(*keys).applyInPandas(whole, schema)
-    long_keys = df.where(F.col(idx) == block_rows).select(*keys)
-    if long_keys.isEmpty():
-        return df.groupBy(*keys).applyInPandas(whole, schema)
-
-    blocked = df.withColumn("__block", _block(idx, block_rows))
-    entries = _settle_blocks(blocked, long_keys, keys, idx, step)
-
-    def from_entry(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        state = json.loads(entry["__in"].iloc[0]) if len(entry) else None
-        return step(rows.drop(columns="__block").sort_values(idx, kind="stable"), state)[0]
-
-    group = [*keys, "__block"]
-    return blocked.groupBy(*group).cogroup(entries.groupBy(*group)).applyInPandas(
-        from_entry, schema)
-
-
-def _settle_blocks(blocked: DataFrame, long_keys: DataFrame, keys: list[str], idx: str,
-                   step: Step) -> DataFrame:
+    keys, uses = list(keys), list(uses)
+    if not one_record_per_key:
+        df = cut_lineage(df)
+        if not df.where(F.col(idx) == block_rows).isEmpty():
+            blocked = df.withColumn("__block", _block(idx, block_rows))
+            entries = _settle_blocks(blocked, keys, idx, uses, step, block_rows)
+            group = [*keys, "__block"]
+            return _stream(blocked.join(entries, group, "left"), group, idx, uses, step, adds, "__in").drop(
+                "__block", "__in")
+    return _stream(df, keys, idx, uses, step, adds, None)
+
+
+def _stream(df: DataFrame, group: list[str], idx: str, uses: list[str], step: Step, adds: str,
+            entry: str | None) -> DataFrame:
+    """Run ``step`` over the rows of each group; groups never share a state."""
+    added = T._parse_datatype_string(adds).fields if adds else []
+    schema = T.StructType([*df.schema.fields, *added])
+    names = [f.name for f in added]
+
+    def run(batches):
+        current, state = None, None
+        for batch in batches:
+            ids = list(zip(*[batch[k] for k in group]))
+            entries = list(batch[entry]) if entry else None
+            keep, made = [], []
+            for at, values in enumerate(zip(*[batch[c] for c in uses])):
+                if ids[at] != current:
+                    current = ids[at]
+                    state = json.loads(entries[at]) if entries and entries[at] else None
+                out, state = step(state, *values)
+                keep.append(out is not None)
+                if out is not None:
+                    made.append(out)
+            kept = batch[keep]
+            if names:
+                columns = list(zip(*made)) if made else [[] for _ in names]
+                kept = kept.assign(**{n: pd.Series(list(c), index=kept.index, dtype=object)
+                                      for n, c in zip(names, columns)})
+            yield kept
+
+    return df.repartition(*group).sortWithinPartitions(*group, idx).mapInPandas(run, schema)
+
+
+def _settle_blocks(blocked: DataFrame, keys: list[str], idx: str, uses: list[str], step: Step,
+                   block_rows: int) -> DataFrame:
     """The incoming state of every block of the long keys, as (keys, __block, __in)."""
     group = [*keys, "__block"]
     schema = T.StructType(
         [f for f in blocked.schema.fields if f.name in group]
         + [T.StructField("__in", T.StringType()), T.StructField("__out", T.StringType())])
-    order = [f.name for f in schema.fields]
-    rows = blocked.join(long_keys, keys, "left_semi")
-
-    def close(block: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(block):
-            return pd.DataFrame(columns=order)
-        given = entry["__in"].iloc[0] if len(entry) else "null"
-        ordered = block.sort_values(idx, kind="stable")
-        out = json.dumps(step(ordered.drop(columns="__block"), json.loads(given))[1], sort_keys=True)
-        head = {name: ordered[name].iloc[0] for name in group}
-        return pd.DataFrame([{**head, "__in": given, "__out": out}])[order]
-
-    states = cut_lineage(rows.groupBy(*group).applyInPandas(
-        lambda block: close(block, pd.DataFrame()), schema))
+    group = [f.name for f in schema.fields][:-2]
+    long_keys = blocked.where(F.col(idx) == block_rows).select(*keys)
+    rows = blocked.select(*dict.fromkeys([*group, idx, *uses])).join(long_keys, keys, "left_semi")
+
+    def close(batches):
+        current, given, state = None, None, None
+        for batch in batches:
+            ended = []
+            ids = zip(*[batch[k] for k in group])
+            for who, entry, values in zip(ids, batch["__in"], zip(*[batch[c] for c in uses])):
+                if who != current:
+                    if current is not None:
+                        ended.append((*current, given, json.dumps(state, sort_keys=True)))
+                    current, given = who, entry or "null"
+                    state = json.loads(given)
+                _, state = step(state, *values)
+            yield pd.DataFrame(ended, columns=schema.names)
+        if current is not None:
+            yield pd.DataFrame([(*current, given, json.dumps(state, sort_keys=True))], columns=schema.names)
+
+    def closed(part: DataFrame) -> DataFrame:
+        return cut_lineage(part.repartition(*group).sortWithinPartitions(*group, idx).mapInPandas(close, schema))
+
+    states = closed(rows.withColumn("__in", F.lit(None).cast("string")))
     while True:
-        offered = states.select(
-            *keys, (F.col("__block") + 1).alias("__block"), F.col("__out").alias("__offer"))
-        stale = cut_lineage(
-            states.join(offered, group).where("__in <> __offer")
-            .select(*group, F.col("__offer").alias("__in")))
+        offered = states.select(*keys, (F.col("__block") + 1).alias("__block"), F.col("__out").alias("__offer"))
+        stale = cut_lineage(states.join(offered, group).where("__in <> __offer").select(
+            *group, F.col("__offer").alias("__in")))
         if stale.isEmpty():
             return states.select(*group, "__in")
-        redone = (
-            rows.join(stale, group, "left_semi").groupBy(*group)
-            .cogroup(stale.groupBy(*group)).applyInPandas(close, schema))
-        states = cut_lineage(states.join(stale, group, "left_anti").unionByName(redone))
+        states = cut_lineage(states.join(stale, group, "left_anti").unionByName(closed(rows.join(stale, group))))

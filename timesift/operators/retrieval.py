@@ -148,13 +148,15 @@ def lexical_rank(questions: DataFrame, segments: DataFrame, limit: int = fixed.L
     negating = text.strings(fixed.NEGATION)
     denied = asked.where(F.arrays_overlap("terms", negating)).select("question_id")
     # A negating segment that matches nothing else scores 1, so only the earliest ``limit`` of a
-    # source can still be ranked; those that do match are covered by the other branches.
-    negated = docs.where(F.arrays_overlap("tokens", negating)).select("source_id", "seg_idx", "start_s")
+    # source can still be ranked; those that do match come through the other branches.
+    negated = docs.where(F.arrays_overlap("tokens", negating)).select(
+        "source_id", "seg_idx", "start_s", F.array_intersect("tokens", negating).alias("words"))
     early = Window.partitionBy("source_id").orderBy("start_s", "seg_idx")
     first_ones = negated.withColumn("__r", F.row_number().over(early)).where(F.col("__r") <= limit).select(
-        "source_id", "seg_idx")
+        "source_id", "seg_idx", F.get("words", F.lit(0)).alias("word"))
     matched = by_term.unionByName(by_number)
-    lone = denied.withColumn("k", F.lit(1)).join(first_ones.withColumn("k", F.lit(1)), "k").select(*PAIR, "seg_idx")
+    lone = denied.select("question_id", F.explode(negating).alias("word")).join(first_ones, "word").select(
+        *PAIR, "seg_idx")
     scored = matched.unionByName(lone.withColumn("part", F.lit(0.0))).groupBy(*PAIR, "seg_idx").agg(
         F.sum("part").alias("part"))
     both = scored.join(denied.withColumn("__q", F.lit(1.0)), "question_id", "left").join(

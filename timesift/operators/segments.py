@@ -6,7 +6,6 @@ Segments are ``(source_id, seg_idx, start_s, end_s, text)`` with ``seg_idx`` den
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,37 +84,24 @@ def _without_overlap(before: str, text: str) -> str:
     return text
 
 
-def rolling_step(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
-    """Pass for rolling captions; the state is the text and position of the last kept cue."""
-    kept_text, kept_at = (state["text"], state["at"]) if state else (None, None)
-    keepers, texts = [], []
-    for at, text in zip(rows["seg_idx"], rows["text"]):
-        if kept_text is not None:
-            half = text[: len(text) // 2]
-            inside = text in kept_text or (half and kept_text.endswith(half))
-            text = "" if inside else _without_overlap(kept_text, text)
-            if not text:
-                keepers.append(kept_at)
-                texts.append(None)
-                continue
-        kept_text, kept_at = text, int(at)
-        keepers.append(kept_at)
-        texts.append(text)
-    out = rows.drop(columns="text").assign(keeper=keepers, kept_text=texts)
-    return out, {"text": kept_text, "at": kept_at}
+def rolling_step(state, at: int, text: str):
+    """Pass for rolling captions; the state is the last kept text and its position."""
+    if state is not None:
+        kept, keeper = state
+        half = text[: len(text) // 2]
+        inside = text in kept or (half and kept.endswith(half))
+        text = "" if inside else _without_overlap(kept, text)
+        if not text:
+            return (keeper, None), state
+    return (int(at), text), [text, int(at)]
 
 
 def collapse_rolling(segments: DataFrame, one_record: bool = False) -> DataFrame:
     """Drop cues contained in the last kept one and strip repeated openings."""
     slim = segments.select("source_id", "seg_idx", "start_s", "end_s", "text")
-    if not one_record:
-        slim = slim.drop("start_s", "end_s")
-    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.drop("text").schema.fields)
-    timed = ordered_fold(slim, KEY, "seg_idx", rolling_step, kept + ", keeper int, kept_text string",
-                         one_record_per_key=one_record)
-    if not one_record:
-        timed = timed.join(segments.select("source_id", "seg_idx", "start_s", "end_s"), ["source_id", "seg_idx"])
-    timed = timed.withColumnRenamed("seg_idx", "__at")
+    marked = ordered_fold(slim, KEY, "seg_idx", ["seg_idx", "text"], rolling_step,
+                          "keeper int, kept_text string", one_record_per_key=one_record)
+    timed = marked.withColumnRenamed("seg_idx", "__at")
     return timed.groupBy("source_id", F.col("keeper").alias("seg_idx")).agg(
         F.min_by("start_s", "__at").alias("start_s"), F.max("end_s").alias("end_s"),
         F.max("kept_text").alias("text"))
@@ -233,27 +219,18 @@ def attach_chapters(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     return placed.withColumn("chapter_id", F.coalesce("chapter_id", F.lit(0)))
 
 
-def span_step(rows: pd.DataFrame, state) -> tuple[pd.DataFrame, object]:
+def span_step(state, at: int, start: float, chapter: int):
     """Greedy 30 s spans; the state is the open span's chapter, start and first position."""
-    chapter, start, first = (state["chapter"], state["start"], state["first"]) if state else (None, 0.0, None)
-    firsts = []
-    for at, begins, owner in zip(rows["seg_idx"], rows["start_s"], rows["chapter_id"]):
-        if owner != chapter or begins - start >= fixed.SPAN_SECONDS:
-            chapter, start, first = int(owner), float(begins), int(at)
-        firsts.append(first)
-    return rows.assign(first_seg=firsts), {"chapter": chapter, "start": start, "first": first}
+    if state is None or chapter != state[0] or start - state[1] >= fixed.SPAN_SECONDS:
+        state = [int(chapter), float(start), int(at)]
+    return (state[2],), state
 
 
 def build_spans(segments: DataFrame, one_record: bool = False) -> DataFrame:
     """Spans of about 30 s inside one chapter, from segments with ``chapter_id``."""
     slim = segments.select("source_id", "seg_idx", "start_s", "end_s", "chapter_id", "text")
-    if not one_record:
-        slim = slim.drop("end_s", "text")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema.fields)
-    parts = ordered_fold(slim, KEY, "seg_idx", span_step, schema + ", first_seg int",
-                         one_record_per_key=one_record)
-    if not one_record:
-        parts = parts.join(segments.select("source_id", "seg_idx", "end_s", "text"), ["source_id", "seg_idx"])
+    parts = ordered_fold(slim, KEY, "seg_idx", ["seg_idx", "start_s", "chapter_id"], span_step,
+                         "first_seg int", one_record_per_key=one_record)
     line = F.struct("seg_idx", "text")
     spans = parts.groupBy("source_id", "first_seg").agg(
         F.min("chapter_id").alias("chapter_id"), F.min_by("start_s", "seg_idx").alias("start_s"),
