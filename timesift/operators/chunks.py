@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, identity, text
@@ -281,8 +281,9 @@ def preferred_tracks(tracks: DataFrame, languages: list[str]) -> DataFrame:
             exact = exact | low.contains(f".{tag}.")
             orig = orig | low.contains(f".{tag}-orig.")
         place = F.when(exact, 2 * i).when(orig, 2 * i + 1).otherwise(place)
-    order = Window.partitionBy("source_id").orderBy("__p", "name")
-    return tracks.withColumn("__p", place).withColumn("rank", F.row_number().over(order)).drop("__p")
+    placed = row_index(tracks.withColumn("__p", place), KEY, [F.col("__p"), F.col("name")],
+                       F.struct(F.col("__p"), F.substring("name", 1, 7)), "rank")
+    return placed.withColumn("rank", (F.col("rank") + 1).cast("int")).drop("__p")
 
 
 def track_provenance(code: Column, manual: Column, automatic: Column, video_language: Column) -> Column:

@@ -7,7 +7,7 @@ read the signature column only inside the fold; nothing compares all pairs.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, measures
@@ -93,9 +93,8 @@ def gap_fill(marked: DataFrame, limits: DataFrame) -> DataFrame:
             F.col("h.b").alias("b"), "floor_s").where("b - a > floor_s"))
     if found is None:
         return slim.select("source_id", "idx", "ts").limit(0)
-    order = Window.partitionBy("source_id").orderBy("gap", "path")
-    return found.join(limits, "source_id").withColumn("__n", F.row_number().over(order)).where(
-        "__n <= max_fill").select("source_id", "idx", "ts")
+    placed = row_index(found, KEY, [F.col("gap"), F.col("path")], F.floor(F.col("gap") / 65536), "__n")
+    return placed.join(limits, "source_id").where("__n < max_fill").select("source_id", "idx", "ts")
 
 
 def even_sample(rows: DataFrame, wanted: Column, order: str = "idx") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, text
+from timesift.operators.keyed import row_index
 
 PAIR = ["question_id", "source_id"]
 
@@ -79,8 +80,8 @@ def chapter_ranks(scores: DataFrame) -> DataFrame:
     best_two = scores.withColumn("__r", F.row_number().over(inside)).where("__r <= 2")
     tops = best_two.groupBy(*PAIR, "chapter_id").agg(
         F.max("score").alias("best"), F.round(F.sum("score"), 6).alias("top_two"))
-    order = Window.partitionBy(*PAIR).orderBy(F.desc("best"), F.desc("top_two"), "chapter_id")
-    return tops.withColumn("rank", F.row_number().over(order) - 1)
+    return row_index(tops, PAIR, [F.desc("best"), F.desc("top_two"), F.col("chapter_id")],
+                     -F.floor(F.col("best") * 10), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def _edit_keys(word: Column) -> Column:
