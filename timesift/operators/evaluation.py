@@ -9,12 +9,12 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, identity, measures
 from timesift.operators.chunks import overlapping
-from timesift.operators.keyed import order_statistics
+from timesift.operators.keyed import order_statistics, row_index
 
 CASE_ARM = ["case_id", "arm"]
 GOOD = ["success", "degraded"]
@@ -129,8 +129,8 @@ def bootstrap_drawn(families: DataFrame, seed: int, replicates: int = fixed.BOOT
 
     Draw ``j`` of replicate ``r`` takes the family at ``sha256(seed:metric:r:j)`` modulo the number of families.
     """
-    place = Window.partitionBy("metric").orderBy("family_id")
-    numbered = families.withColumn("j", (F.row_number().over(place) - 1).cast("long"))
+    spread = F.substring(F.sha2(F.col("family_id").cast("string"), 256), 1, 2)
+    numbered = row_index(families, ["metric"], [spread, F.col("family_id")], spread, "j")
     sizes = families.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
     draws = numbered.join(sizes, "metric").select(
         "metric", "n", "j", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r"))
@@ -190,7 +190,8 @@ def asr_gate(rows: DataFrame) -> DataFrame:
 
     bounds = edge.agg((of("candidate", "median") - of("control", "median")).alias("median_delta"),
                       (of("candidate", "p95") - of("control", "p95")).alias("p95_delta"))
-    one = overall.crossJoin(language).crossJoin(bounds)
+    parts = overall.unionByName(language, allowMissingColumns=True).unionByName(bounds, allowMissingColumns=True)
+    one = parts.agg(*[F.max(c).alias(c) for c in ("cases", "wer_delta_points", "language_pass", "median_delta", "p95_delta")])
     return one.withColumn("pass", (F.col("wer_delta_points") <= 1.0) & F.col("language_pass")
                           & (F.col("median_delta") <= 0.25) & (F.col("p95_delta") <= 1.0))
 
@@ -246,7 +247,8 @@ def kappa(rows: DataFrame) -> DataFrame:
     human = table.groupBy(F.col("human").alias("label")).agg(F.sum("n").alias("h"))
     grader = table.groupBy(F.col("grader").alias("label")).agg(F.sum("n").alias("g"))
     chance = human.join(grader, "label").agg(F.coalesce(F.sum(F.col("h") * F.col("g")), F.lit(0)).alias("hg"))
-    both = whole.crossJoin(chance).where("n >= 20")
+    both = whole.unionByName(chance, allowMissingColumns=True).agg(
+        F.max("n").alias("n"), F.max("same").alias("same"), F.max("hg").alias("hg")).where("n >= 20")
     accuracy, expected = F.col("same") / F.col("n"), F.col("hg") / (F.col("n") * F.col("n"))
     value = F.when(expected < 1, (accuracy - expected) / (1 - expected)).otherwise(1.0)
     return both.select(F.col("n").alias("dual_cases"), accuracy.alias("accuracy"), value.alias("kappa")).withColumn(

@@ -126,7 +126,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
         .withColumn("__upto", F.sum("__n").over(by_key))
     )
     totals = rows.groupBy(*keys).agg(F.sum("__m").alias("n"))
-    hist = hist.join(totals, keys) if keys else hist.crossJoin(totals)
+    hist = hist.join(totals, keys)
     n = F.col("n")
     ranks = []
     for name, share in wanted.items():

@@ -114,7 +114,7 @@ def bootstrap_lower(spark, sf):
 
 
 @query("bootstrap_draws", sql(_DELTA + """,
-fam AS (SELECT family_id, round(avg(delta), 9) AS delta, row_number() OVER (ORDER BY family_id) - 1 AS j FROM delta WHERE delta IS NOT NULL GROUP BY family_id),
+fam AS (SELECT family_id, round(avg(delta), 9) AS delta, row_number() OVER (ORDER BY substr(sha256(CAST(family_id AS VARCHAR)), 1, 2), family_id) - 1 AS j FROM delta WHERE delta IS NOT NULL GROUP BY family_id),
 hx AS (SELECT r, substr(sha256('17:quality:' || r || ':' || j), 1, 8) AS h, (SELECT count(*) FROM fam) AS n FROM fam, range(0, 10000) t(r)),
 pick AS (SELECT r, n, list_reduce(list_transform(string_split(h, ''), lambda c: CAST(position(c IN '0123456789abcdef') - 1 AS BIGINT)), lambda a, b: a * 16 + b) % n AS j FROM hx),
 means AS (SELECT r, round(avg(delta), 9) AS m FROM pick JOIN fam USING (j) GROUP BY r)
