@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("text_plans", "segment_plans", "retrieval_plans", "frame_plans", "chunk_plans", "evaluation_plans", "quality_plans", "source_plans", "evidence_plans")
-_LATER = ("retrieval_plans", "frame_plans", "chunk_plans",
+_MODULES = ("text_plans", "segment_plans", "retrieval_plans", "frame_plans", "chunk_plans",
             "evaluation_plans", "quality_plans", "source_plans", "evidence_plans", "stream_plans")
 
 
