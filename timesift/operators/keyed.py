@@ -165,7 +165,7 @@ Step = Callable[..., tuple[tuple | None, object]]
 
 
 def ordered_fold(df: DataFrame, keys: Sequence[str], idx: str, uses: Sequence[str], step: Step,
-                 adds: str = "", *, block_rows: int = BLOCK_ROWS,
+                 adds: str = "", *, block_rows: int | None = None,
                  one_record_per_key: bool = False) -> DataFrame:
     """Left-to-right pass per key where each row's fate depends on what was kept before.
 
@@ -181,7 +181,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], idx: str, uses: Sequence[st
     ``one_record_per_key`` is for keys cut out of one input record (the lines of a document),
     which one task has already held.
     """
-    keys, uses = list(keys), list(uses)
+    keys, uses, block_rows = list(keys), list(uses), block_rows or BLOCK_ROWS
     if not one_record_per_key:
         df = cut_lineage(df)
         if not df.where(F.col(idx) == block_rows).isEmpty():
