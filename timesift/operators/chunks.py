@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, identity, text
-from timesift.operators.keyed import BLOCK_ROWS, row_index, running_totals, with_previous
+from timesift.operators.keyed import BLOCK_ROWS, ordered_fold, row_index, running_totals, with_previous
 
 KEY = ["source_id"]
 
@@ -88,8 +88,8 @@ def nearest_silence(targets: DataFrame, points: DataFrame) -> DataFrame:
 def chunk_plan(sources: DataFrame, tight: DataFrame, loose: DataFrame | None, max_bytes: int) -> DataFrame:
     """(source_id, chunk, offset_s, duration_s, hard): contiguous chunks cut at silences where one is near.
 
-    Sources with a hard cut are planned again with the loose silences added. The cuts of one source
-    come from one row, so they fold as one short array.
+    Sources with a hard cut are planned again with the loose silences added. Each cut depends on the one
+    before, so they pass through an ordered fold.
     """
     targets = cut_targets(sources, max_bytes)
     first = nearest_silence(targets, tight)
@@ -98,21 +98,21 @@ def chunk_plan(sources: DataFrame, tight: DataFrame, loose: DataFrame | None, ma
             loose.select("source_id").distinct(), "source_id", "left_semi")
         again = nearest_silence(targets.join(hard, "source_id", "left_semi"), tight.unionByName(loose).distinct())
         first = first.join(hard, "source_id", "left_anti").unionByName(again)
-    cuts = first.groupBy("source_id", "duration", "n", "ideal").agg(
-        F.array_sort(F.collect_list(F.struct("i", F.coalesce("point", "target").alias("at"), F.col("point").isNull().alias("hard")))).alias("cuts"))
     slack = F.least(F.lit(1.0), F.col("ideal") * 0.10)
-
-    def place(done: Column, cut: Column) -> Column:
-        low = F.element_at(done, -1) + slack
-        high = F.col("duration") - (F.col("n") - cut["i"]) * slack
-        return F.concat(done, F.array(F.least(F.greatest(cut["at"], low), high)))
-
-    edges = F.aggregate("cuts", F.array(F.lit(0.0)), place)
-    many = cuts.withColumn("e", F.concat(edges, F.array("duration"))).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(
-        "source_id", "chunk", F.round(F.get("e", F.col("chunk")), 3).alias("offset_s"),
-        F.round(F.get("e", F.col("chunk") + 1) - F.get("e", F.col("chunk")), 3).alias("duration_s"),
-        F.coalesce(F.get("cuts", F.col("chunk") - 1)["hard"], F.lit(False)).alias("hard"))
+    cuts = first.select(
+        "source_id", (F.col("i") - 1).alias("at"), F.coalesce("point", "target").alias("wish"), F.col("point").isNull().alias("hard"),
+        slack.alias("slack"), (F.col("duration") - (F.col("n") - F.col("i")) * slack).alias("high"), "duration")
+
+    def place(last, wish: float, slack: float, high: float):
+        edge = min(max(float(wish), (last or 0.0) + slack), float(high))
+        return (edge,), edge
+
+    placed = ordered_fold(cuts, KEY, "at", ["wish", "slack", "high"], place, "edge double").select(
+        "source_id", (F.col("at") + 1).alias("chunk"), "edge", "hard", "duration")
+    opening = placed.where("chunk = 1").select("source_id", F.lit(0).alias("chunk"), F.lit(0.0).alias("edge"), F.lit(False).alias("hard"), "duration")
+    edges = with_previous(opening.unionByName(placed), KEY, "chunk", {"__next": "edge"}, ahead=True)
+    many = edges.select("source_id", "chunk", F.round("edge", 3).alias("offset_s"),
+                        F.round(F.coalesce("__next", "duration") - F.col("edge"), 3).alias("duration_s"), "hard")
     one = sources.where(F.ceil(F.col("bytes") / max_bytes) <= 1).select(
         "source_id", F.lit(0).alias("chunk"), F.lit(0.0).alias("offset_s"), F.round("duration", 3).alias("duration_s"),
         F.lit(False).alias("hard"))

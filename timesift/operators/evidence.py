@@ -382,36 +382,37 @@ def select_coverage(scouted: Scout, max_frames: int = fixed.COVERAGE_FRAMES, dei
 
 
 def report_lines(questions: DataFrame, chosen: Selection, scouted: Scout) -> DataFrame:
-    """(pair, section, ord, line): the printed report as rows, ready for an ordered text sink.
+    """(pair, section, ord, sub, line): the printed report as rows, ready for an ordered text sink.
 
-    All text that came from a source is sanitized; blocks are ordered by start time.
+    All text that came from a source is sanitized; blocks are ordered by start time. Every transcript
+    line is a row of its own, so no block is held as a whole.
     """
     titles = scouted.chapters.select("source_id", "chapter_id", "title", "start_s", "end_s")
     stamp = timecode.minutes_stamp
-    head = chosen.pairs.join(questions, "question_id").select(
-        *PAIR, F.lit(0).alias("section"), F.posexplode(F.array(
-            F.lit("# Evidence report"), F.concat(F.lit("Question: "), "text"), F.lit("Policy: targeted"),
-            F.lit(""), F.lit("## Selected chapters"))).alias("ord", "line")).withColumn("ord", F.col("ord").cast("double"))
-    picked = chosen.selected.join(titles, ["source_id", "chapter_id"])
+
+    def rows(df: DataFrame, section: int, ord_: Column, line: Column, sub: Column | None = None) -> DataFrame:
+        return df.select(*PAIR, F.lit(section).alias("section"), ord_.cast("double").alias("ord"),
+                         (F.lit(-1) if sub is None else sub).alias("sub"), line.alias("line"))
+
+    head = chosen.pairs.join(questions, "question_id").select(*PAIR, F.posexplode(F.array(
+        F.lit("# Evidence report"), F.concat(F.lit("Question: "), "text"), F.lit("Policy: targeted"),
+        F.lit(""), F.lit("## Selected chapters"))).alias("at", "text"))
     span_of = F.concat(F.lit("["), stamp(F.col("start_s")), F.lit("-"), stamp(F.col("end_s")), F.lit("]"))
-    listed = picked.select(*PAIR, F.lit(1).alias("section"), F.col("start_s").alias("ord"), F.concat(
-        F.lit("- "), text.sanitize(F.col("title")), F.lit(" "), span_of).alias("line"))
-    told = notes(chosen).select(*PAIR, F.lit(2).alias("section"), F.col("note_no").cast("double").alias("ord"), F.concat(
-        F.lit("- "), text.sanitize(F.col("note"))).alias("line"))
-    shots = chosen.frames.select(*PAIR, F.lit(3).alias("section"), F.col("ts").alias("ord"), F.concat(
-        F.lit("- t="), stamp(F.col("ts")), F.lit(" ("), "reason", F.lit(")")).alias("line"))
-    lines = scouted.segments.groupBy("source_id", "chapter_id").agg(F.array_join(F.transform(F.array_sort(
-        F.collect_list(F.struct("seg_idx", seg.stamped_line().alias("line")))), lambda x: x["line"]), "\n").alias("block"))
-    chapters = picked.join(lines, ["source_id", "chapter_id"]).select(
-        *PAIR, F.lit(4).alias("section"), F.col("start_s").alias("ord"), F.concat(
-            F.lit("### "), text.sanitize(F.concat("title", F.lit(" "), span_of)), F.lit("\n"), text.sanitize(F.col("block"))).alias("line"))
+    picked = chosen.selected.select(*PAIR, "chapter_id").join(titles, ["source_id", "chapter_id"])
+    listed = text.sanitize(F.concat("title", F.lit(" "), span_of))
+    told = notes(chosen)
+    lines = scouted.segments.select("source_id", "chapter_id", "seg_idx", seg.stamped_line().alias("stamped"))
+    spoken = picked.select(*PAIR, "chapter_id", F.col("start_s").alias("from_s")).join(lines, ["source_id", "chapter_id"])
     owner = scouted.spans.select("source_id", "span_id", "chapter_id").join(
         titles.select("source_id", "chapter_id", "title"), ["source_id", "chapter_id"])
     header = F.concat("reason", F.lit(" ["), stamp(F.col("t0")), F.lit("-"), stamp(F.col("t1")), F.lit("] ("), "title", F.lit(")"))
-    parts = chosen.blocks.join(owner, ["source_id", "span_id"]).select(
-        *PAIR, F.lit(4).alias("section"), F.col("t0").alias("ord"), F.concat(
-            F.lit("### "), text.sanitize(header), F.lit("\n"), text.sanitize(F.col("block"))).alias("line"))
-    out = head
-    for more in (listed, told, shots, chapters, parts):
-        out = out.unionByName(more)
-    return out
+    parts = chosen.blocks.join(owner, ["source_id", "span_id"])
+    return (
+        rows(head, 0, F.col("at"), F.col("text"))
+        .unionByName(rows(picked, 1, F.col("start_s"), F.concat(F.lit("- "), listed)))
+        .unionByName(rows(told, 2, F.col("note_no"), F.concat(F.lit("- "), text.sanitize(F.col("note")))))
+        .unionByName(rows(chosen.frames, 3, F.col("ts"), F.concat(F.lit("- t="), stamp(F.col("ts")), F.lit(" ("), "reason", F.lit(")"))))
+        .unionByName(rows(picked, 4, F.col("start_s"), F.concat(F.lit("### "), listed)))
+        .unionByName(rows(spoken, 4, F.col("from_s"), text.sanitize(F.col("stamped")), F.col("seg_idx")))
+        .unionByName(rows(parts, 4, F.col("t0"), F.concat(F.lit("### "), text.sanitize(header), F.lit("\n"), text.sanitize(F.col("block")))))
+    )

@@ -15,8 +15,8 @@ def write_manifests(manifests: DataFrame, path: str, buckets: int = 256) -> None
 
 def write_reports(lines: DataFrame, path: str) -> None:
     """Report lines in reading order, each report contiguous, split over as many files as needed."""
-    ordered = lines.repartitionByRange("question_id", "source_id", "section", "ord").sortWithinPartitions(
-        "question_id", "source_id", "section", "ord")
+    order = ["question_id", "source_id", "section", "ord", "sub"]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("line").write.mode("errorifexists").text(path)
 
 
