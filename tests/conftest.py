@@ -12,6 +12,9 @@ from timesift.session import build_session  # noqa: E402
 def spark():
     session = build_session("local[4]", 4, "timesift-tests")
     session.sparkContext.setLogLevel("ERROR")
+    # Tables of a few rows: compiling code costs more than it saves.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
     session.stop()
 

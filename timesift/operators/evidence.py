@@ -398,10 +398,12 @@ def report_lines(questions: DataFrame, chosen: Selection, scouted: Scout) -> Dat
         F.lit("# Evidence report"), F.concat(F.lit("Question: "), "text"), F.lit("Policy: targeted"),
         F.lit(""), F.lit("## Selected chapters"))).alias("at", "text"))
     span_of = F.concat(F.lit("["), stamp(F.col("start_s")), F.lit("-"), stamp(F.col("end_s")), F.lit("]"))
+    # Source text is sanitized once per source, before pairs multiply it.
+    titles = titles.withColumn("listed", text.sanitize(F.concat("title", F.lit(" "), span_of)))
     picked = chosen.selected.select(*PAIR, "chapter_id").join(titles, ["source_id", "chapter_id"])
-    listed = text.sanitize(F.concat("title", F.lit(" "), span_of))
+    listed = F.col("listed")
     told = notes(chosen)
-    lines = scouted.segments.select("source_id", "chapter_id", "seg_idx", seg.stamped_line().alias("stamped"))
+    lines = scouted.segments.select("source_id", "chapter_id", "seg_idx", text.sanitize(seg.stamped_line()).alias("stamped"))
     spoken = picked.select(*PAIR, "chapter_id", F.col("start_s").alias("from_s")).join(lines, ["source_id", "chapter_id"])
     owner = scouted.spans.select("source_id", "span_id", "chapter_id").join(
         titles.select("source_id", "chapter_id", "title"), ["source_id", "chapter_id"])
@@ -413,6 +415,6 @@ def report_lines(questions: DataFrame, chosen: Selection, scouted: Scout) -> Dat
         .unionByName(rows(told, 2, F.col("note_no"), F.concat(F.lit("- "), text.sanitize(F.col("note")))))
         .unionByName(rows(chosen.frames, 3, F.col("ts"), F.concat(F.lit("- t="), stamp(F.col("ts")), F.lit(" ("), "reason", F.lit(")"))))
         .unionByName(rows(picked, 4, F.col("start_s"), F.concat(F.lit("### "), listed)))
-        .unionByName(rows(spoken, 4, F.col("from_s"), text.sanitize(F.col("stamped")), F.col("seg_idx")))
+        .unionByName(rows(spoken, 4, F.col("from_s"), F.col("stamped"), F.col("seg_idx")))
         .unionByName(rows(parts, 4, F.col("t0"), F.concat(F.lit("### "), text.sanitize(header), F.lit("\n"), text.sanitize(F.col("block")))))
     )

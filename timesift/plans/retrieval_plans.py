@@ -8,8 +8,8 @@ from timesift.functions import fixed, text
 from timesift.operators import evidence, retrieval
 from timesift.plans import views
 from timesift.plans.catalog import query
-from timesift.plans.segment_plans import SQL_SPANS, spans
-from timesift.plans.text_plans import sql_exact_tokens, sql_list, sql_norm, sql_numbers, sql_tokens
+from timesift.plans.segment_plans import SQL_ATTACHED, SQL_SPANS, spans
+from timesift.plans.text_plans import sql_exact_tokens, sql_list, sql_norm, sql_numbers, sql_stamp, sql_tokens
 from timesift.plans.views import sql
 
 # The given corpus hardly ever names the built-in facets, so these queries use word lists that it has.
@@ -30,41 +30,63 @@ def _values(rows) -> str:
 _BUILT_IN = [(name, no, w) for no, (name, words) in enumerate(fixed.FACETS.items()) for w in words]
 
 
-def _scores(facets) -> str:
+def _parts(facets) -> str:
     return SQL_SPANS + f""",
 facets AS (SELECT * FROM {_values(facets)}),
 qterms AS (SELECT question_id, unnest({sql_tokens('text')}) AS t FROM v_questions),
-fires AS (SELECT DISTINCT question_id, facet, facet_no FROM qterms JOIN facets ON t = word),
-weights AS (SELECT question_id, term, sum(w) AS weight FROM (SELECT question_id, {sql_norm('t')} AS term, 2 AS w FROM qterms
-  UNION ALL SELECT question_id, {sql_norm('word')}, 1 FROM fires JOIN facets USING (facet)) GROUP BY question_id, term),
 stok AS (SELECT source_id, span_id, chapter_id, first_seg, last_seg, {sql_tokens('text')} AS tokens FROM spans),
 ex AS (SELECT source_id, span_id, chapter_id, len(tokens) AS n, unnest(tokens) AS term FROM stok),
 tf AS (SELECT source_id, span_id, chapter_id, n, term, count(*) AS tf FROM ex GROUP BY ALL),
 df AS (SELECT source_id, term, count(*) AS df FROM tf GROUP BY ALL),
 sizes AS (SELECT source_id, count(*) AS n_spans FROM spans GROUP BY ALL),
-parts AS (SELECT t.*, t.tf * ln(1 + n_spans / (1.0::DOUBLE + df)) AS part FROM tf t JOIN df USING (source_id, term) JOIN sizes USING (source_id)),
+parts AS (SELECT t.*, t.tf * ln(1 + n_spans / (1.0::DOUBLE + df)) AS part FROM tf t JOIN df USING (source_id, term) JOIN sizes USING (source_id))"""
+
+
+# Weights per question.
+_BY_QUESTION = f""",
+fires AS (SELECT DISTINCT question_id, facet, facet_no FROM qterms JOIN facets ON t = word),
+weights AS (SELECT question_id, term, sum(w) AS weight FROM (SELECT question_id, {sql_norm('t')} AS term, 2 AS w FROM qterms
+  UNION ALL SELECT question_id, {sql_norm('word')}, 1 FROM fires JOIN facets USING (facet)) GROUP BY question_id, term),
+scores AS (SELECT * FROM (SELECT question_id, source_id, span_id, chapter_id, round(sum(part * weight) / (1 + ln(1 + n)), 6) AS score
+  FROM parts JOIN weights USING (term) GROUP BY question_id, source_id, span_id, chapter_id, n) WHERE score > 0)"""
+# Weights per question and source, after the spelling rescue.
+_BY_PAIR = f""",
+vocab AS (SELECT DISTINCT source_id, term AS w FROM ex),
+near AS (SELECT t, w FROM (SELECT DISTINCT t FROM qterms WHERE length(t) >= 5) a JOIN (SELECT DISTINCT w FROM vocab) v ON abs(length(t) - length(w)) <= 1 AND levenshtein(t, w) <= 1),
+fuzzy AS (SELECT source_id, t, min(w) AS match FROM near JOIN vocab USING (w) GROUP BY ALL),
+fixed AS (SELECT f.* FROM fuzzy f WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.source_id = f.source_id AND v.w = f.t)),
+pterms AS (SELECT q.question_id, z.source_id, coalesce(f.match, q.t) AS t FROM qterms q CROSS JOIN sizes z LEFT JOIN fixed f ON f.source_id = z.source_id AND f.t = q.t),
+fires AS (SELECT DISTINCT question_id, source_id, facet, facet_no FROM pterms JOIN facets ON t = word),
+weights AS (SELECT question_id, source_id, term, sum(w) AS weight FROM (SELECT question_id, source_id, {sql_norm('t')} AS term, 2 AS w FROM pterms
+  UNION ALL SELECT question_id, source_id, {sql_norm('word')}, 1 FROM fires JOIN facets USING (facet)) GROUP BY ALL),
 scores AS (SELECT * FROM (SELECT question_id, source_id, span_id, chapter_id, round(sum(part * weight) / (1 + ln(1 + n)), 6) AS score
-  FROM parts JOIN weights USING (term) GROUP BY question_id, source_id, span_id, chapter_id, n) WHERE score > 0),
+  FROM parts JOIN weights USING (source_id, term) GROUP BY question_id, source_id, span_id, chapter_id, n) WHERE score > 0)"""
+_RANKS = """,
 tops AS (SELECT question_id, source_id, chapter_id, max(score) AS best, round(sum(score), 6) AS top_two FROM (SELECT *,
   row_number() OVER (PARTITION BY question_id, source_id, chapter_id ORDER BY score DESC, span_id) AS r FROM scores) WHERE r <= 2 GROUP BY ALL),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_id ORDER BY best DESC, top_two DESC, chapter_id) - 1 AS rank FROM tops)"""
 
 
+def _scores(facets) -> str:
+    return _parts(facets) + _BY_QUESTION + _RANKS
+
+
 _LINE_LEN = ("length(text) + 3 + greatest(5, 3 + length(CAST(CAST(floor(start_s) AS BIGINT) // 60 AS VARCHAR)))")
-_SELECT = _scores(PROOF_FACETS) + f""",
+def _selection(budget: int, numeric: str, numeric_facets, fired_by: str) -> str:
+    return f""",
 csize AS (SELECT source_id, chapter_id, CAST(sum({_LINE_LEN}) + count(*) - 1 AS BIGINT) AS chars FROM attached GROUP BY ALL),
 todo AS (SELECT question_id, source_id, chapter_id, best, rank, chars FROM ranks JOIN csize USING (source_id, chapter_id)),
 roll AS (SELECT question_id, source_id, rank, chapter_id, best, chars, chars AS used, true AS kept FROM todo WHERE rank = 0
   UNION ALL SELECT t.question_id, t.source_id, t.rank, t.chapter_id, t.best, t.chars,
-    CASE WHEN r.used + t.chars <= {PROOF_BUDGET} THEN r.used + t.chars ELSE r.used END, r.used + t.chars <= {PROOF_BUDGET}
+    CASE WHEN r.used + t.chars <= {budget} THEN r.used + t.chars ELSE r.used END, r.used + t.chars <= {budget}
   FROM roll r JOIN todo t ON t.question_id = r.question_id AND t.source_id = r.source_id AND t.rank = r.rank + 1),
 selected AS (SELECT question_id, source_id, CAST(rank AS INT) AS rank, chapter_id, best, chars FROM roll WHERE kept),
-fired AS (SELECT DISTINCT s.question_id, s.source_id, f.facet, f.facet_no FROM selected s JOIN fires f USING (question_id)),
+fired AS (SELECT DISTINCT s.question_id, s.source_id, f.facet, f.facet_no FROM selected s JOIN fires f USING ({fired_by})),
 nums AS (SELECT p.source_id, p.span_id, p.chapter_id, min(s.seg_idx) AS pos FROM v_segments s JOIN spans p
-  ON p.source_id = s.source_id AND s.seg_idx BETWEEN p.first_seg AND p.last_seg WHERE regexp_matches(s.text, '[0-9]') GROUP BY ALL),
+  ON p.source_id = s.source_id AND s.seg_idx BETWEEN p.first_seg AND p.last_seg WHERE regexp_matches(s.text, '{numeric}') GROUP BY ALL),
 guards AS (SELECT question_id, source_id, span_id, chapter_id, g AS guard_no FROM (SELECT q.question_id, n.*,
   row_number() OVER (PARTITION BY q.question_id, n.source_id ORDER BY pos) AS g
-  FROM (SELECT DISTINCT question_id, source_id FROM fired) q JOIN nums n USING (source_id)
+  FROM (SELECT DISTINCT question_id, source_id FROM fired WHERE facet IN {tuple(numeric_facets)}) q JOIN nums n USING (source_id)
   WHERE NOT EXISTS (SELECT 1 FROM selected s WHERE s.question_id = q.question_id AND s.source_id = n.source_id AND s.chapter_id = n.chapter_id)) WHERE g <= 12),
 held AS (SELECT DISTINCT source_id, span_id, chapter_id, facet, facet_no FROM ex JOIN facets ON term = word),
 coverage AS (SELECT f.*, EXISTS (SELECT 1 FROM held h JOIN selected s ON s.source_id = h.source_id AND s.chapter_id = h.chapter_id
@@ -87,37 +109,78 @@ add{no} AS (SELECT question_id, source_id, span_id, facet, score FROM (SELECT c.
     AND NOT EXISTS (SELECT 1 FROM selected s WHERE s.question_id = c.question_id AND s.source_id = c.source_id AND s.chapter_id = w.chapter_id)) WHERE r <= 3)"""
 
 
-_EXPAND = _SELECT + f""",
+_SELECT = _scores(PROOF_FACETS) + _selection(PROOF_BUDGET, "[0-9]", PROOF_NUMERIC, "question_id")
+
+_PASSES = f""",
 fweights AS (SELECT facet, {sql_norm('word')} AS term, count(*) AS weight FROM facets GROUP BY ALL),
 fscores AS (SELECT * FROM (SELECT facet, source_id, span_id, chapter_id, round(sum(part * weight) / (1 + ln(1 + n)), 6) AS score
   FROM parts JOIN fweights USING (term) GROUP BY facet, source_id, span_id, chapter_id, n) WHERE score > 0)"""
-_EXPAND += _one_pass(0, "SELECT question_id, source_id, span_id FROM guards WHERE false")
-_EXPAND += _one_pass(1, "SELECT question_id, source_id, span_id FROM add0")
-_EXPAND += _one_pass(2, "SELECT question_id, source_id, span_id FROM add0 UNION ALL SELECT question_id, source_id, span_id FROM add1")
-_EXPAND += _one_pass(3, "SELECT question_id, source_id, span_id FROM add0 UNION ALL SELECT question_id, source_id, span_id FROM add1"
+_PASSES += _one_pass(0, "SELECT question_id, source_id, span_id FROM guards WHERE false")
+_PASSES += _one_pass(1, "SELECT question_id, source_id, span_id FROM add0")
+_PASSES += _one_pass(2, "SELECT question_id, source_id, span_id FROM add0 UNION ALL SELECT question_id, source_id, span_id FROM add1")
+_PASSES += _one_pass(3, "SELECT question_id, source_id, span_id FROM add0 UNION ALL SELECT question_id, source_id, span_id FROM add1"
                         " UNION ALL SELECT question_id, source_id, span_id FROM add2")
-_EXPAND += """,
+_PASSES += """,
 added AS (SELECT * FROM add0 UNION ALL SELECT * FROM add1 UNION ALL SELECT * FROM add2 UNION ALL SELECT * FROM add3),
 rescue AS (SELECT question_id, source_id, span_id, chapter_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id, source_id ORDER BY score DESC, span_id) AS rank
   FROM (SELECT s.*, row_number() OVER (PARTITION BY question_id, source_id, chapter_id ORDER BY score DESC, span_id) AS r FROM scores s
     WHERE NOT EXISTS (SELECT 1 FROM selected x WHERE x.question_id = s.question_id AND x.source_id = s.source_id AND x.chapter_id = s.chapter_id)
       AND NOT EXISTS (SELECT 1 FROM guards x WHERE x.question_id = s.question_id AND x.source_id = s.source_id AND x.span_id = s.span_id)
       AND NOT EXISTS (SELECT 1 FROM added x WHERE x.question_id = s.question_id AND x.source_id = s.source_id AND x.span_id = s.span_id)) WHERE r <= 2) WHERE rank <= 8)"""
-_FRAMES = _EXPAND + """,
+_EXPAND = _SELECT + _PASSES
+_ANCHORS = """,
 known AS (SELECT source_id, duration FROM total),
 anchor AS (SELECT c.source_id, c.chapter_id, c.start_s, least(CASE WHEN c.start_s + 10 >= c.end_s THEN (c.start_s + c.end_s) / 2 ELSE c.start_s + 10 END,
-  greatest(0.0::DOUBLE, duration - 0.5)) AS ts FROM chapters c JOIN known USING (source_id)),
-specs AS (SELECT s.question_id, s.source_id, 0 AS class, CAST(s.chapter_id AS BIGINT) AS ord, a.ts, 'chapter-start' AS reason FROM selected s JOIN anchor a USING (source_id, chapter_id)
-  UNION ALL SELECT g.question_id, g.source_id, 1, g.guard_no, (p.start_s + p.end_s) / 2, 'numeric-guard' FROM guards g JOIN spans p USING (source_id, span_id)
-  UNION ALL SELECT s.question_id, s.source_id, 2, CAST(a.seg_idx AS BIGINT), a.start_s, 'deictic-cue' FROM selected s JOIN attached a USING (source_id, chapter_id) WHERE regexp_matches(a.text, 'from')),
-numbered AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_id ORDER BY class, ord) - 1 AS pos FROM specs),
-space AS (SELECT question_id, source_id, pos, ts, reason, [ts] AS kept, true AS ok FROM numbered2 WHERE pos = 0
-  UNION ALL SELECT n.question_id, n.source_id, n.pos, n.ts, n.reason,
-    CASE WHEN len(list_filter(s.kept, lambda k: abs(k - n.ts) < 20)) = 0 AND len(s.kept) < 6 THEN list_append(s.kept, n.ts) ELSE s.kept END,
-    len(list_filter(s.kept, lambda k: abs(k - n.ts) < 20)) = 0 AND len(s.kept) < 6
-  FROM space s JOIN numbered2 n ON n.question_id = s.question_id AND n.source_id = s.source_id AND n.pos = s.pos + 1)"""
-# The recursive table must not share the name of the chapter numbering above.
-_FRAMES = _FRAMES.replace("numbered AS (SELECT *, row_number() OVER (PARTITION BY question_id", "numbered2 AS (SELECT *, row_number() OVER (PARTITION BY question_id")
+  greatest(0.0::DOUBLE, duration - 0.5)) AS ts FROM chapters c JOIN known USING (source_id))"""
+
+
+def _specs(deictic: str) -> str:
+    return _ANCHORS + f""",
+specs AS (SELECT s.question_id, s.source_id, 0 AS class, CAST(s.chapter_id AS BIGINT) AS ord, a.ts, 'chapter-start' AS reason, s.chapter_id FROM selected s JOIN anchor a USING (source_id, chapter_id)
+  UNION ALL SELECT g.question_id, g.source_id, 1, g.guard_no, (p.start_s + p.end_s) / 2, 'numeric-guard', g.chapter_id FROM guards g JOIN spans p USING (source_id, span_id)
+  UNION ALL SELECT s.question_id, s.source_id, 2, CAST(a.seg_idx AS BIGINT), a.start_s, 'deictic-cue', s.chapter_id FROM selected s JOIN attached a USING (source_id, chapter_id) WHERE regexp_matches(a.text, '{deictic}'))"""
+
+
+# Walks ``wanted`` (keys, class, ord, ts, reason, chapter_id, cap) in order of priority.
+def _spacing(keys: list[str]) -> str:
+    names, join = ", ".join(keys), " AND ".join(f"n.{k} = s.{k}" for k in keys)
+    fits = "len(list_filter(s.kept, lambda k: abs(k - n.ts) < 20)) = 0 AND len(s.kept) < n.cap"
+    return f""",
+lined AS (SELECT *, row_number() OVER (PARTITION BY {names} ORDER BY class, ord) - 1 AS pos FROM wanted),
+space AS (SELECT {names}, pos, ts, reason, chapter_id, [ts] AS kept, true AS ok FROM lined WHERE pos = 0
+  UNION ALL SELECT {", ".join(f"n.{k}" for k in keys)}, n.pos, n.ts, n.reason, n.chapter_id, CASE WHEN {fits} THEN list_append(s.kept, n.ts) ELSE s.kept END, {fits}
+  FROM space s JOIN lined n ON {join} AND n.pos = s.pos + 1)"""
+
+
+_FRAMES = _EXPAND + _specs("from") + ", wanted AS (SELECT *, 6 AS cap FROM specs)" + _spacing(["question_id", "source_id"])
+
+
+_DEICTIC = fixed.DEICTIC.replace("(?iu)", "(?i)")
+_TITLE = f"'Segment ' || CAST(c.chapter_id + 1 AS VARCHAR) || ' (' || {sql_stamp('c.start_s')} || '-' || {sql_stamp('c.end_s')} || ')'"
+SQL_TARGETED = _parts(_BUILT_IN) + _BY_PAIR + _RANKS + _selection(
+    fixed.TEXT_BUDGET, fixed.NUMERIC, fixed.NUMERIC_FACETS, "question_id, source_id") + _PASSES + _specs(_DEICTIC) + f""",
+wide AS (SELECT question_id, source_id, span_id, 'numeric-guard' AS reason, CAST(NULL AS DOUBLE) AS score, 1 AS pad FROM guards
+  UNION ALL SELECT question_id, source_id, span_id, 'span-rescue', score, 1 FROM rescue UNION ALL SELECT question_id, source_id, span_id, 'facet-expansion', score, 0 FROM added),
+blocks AS (SELECT w.question_id, w.source_id, w.span_id, p.chapter_id, w.reason, w.score, min(s.start_s) AS t0, arg_max(s.end_s, s.seg_idx) AS t1, sum({_LINE_LEN.replace('text', 's.text').replace('start_s', 's.start_s')}) + count(*) - 1 AS chars
+  FROM wide w JOIN spans p USING (source_id, span_id) JOIN v_segments s ON s.source_id = w.source_id AND s.seg_idx BETWEEN p.first_seg - w.pad AND p.last_seg + w.pad GROUP BY ALL),
+total_chars AS (SELECT question_id, source_id, sum(chars) AS chars FROM (SELECT question_id, source_id, chars FROM selected UNION ALL SELECT question_id, source_id, chars FROM blocks) GROUP BY ALL),
+wanted AS (SELECT s.*, least(12, greatest(4, CAST(floor((25000 - floor(t.chars * 0.25::DOUBLE)) / 250.0::DOUBLE) AS BIGINT))) AS cap FROM specs s JOIN total_chars t USING (question_id, source_id))""" + _spacing(
+    ["question_id", "source_id"]) + f""",
+titled AS (SELECT c.*, {_TITLE} AS title FROM chapters c)
+SELECT s.question_id, s.source_id, {sql_stamp('c.start_s')} AS t_start, {sql_stamp('c.end_s')} AS t_end, c.title AS chapter, 'transcript' AS modality, 'chapter-rollup' AS reason, round(best, 3) AS score
+  FROM selected s JOIN titled c USING (source_id, chapter_id)
+UNION ALL SELECT b.question_id, b.source_id, {sql_stamp('t0')}, {sql_stamp('t1')}, c.title, 'transcript', b.reason, round(b.score, 3) FROM blocks b JOIN titled c USING (source_id, chapter_id)
+UNION ALL SELECT f.question_id, f.source_id, {sql_stamp('f.ts')}, {sql_stamp('f.ts')}, c.title, 'frame', f.reason, NULL FROM space f JOIN titled c USING (source_id, chapter_id) WHERE f.ok"""
+
+SQL_COVERAGE = SQL_ATTACHED + _ANCHORS + f""",
+whole AS (SELECT source_id, sum({_LINE_LEN}) + count(*) - 1 AS chars FROM v_segments GROUP BY source_id),
+specs AS (SELECT source_id, 0 AS class, CAST(chapter_id AS BIGINT) AS ord, ts, 'chapter-start' AS reason, chapter_id FROM anchor
+  UNION ALL SELECT source_id, 1, CAST(seg_idx AS BIGINT), start_s, 'deictic-cue', chapter_id FROM attached WHERE regexp_matches(text, '{_DEICTIC}')
+  UNION ALL SELECT source_id, 2, i, duration * (i + 0.5) / 32, 'uniform-fill', NULL FROM known, range(0, 32) r(i)),
+wanted AS (SELECT s.*, least(32, greatest(4, CAST(floor((25000 - floor(w.chars * 0.25::DOUBLE)) / 250.0::DOUBLE) AS BIGINT))) AS cap FROM specs s JOIN whole w USING (source_id))""" + _spacing(["source_id"]) + f""",
+titled AS (SELECT c.*, {_TITLE} AS title FROM chapters c)
+SELECT source_id, '00:00' AS t_start, {sql_stamp('duration')} AS t_end, NULL AS chapter, 'transcript' AS modality, 'coverage-full-transcript' AS reason FROM known
+UNION ALL SELECT f.source_id, {sql_stamp('f.ts')}, {sql_stamp('f.ts')}, c.title, 'frame', f.reason FROM space f LEFT JOIN titled c ON c.source_id = f.source_id AND c.chapter_id = f.chapter_id WHERE f.ok"""
 
 
 @query("span_score", sql(_scores(_BUILT_IN) + " SELECT question_id, source_id, span_id, score FROM scores", "v_segments", "v_questions"))
