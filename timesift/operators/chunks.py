@@ -123,14 +123,13 @@ def budget_prefix(sends: DataFrame, max_bytes: int, max_attempts: int) -> DataFr
     """Adds ``allowed``: sends in order until one would pass a bound; landing on a bound is allowed and
     closes the budget. A bound of 0 is off. ``sends`` is ``(source_id, ord from 1, bytes)``."""
     summed = running_totals(sends.withColumn("__i", F.col("ord") - 1), KEY, "__i", {"__sum": F.col("bytes")})
+    # Sizes are not negative, so each test stays true once it is.
     bad = F.lit(False)
     if max_bytes:
         bad = bad | (F.col("__sum") > max_bytes) | ((F.col("ord") > 1) & (F.col("__sum") - F.col("bytes") >= max_bytes))
     if max_attempts:
         bad = bad | (F.col("ord") > max_attempts)
-    stops = summed.where(bad).groupBy("source_id").agg(F.min("ord").alias("__stop"))
-    return summed.join(stops, "source_id", "left").withColumn(
-        "allowed", F.col("__stop").isNull() | (F.col("ord") < F.col("__stop"))).drop("__i", "__sum", "__stop")
+    return summed.withColumn("allowed", ~bad).drop("__i", "__sum")
 
 
 def retention(receipts: DataFrame, now: float, max_bytes: int, reserve: int = 0,

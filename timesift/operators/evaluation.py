@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from timesift.functions import fixed, identity, measures
 from timesift.operators.chunks import overlapping
 from timesift.operators.keyed import order_statistics, row_index
+from timesift.session import cut_lineage
 
 CASE_ARM = ["case_id", "arm"]
 GOOD = ["success", "degraded"]
@@ -272,6 +273,8 @@ def development_gates(cases: DataFrame, scores: DataFrame, runs: DataFrame, usag
     ``cases`` are those with valid pairs; what was refused is reported by the violation queries. Each
     gate is a small aggregate; only those meet.
     """
+    scores, runs = cut_lineage(scores), cut_lineage(runs)
+
     def paired_mean(value: str, scope: Column, gate: str, floor: float, slip: float) -> DataFrame:
         both = by_arm(scores, value).where("control is not null and candidate is not null")
         mean = cases.join(both, "case_id").groupBy(scope.alias("scope")).agg(
@@ -293,6 +296,7 @@ def development_gates(cases: DataFrame, scores: DataFrame, runs: DataFrame, usag
     gates = paired_mean("score", F.lit("all"), "quality", -0.25, -0.10).unionByName(
         paired_mean("score", F.col("question_class"), "quality_class", -0.50, float("-inf"))).unionByName(
         paired_mean("citation", F.lit("all"), "citation", -0.02, -0.01)).unionByName(finished).unionByName(quick).unionByName(spent)
+    gates = cut_lineage(gates)
     better = F.bool_or(((F.col("gate") == "quality") & (F.col("value") > 0.10)) | ((F.col("gate") == "tokens") & (F.col("value") > 0.02))
                        | ((F.col("gate") == "citation") & (F.col("value") > 0.01)))
     final = gates.agg(F.bool_and("passed").alias("ok"), F.bool_or("regression").alias("regression"), better.alias("better")).select(

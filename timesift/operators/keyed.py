@@ -124,9 +124,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str,
     hist = (
         rows.groupBy(*keys, "__bucket").agg(F.sum("__m").alias("__n"))
         .withColumn("__upto", F.sum("__n").over(by_key))
+        .withColumn("n", F.sum("__n").over(Window.partitionBy(*keys)))
     )
-    totals = rows.groupBy(*keys).agg(F.sum("__m").alias("n"))
-    hist = hist.join(totals, keys)
     n = F.col("n")
     ranks = []
     for name, share in wanted.items():

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from timesift.functions import fixed, text
 from timesift.operators.keyed import row_index
+from timesift.session import cut_lineage
 
 PAIR = ["question_id", "source_id"]
 
@@ -53,6 +54,7 @@ def term_parts(spans: DataFrame, wanted: DataFrame) -> DataFrame:
     found = spans.select("source_id", "span_id", "chapter_id", F.size("tokens").alias("n_tokens"),
                          F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = found.groupBy("source_id", "span_id", "chapter_id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(tf)  # read twice: for the span frequency and for the parts
     sizes = spans.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_spans"))
     rarity = tf.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, "source_id").select(
         "source_id", "term", F.ln(1 + F.col("n_spans") / (1 + F.col("df"))).alias("rarity"))
@@ -80,7 +82,7 @@ def chapter_ranks(scores: DataFrame) -> DataFrame:
     best_two = scores.withColumn("__r", F.row_number().over(inside)).where("__r <= 2")
     tops = best_two.groupBy(*PAIR, "chapter_id").agg(
         F.max("score").alias("best"), F.round(F.sum("score"), 6).alias("top_two"))
-    return row_index(tops, PAIR, [F.desc("best"), F.desc("top_two"), F.col("chapter_id")],
+    return row_index(cut_lineage(tops), PAIR, [F.desc("best"), F.desc("top_two"), F.col("chapter_id")],
                      -F.floor(F.col("best") * 10), "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
@@ -134,6 +136,7 @@ def lexical_rank(questions: DataFrame, segments: DataFrame, limit: int = fixed.L
     tf = docs.select("source_id", "seg_idx", F.explode("tokens").alias("term")).join(
         terms.select("term").distinct(), "term", "left_semi").groupBy("source_id", "seg_idx", "term").agg(
         F.count(F.lit(1)).alias("tf"))
+    tf = cut_lineage(tf)
     sizes = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_segs"))
     rarity = tf.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, "source_id").select(
         "source_id", "term", F.ln((F.col("n_segs") + 1) / (F.col("df") + 0.5)).alias("rarity"))

@@ -105,7 +105,11 @@ def family_delta(spark, sf):
 
 
 def _families(spark, sf):
-    return ev.family_deltas(_deltas(spark, sf)).select(F.lit("quality").alias("metric"), "family_id", F.round("delta", 9).alias("delta"))
+    cited = ev.by_arm(ev.arm_scores(views.judgments(spark, sf)), "citation").select(
+        "case_id", (F.col("candidate") - F.col("control")).alias("delta"))
+    citation = ev.family_deltas(views.cases(spark, sf).join(cited, "case_id"))
+    both = ev.family_deltas(_deltas(spark, sf)).withColumn("metric", F.lit("quality")).unionByName(citation.withColumn("metric", F.lit("citation")))
+    return ev.cut_lineage(both.select("metric", "family_id", F.round("delta", 9).alias("delta")))
 
 
 @query("bootstrap_lower")
@@ -114,11 +118,15 @@ def bootstrap_lower(spark, sf):
 
 
 @query("bootstrap_draws", sql(_DELTA + """,
-fam AS (SELECT family_id, round(avg(delta), 9) AS delta, row_number() OVER (ORDER BY substr(sha256(CAST(family_id AS VARCHAR)), 1, 2), family_id) - 1 AS j FROM delta WHERE delta IS NOT NULL GROUP BY family_id),
-hx AS (SELECT r, substr(sha256('17:quality:' || r || ':' || j), 1, 8) AS h, (SELECT count(*) FROM fam) AS n FROM fam, range(0, 10000) t(r)),
-pick AS (SELECT r, n, list_reduce(list_transform(string_split(h, ''), lambda c: CAST(position(c IN '0123456789abcdef') - 1 AS BIGINT)), lambda a, b: a * 16 + b) % n AS j FROM hx),
-means AS (SELECT r, round(avg(delta), 9) AS m FROM pick JOIN fam USING (j) GROUP BY r)
-SELECT 'quality' AS metric, (SELECT count(*) FROM fam) AS n, round((SELECT avg(delta) FROM fam), 6) AS mean, round(list_sort(list(m))[500], 6) AS lower_95 FROM means""", "v_judgments", "v_cases"))
+cwide AS (SELECT case_id, max(cite) FILTER (WHERE arm = 'candidate') - max(cite) FILTER (WHERE arm = 'control') AS delta FROM ascore GROUP BY case_id),
+alld AS (SELECT 'quality' AS metric, family_id, delta FROM delta UNION ALL SELECT 'citation', family_id, delta FROM v_cases JOIN cwide USING (case_id)),
+fam AS (SELECT metric, family_id, round(avg(delta), 9) AS delta, row_number() OVER (PARTITION BY metric ORDER BY substr(sha256(CAST(family_id AS VARCHAR)), 1, 2), family_id) - 1 AS j
+  FROM alld WHERE delta IS NOT NULL GROUP BY metric, family_id),
+fn AS (SELECT metric, count(*) AS n, round(avg(delta), 6) AS mean FROM fam GROUP BY metric),
+hx AS (SELECT metric, r, n, substr(sha256('17:' || metric || ':' || r || ':' || j), 1, 8) AS h FROM fam JOIN fn USING (metric), range(0, 10000) t(r)),
+pick AS (SELECT metric, r, list_reduce(list_transform(string_split(h, ''), lambda c: CAST(position(c IN '0123456789abcdef') - 1 AS BIGINT)), lambda a, b: a * 16 + b) % n AS j FROM hx),
+means AS (SELECT metric, r, round(avg(delta), 9) AS m FROM pick JOIN fam USING (metric, j) GROUP BY metric, r)
+SELECT metric, n, mean, round(list_sort(list(m))[500], 6) AS lower_95 FROM means JOIN fn USING (metric) GROUP BY metric, n, mean""", "v_judgments", "v_cases"))
 def bootstrap_draws(spark, sf):
     return ev.bootstrap_drawn(_families(spark, sf), seed=17).select(
         "metric", "n", F.round("mean", 6).alias("mean"), F.round("lower_95", 6).alias("lower_95"))

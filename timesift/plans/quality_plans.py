@@ -88,13 +88,13 @@ def _registry(spark, sf):
     key = F.col("doc_id")
     identities = doc.select(
         F.concat(F.lit("family-"), (key % 45).cast("string")).alias("family_id"), F.concat(F.lit("id-"), (key % 900).cast("string")).alias("identity_id"),
-        F.when(key % 31 == 0, "none").otherwise(F.sha2("text", 256)).alias("identity_sha256"), F.lit("custodian").alias("custodian_id"))
+        F.when(key % 31 == 0, "none").otherwise(F.sha2("text", 256)).alias("identity_sha256"), F.col("lang").alias("custodian_id"))
     return families, identities
 
 
 _REGISTRY = _SPLIT + """,
 fam AS (SELECT DISTINCT CASE WHEN family_id % 13 = 0 THEN 'Family-' ELSE 'family-' END || family_id AS family_id, split, question_class FROM sc),
-ids AS (SELECT 'family-' || (doc_id % 45) AS family_id, 'id-' || (doc_id % 900) AS identity_id, CASE WHEN doc_id % 31 = 0 THEN 'none' ELSE sha256(text) END AS identity_sha256 FROM documents)"""
+ids AS (SELECT 'family-' || (doc_id % 45) AS family_id, 'id-' || (doc_id % 900) AS identity_id, CASE WHEN doc_id % 31 = 0 THEN 'none' ELSE sha256(text) END AS identity_sha256, lang FROM documents)"""
 
 
 @query("registry_rules", sql(_REGISTRY + """
@@ -112,10 +112,12 @@ def registry_rules(spark, sf):
     return quality.registry_violations(families, identities.drop("custodian_id"), minimum=25, per_class=20)
 
 
-@query("visible_rows", sql(_REGISTRY + """ SELECT identity_id, family_id FROM ids WHERE family_id IN (SELECT family_id FROM fam WHERE split = 'development')""", "v_cases"))
+@query("visible_rows", sql(_REGISTRY + """ SELECT identity_id, family_id FROM ids WHERE family_id IN (SELECT family_id FROM fam WHERE split = 'development')
+  AND lang IN (SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'en' ELSE 'fr' END FROM region WHERE lower(r_name) = 'asia')""", "v_cases"))
 def visible_rows(spark, sf):
     families, identities = _registry(spark, sf)
-    executors = table(spark, sf, "region").select(F.lower("r_name").alias("actor_id"), F.lit("custodian").alias("custodian_id"))
+    executors = table(spark, sf, "region").select(F.lower("r_name").alias("actor_id"),
+        F.when(F.col("r_regionkey") % 2 == 0, "en").otherwise("fr").alias("custodian_id"))
     return quality.visible_rows(identities, families, executors, "asia").select("identity_id", "family_id")
 
 

@@ -189,10 +189,14 @@ def span_score(spark, sf):
     return retrieval.span_scores(parts, weights).select("question_id", "source_id", "span_id", "score")
 
 
+def token_spans(spark, sf):
+    return evidence.cut_lineage(retrieval.with_tokens(spans(spark, sf)))
+
+
 def _weighted(spark, sf, facets):
     terms = retrieval.question_terms(views.questions(spark, sf))
     weights = retrieval.term_weights(terms, retrieval.facet_fires(terms, facets), facets)
-    return retrieval.term_parts(retrieval.with_tokens(spans(spark, sf)), weights), weights
+    return retrieval.term_parts(token_spans(spark, sf), weights), weights
 
 
 @query("chapter_rank", sql(_scores(_BUILT_IN) + " SELECT question_id, source_id, chapter_id, best, top_two, CAST(rank AS INT) AS rank FROM ranks", "v_segments", "v_questions"))
@@ -284,7 +288,7 @@ SELECT question_id, f.source_id, t AS term, match FROM found f JOIN asked USING
 WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.source_id = f.source_id AND v.w = f.t)""", "v_segments", "v_questions"))
 def fuzzy_rescue(spark, sf):
     terms = retrieval.question_terms(views.questions(spark, sf))
-    return retrieval.fuzzy_rescue(terms, retrieval.with_tokens(spans(spark, sf))).select(
+    return retrieval.fuzzy_rescue(terms, token_spans(spark, sf)).select(
         "question_id", "source_id", "term", "match")
 
 
