@@ -74,3 +74,13 @@ def test_sessions_and_blocks(spark, tmp_path):
     assert sorted((r.start.timestamp(), r.end.timestamp(), r["items"]) for r in found.collect()) == [(10.0, 30.0, 3), (31.0, 50.0, 2)]
     blocks = jobs.run_to_end(jobs.fixed_blocks(stream_of(spark, tmp_path, data, "k int, t int", 1), ["k"], "ts", "30 seconds", "20 seconds"), "w").where("k = 1")
     assert sorted(r["items"] for r in blocks.collect()) == [1, 2, 2]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    # Lateness is judged by the watermark of the batch before.
+    data = [(1, 500), (1, 600), (1, 700), (1, 701), (1, 10), (1, 200)]
+    stream = jobs.fixed_blocks(stream_of(spark, tmp_path, data, "k int, t int", 3), ["k"], "ts", "5 seconds")
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "late")).trigger(availableNow=True).format(
+        "parquet").start(str(tmp_path / "out"))
+    query.awaitTermination()
+    assert jobs.late_rows(query) == 2

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from timesift.operators.keyed import row_index
@@ -11,6 +11,11 @@ from timesift.plans.catalog import table
 EPOCH_2024 = 1704067200
 
 
+def epoch_micros(ts: str) -> Column:
+    """Microseconds since 1970 of a wall-clock time, whatever the session time zone is."""
+    return F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document as timed segments: 16 characters a second, 3 s after some lines.
 
@@ -62,7 +67,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("source_id"), F.col("event_id").alias("item_id"),
-        (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6) - F.lit(float(EPOCH_2024))).alias("t"),
+        (epoch_micros("ts") / F.lit(1e6) - F.lit(float(EPOCH_2024))).alias("t"),
         F.col("event_type").alias("kind"), F.col("value").alias("score"))
 
 

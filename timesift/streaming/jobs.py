@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from timesift.session import shared_dir
 
@@ -19,6 +20,11 @@ def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
 
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a query dropped because the watermark had passed them."""
+    return sum(op["numRowsDroppedByWatermark"] for step in query.recentProgress for op in step["stateOperators"])
+
+
 def ingest_once(stream: DataFrame, key: str, ts: str, delay: str, table_path: str, checkpoint: str) -> DataFrame:
     """Append each key once to ``table_path``, however often it arrives.
 
