@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from timesift.operators.segments import rolling_step
 from timesift.plans.catalog import query
 from timesift.plans.segment_plans import _CURRENT
-from timesift.plans.views import epoch_micros
 from timesift.session import shared_dir
 from timesift.streaming import folds, jobs
 
@@ -18,7 +17,7 @@ _SEEN = "(SELECT epoch_ms(max(ts)) - 10000 FROM events)"
 
 
 def _events(spark, sf):
-    return jobs.read_stream(spark, f"{sf}/events.parquet").withColumn("ts", jobs.event_time(F.col("ts")))
+    return jobs.read_stream(spark, f"{sf}/events.parquet").withColumn("ts", jobs.event_time("ts"))
 
 
 @query("stream_once", "SELECT event_id, user_id, event_type FROM events")
@@ -35,7 +34,7 @@ c AS (SELECT user_id, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 1440000
 SELECT user_id, start_us, items FROM c WHERE end_us <= (SELECT epoch_us(max(ts)) - 10000000 FROM events)""")
 def stream_sessions(spark, sf):
     found = jobs.pause_sessions(_events(spark, sf), ["user_id"], "ts", "4 hours", _DELAY)
-    return jobs.run_to_end(found, "sessions").select("user_id", epoch_micros("start").alias("start_us"), "items")
+    return jobs.run_to_end(found, "sessions").select("user_id", F.unix_micros("start").alias("start_us"), "items")
 
 
 @query("stream_budget", f"""WITH e AS (SELECT user_id, event_id, CAST(floor(value) AS BIGINT) AS size, row_number() OVER w AS ord, sum(CAST(floor(value) AS BIGINT)) OVER w AS total

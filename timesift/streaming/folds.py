@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -35,10 +36,8 @@ def stream_fold(df: DataFrame, keys: Sequence[str], ts: str, idx: str, uses: Seq
         fold, waiting = (json.loads(s) for s in state.get) if state.exists else (None, [])
         if not state.hasTimedOut:
             for batch in batches:
-                times = (batch[ts].astype("int64") // 1_000_000 if str(batch[ts].dtype).endswith("[ns]")
-                         else batch[ts].map(lambda t: int(t.timestamp() * 1000)))
                 waiting += [[int(t), plain(at), [plain(v) for v in values]]
-                            for t, at, values in zip(times, batch[idx], zip(*[batch[c] for c in uses]))]
+                            for t, at, values in zip(batch["__ms"], batch[idx], zip(*[batch[c] for c in uses]))]
         mark = state.getCurrentWatermarkMs()
         ready = sorted((w for w in waiting if w[0] <= mark), key=lambda w: w[:2])
         waiting = [w for w in waiting if w[0] > mark]
@@ -52,7 +51,8 @@ def stream_fold(df: DataFrame, keys: Sequence[str], ts: str, idx: str, uses: Seq
             state.setTimeoutTimestamp(max(min(w[0] for w in waiting), mark + 1))
         yield pd.DataFrame(made, columns=names)
 
-    slim = df.select(*dict.fromkeys([*keys, ts, idx, *uses]))
+    # Milliseconds are taken before the rows reach Python, where times follow the session zone.
+    slim = df.select(*dict.fromkeys([*keys, ts, idx, *uses]), F.unix_millis(ts).alias("__ms"))
     return slim.groupBy(*keys).applyInPandasWithState(
         run, out_schema, "fold string, waiting string", "append", GroupStateTimeout.EventTimeTimeout)
 

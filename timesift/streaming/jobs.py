@@ -70,5 +70,7 @@ def read_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
 
 
-def event_time(ts: Column) -> Column:
-    return ts.cast("timestamp")
+def event_time(ts: str) -> Column:
+    """A wall-clock column as an instant, read as UTC whatever the session time zone is."""
+    return F.timestamp_micros(F.expr(
+        f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))"))
