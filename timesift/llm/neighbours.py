@@ -45,13 +45,13 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def pick_pivots(vectors: DataFrame, pivots: int = PIVOTS, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Distinct vectors of a bounded sample, far from each other before near ones (no vector twice)."""
+    """Up to ``pivots`` distinct vectors of a bounded sample, in hash order."""
     n = vectors.count()
     share = int(min(1.0, sample_rows / max(1, n)) * 1_000_000) + 1
     rows = (vectors.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < share).select("v").distinct()
             .orderBy(F.xxhash64("v"), "v").limit(pivots))
     got = [r["v"] for r in rows.collect()]  # ``pivots`` rows
-    return np.array(got, dtype=np.float64).reshape(len(got), -1)
+    return np.array(got, dtype=np.float64).reshape(len(got), -1 if got else 0)
 
 
 def places(x: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
