@@ -2,13 +2,19 @@
 
 import os
 import random
+import sys
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+sys.path.append(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+
+from check_queries import rows_of  # noqa: E402
 from test_segments import naive_rolling, random_captions
 from timesift.operators.segments import rolling_step
+from timesift.plans import all_oracles, all_queries
 from timesift.streaming import folds, jobs
 
 
@@ -25,7 +31,7 @@ def stream_of(spark, tmp_path, data, schema, files):
         target = flat / f"{i:03d}.parquet"
         target.write_bytes(name.read_bytes())
         os.utime(target, (1_700_000_000 + i, 1_700_000_000 + i))  # files are taken by age
-    return jobs.read_stream(spark, str(flat)).withColumn("ts", F.timestamp_seconds("t"))
+    return jobs.read_stream(spark, str(flat), 1).withColumn("ts", F.timestamp_seconds("t"))
 
 
 @pytest.mark.parametrize("files", [1, 4])
@@ -63,7 +69,7 @@ def test_budget_and_spacing(spark, tmp_path, files):
 def test_each_key_lands_once_even_far_apart(spark, tmp_path):
     data = [(i % 10, 10 + 100 * i) for i in range(40)]
     stream = stream_of(spark, tmp_path, data, "key int, t int", 4)
-    landed = jobs.ingest_once(stream, "key", "ts", "5 seconds", str(tmp_path / "table"), str(tmp_path / "cp"))
+    landed = jobs.ingest_once(stream, "key", str(tmp_path / "table"), str(tmp_path / "cp"))
     assert sorted(r.key for r in landed.collect()) == list(range(10))
 
 
@@ -84,3 +90,43 @@ def test_late_rows_are_counted(spark, tmp_path):
         "parquet").start(str(tmp_path / "out"))
     query.awaitTermination()
     assert jobs.late_rows(query) == 2
+
+
+def test_run_to_end_refuses_late_rows(spark, tmp_path):
+    data = [(1, 500), (1, 600), (1, 700), (1, 701), (1, 10), (1, 200)]
+    stream = jobs.fixed_blocks(stream_of(spark, tmp_path, data, "k int, t int", 3), ["k"], "ts", "5 seconds")
+    with pytest.raises(ValueError, match="2 rows"):
+        jobs.run_to_end(stream, "late")
+
+
+def test_a_late_first_arrival_still_lands(spark, tmp_path):
+    data = [(i % 3, 100_000 + i) for i in range(6)] + [(7, 5), (8, 1), (7, 6)]
+    stream = stream_of(spark, tmp_path, data, "key int, t int", 3)
+    landed = jobs.ingest_once(stream, "key", str(tmp_path / "table"), str(tmp_path / "cp"))
+    assert sorted(r.key for r in landed.collect()) == [0, 1, 2, 7, 8]
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def cut_tables(spark, tmp_path_factory):
+    """The smallest event and conversation tables as four files each, split by key."""
+    base = tmp_path_factory.mktemp("cut")
+    for name, key in (("events", "user_id"), ("conversations", "conv_id")):
+        spark.read.parquet(f"{SF}/{name}.parquet").repartitionByRange(4, key).write.parquet(str(base / f"{name}.parquet"))
+    return str(base)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+@pytest.mark.parametrize("files", ["one", "four"])
+@pytest.mark.parametrize("name", ["stream_once", "stream_sessions", "stream_budget", "stream_spacing", "stream_rolling"])
+def test_stream_queries_equal_sql_on_any_file_layout(spark, cut_tables, name, files):
+    queries, twins = all_queries(), all_oracles()
+    con = duckdb.connect()
+    for table in ("events", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    df = queries[name](spark, SF if files == "one" else cut_tables)
+    cur = con.execute(twins[name])
+    columns = [d[0] for d in cur.description]
+    assert rows_of(df.columns, df.collect()) == rows_of(columns, cur.fetchall())
