@@ -10,7 +10,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from timesift.plans import all_queries  # noqa: E402
-from timesift.session import build_session  # noqa: E402
+from timesift.session import build_session, clear_tables  # noqa: E402
 
 HEADLINE = ["tokenize_norm", "rolling_dedupe", "build_spans", "span_score", "lexical_rank", "fuzzy_rescue", "targeted_evidence",
             "coverage_evidence", "frame_dedupe_window", "chunk_plan", "budget_prefix", "evidence_match", "latency_gate",
@@ -28,6 +28,7 @@ def main() -> None:
         started = time.perf_counter()
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         spent[name] = round(time.perf_counter() - started, 3)
+        clear_tables(spark)
         print(f"{name} {spent[name]}", file=sys.stderr, flush=True)
     sources = spark.read.parquet(f"{sf}/documents.parquet").count()
     questions = spark.read.parquet(f"{sf}/benchmark.parquet").count()

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from timesift.session import build_session  # noqa: E402
+from timesift.session import build_session, clear_tables  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,6 +16,7 @@ def spark():
     session.conf.set("spark.sql.codegen.wholeStage", "false")
     session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield session
+    clear_tables(session)
     session.stop()
 
 

@@ -39,11 +39,17 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach; a local one only when none is named (tests)."""
+    """The folder that all executors and the driver share.
+
+    Only a session on one machine may go without a named one (tests): on a cluster, executors
+    would write into folders of their own, and what is read back would be incomplete.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
+    if context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if context.applicationId not in _LOCAL_DIRS:
         _LOCAL_DIRS[context.applicationId] = tempfile.mkdtemp(prefix="spark-timesift-")
     return _LOCAL_DIRS[context.applicationId]
@@ -53,9 +59,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The table survives the loss of executors, keeps column pruning and filter pushdown, and
-    its size is known to the planner.
+    its size is known to the planner. ``clear_tables`` deletes the tables of an application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/timesift/{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/timesift/{spark.sparkContext.applicationId}"
+
+
+def clear_tables(spark: SparkSession) -> None:
+    """Delete what ``cut_lineage`` wrote in this application; call it when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
