@@ -36,7 +36,9 @@ def test_bootstrap_repeats_the_fixed_generator(spark):
     df = spark.createDataFrame([("m", k, v) for k, v in deltas.items()], "metric string, family_id string, delta double")
     r = ev.bootstrap_exact(df, 17).first()
     assert (r.n, r.mean, r.lower_95) == (3, sum(deltas.values()) / 3, means[499])
-    assert ev.bootstrap_exact(df, 17, limit=2).count() == 0
+    mixed = df.unionByName(spark.createDataFrame([("big", str(i), float(i)) for i in range(6)], df.schema))
+    got = {r.metric: (r.n, r["mean"]) for r in ev.bootstrap_exact(mixed, 17, limit=4).collect()}
+    assert got == {"m": (3, sum(deltas.values()) / 3), "big": (6, 2.5)}
     d = ev.bootstrap_drawn(df, 17).first()
     assert d.n == 3 and min(deltas.values()) <= d.lower_95 <= d.mean
 

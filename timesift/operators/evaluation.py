@@ -106,13 +106,15 @@ def family_deltas(deltas: DataFrame) -> DataFrame:
 
 
 def bootstrap_exact(families: DataFrame, seed: int, limit: int = 5000) -> DataFrame:
-    """(metric, n, mean, lower_95) with the fixed generator, for metrics of at most ``limit`` families.
+    """(metric, n, mean, lower_95) of every metric of ``families(metric, family_id, delta)``.
 
-    ``families`` is ``(metric, family_id, delta)``. The generator is one sequence of draws, so a metric is
-    one group; larger ones go through ``bootstrap_drawn``.
+    The fixed generator is one sequence of draws over a metric's families, so a metric of up to ``limit``
+    families is one bounded group. A larger one is drawn by ``bootstrap_drawn``, which spreads any number of
+    families over the cluster; no metric is left out.
     """
     sizes = families.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
     small = families.join(sizes.where(F.col("n") <= limit), "metric")
+    large = families.join(sizes.where(F.col("n") > limit).select("metric"), "metric", "left_semi")
 
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
         deltas = [float(d) for d in rows.assign(k=rows["family_id"].astype(str)).sort_values("k")["delta"]]
@@ -122,7 +124,8 @@ def bootstrap_exact(families: DataFrame, seed: int, limit: int = 5000) -> DataFr
         return pd.DataFrame({"metric": [rows["metric"].iloc[0]], "n": [len(deltas)],
                              "mean": [sum(deltas) / len(deltas)], "lower_95": [lower]})
 
-    return small.groupBy("metric").applyInPandas(draw, "metric string, n long, mean double, lower_95 double")
+    exact = small.groupBy("metric").applyInPandas(draw, "metric string, n long, mean double, lower_95 double")
+    return exact.unionByName(bootstrap_drawn(large, seed).select("metric", "n", "mean", "lower_95"))
 
 
 def bootstrap_drawn(families: DataFrame, seed: int, replicates: int = fixed.BOOTSTRAP_REPLICATES) -> DataFrame:

@@ -221,8 +221,8 @@ def unmet_terms(questions: DataFrame, pairs: DataFrame, rescued: DataFrame, show
     ``shown`` is ``(pair, seg_idx)``-wide: rows ``(pair, first_seg, last_seg)`` of shown blocks and
     ``(pair, chapter_id)`` rows with null bounds.
     """
-    words = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z][a-z0-9']+"), F.lit(0)), 2, 100_000)
-    capital = F.filter(words, lambda w: w.rlike("^[A-Z]"))
+    words = F.regexp_extract_all("text", F.lit("[A-Za-z][a-z0-9']+"), F.lit(0))
+    capital = F.filter(words, lambda w, i: (i > 0) & w.rlike("^[A-Z]"))
     named = questions.select("question_id", F.explode(F.transform(
         capital, lambda w: text.normalize_token(F.lower(w)))).alias("term")).distinct()
     asked = retrieval.question_terms(questions).join(named, ["question_id", "term"], "left_semi").where(

@@ -171,7 +171,7 @@ def loop_dominance(spark, sf):
     return chunks.loop_dominance(chunks.sentence_stream(views.segments(spark, sf)))
 
 
-_PERIODS = _SQL_STREAM + """,
+_PERIODS = _SQL_STREAM.replace("v_segments", "v_looped") + """,
 lone AS (SELECT source_id, seg_idx, string_split(s[1], ' ') AS w FROM said WHERE len(s) = 1 AND len(string_split(s[1], ' ')) >= 40),
 tried AS (SELECT source_id, seg_idx, w, unnest(range(1, least(30, len(w) // 20) + 1)) AS p FROM lone),
 flags AS (SELECT source_id, seg_idx, p, len(w) AS n, array_to_string(list_transform(range(1, len(w) // p), lambda i: CASE WHEN w[i * p + 1 : i * p + p] = w[i * p - p + 1 : i * p] THEN '1' ELSE '0' END), '') AS f FROM tried),
@@ -179,9 +179,9 @@ found AS (SELECT source_id, seg_idx, CAST(p AS INT) AS period, CAST(list_max(lis
 looped AS (SELECT source_id, seg_idx, period, repeats FROM found WHERE repeats >= 20 AND repeats * period > 0.8 * n)"""
 
 
-@query("loop_period", sql(_PERIODS + " SELECT source_id, seg_idx, period, repeats FROM looped", "v_segments"))
+@query("loop_period", sql(_PERIODS + " SELECT source_id, seg_idx, period, repeats FROM looped", "v_looped"))
 def loop_period(spark, sf):
-    return chunks.loop_periods(chunks.sentence_stream(views.segments(spark, sf)))
+    return chunks.loop_periods(chunks.sentence_stream(views.looped(spark, sf)))
 
 
 @query("loop_verdict", sql(_PERIODS + """,
@@ -190,9 +190,9 @@ r AS (SELECT source_id, max(n) AS run FROM (SELECT source_id, count(*) AS n FROM
 d AS (SELECT source_id, CAST(sum(n) AS BIGINT) AS n, max(n) AS top FROM (SELECT source_id, sentence, count(*) AS n FROM stream GROUP BY ALL) GROUP BY source_id),
 p AS (SELECT source_id, arg_min(period, seg_idx * 100 + period) AS period, arg_min(repeats, seg_idx * 100 + period) AS repeats FROM looped GROUP BY source_id)
 SELECT r.source_id, CASE WHEN run >= 20 THEN 'one sentence repeated ' || run || 'x consecutively' WHEN n >= 40 AND top / n > 0.6 THEN 'one sentence is ' || top || '/' || n
-  WHEN period IS NOT NULL THEN 'one ' || period || '-word phrase repeated ' || repeats || 'x' END AS verdict FROM r JOIN d USING (source_id) LEFT JOIN p USING (source_id)""", "v_segments"))
+  WHEN period IS NOT NULL THEN 'one ' || period || '-word phrase repeated ' || repeats || 'x' END AS verdict FROM r JOIN d USING (source_id) LEFT JOIN p USING (source_id)""", "v_looped"))
 def loop_verdict(spark, sf):
-    return chunks.loop_verdict(views.segments(spark, sf), one_record=True)
+    return chunks.loop_verdict(views.looped(spark, sf), one_record=True)
 
 
 _TRACK = "CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN concat(lang, '-orig') WHEN 2 THEN concat(lang, '-US') ELSE 'zz' END"

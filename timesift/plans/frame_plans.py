@@ -25,15 +25,16 @@ def frame_dedupe_last(spark, sf):
 
 
 def _rgb(spark, sf):
-    return views.frames(spark, sf).withColumn("thumb", F.slice("thumb", 1, 63))
+    """The 64 values of a signature as 22 colour cells, the last one filled up with zeros."""
+    return views.frames(spark, sf).withColumn("thumb", F.concat("thumb", F.array(F.lit(0), F.lit(0))))
 
 
-_REPEATS = f"""len(list_filter(w.recent, lambda s: f.ts - s.at <= 90 AND len(list_filter(range(0, 21), lambda i:
+_REPEATS = f"""len(list_filter(w.recent, lambda s: f.ts - s.at <= 90 AND len(list_filter(range(0, 22), lambda i:
     greatest(abs(f.a[i * 3 + 1] - s.sig[i * 3 + 1]), abs(f.a[i * 3 + 2] - s.sig[i * 3 + 2]), abs(f.a[i * 3 + 3] - s.sig[i * 3 + 3])) > {_WIDE['tolerance']}))
-    <= {_WIDE['allowed_pct']} * 21 / 100.0)) > 0"""
+    <= {_WIDE['allowed_pct']} * 22 / 100.0)) > 0"""
 
 
-@query("frame_dedupe_window", sql(f"""sigs AS (SELECT source_id, idx, ts, thumb[1:63] AS a FROM v_frames),
+@query("frame_dedupe_window", sql(f"""sigs AS (SELECT source_id, idx, ts, list_concat(thumb, [0, 0]) AS a FROM v_frames),
 walk AS (SELECT source_id, idx, [{{'sig': a, 'at': ts}}] AS recent, idx AS keeper FROM sigs WHERE idx = 0
   UNION ALL SELECT source_id, idx, CASE WHEN dup THEN recent ELSE list_append(recent, {{'sig': a, 'at': ts}})[-4:] END, CASE WHEN dup THEN keeper ELSE idx END
   FROM (SELECT f.source_id, f.idx, f.ts, f.a, w.recent, w.keeper, {_REPEATS} AS dup FROM walk w JOIN sigs f ON f.source_id = w.source_id AND f.idx = w.idx + 1))

@@ -395,13 +395,15 @@ def frame_delta(spark, sf):
         "source_id", "idx", F.round(measures.frame_delta(F.col("thumb"), F.col("before")), 6).alias("delta"))
 
 
-@query("changed_cells", sql("""p AS (SELECT source_id, idx, thumb[1:63] AS a, (lag(thumb) OVER (PARTITION BY source_id ORDER BY idx))[1:63] AS b FROM v_frames),
-d AS (SELECT source_id, idx, list_transform(a, lambda x, i: abs(x - b[i])) AS g FROM p WHERE b IS NOT NULL)
-SELECT source_id, idx, round(len(list_filter(range(0, 21), lambda i: greatest(g[i * 3 + 1], g[i * 3 + 2], g[i * 3 + 3]) > 25)) * 100.0::DOUBLE / 21, 6) AS pct
+@query("changed_cells", sql("""p AS (SELECT source_id, idx, list_concat(thumb, [0, 0]) AS a, list_concat(lag(thumb) OVER w, CASE WHEN lag(thumb) OVER w IS NOT NULL THEN [0, 0] END) AS b,
+  lag(thumb) OVER w IS NOT NULL AS later FROM v_frames WINDOW w AS (PARTITION BY source_id ORDER BY idx)),
+d AS (SELECT source_id, idx, list_transform(a, lambda x, i: abs(x - b[i])) AS g FROM p WHERE later)
+SELECT source_id, idx, round(len(list_filter(range(0, 22), lambda i: greatest(g[i * 3 + 1], g[i * 3 + 2], g[i * 3 + 3]) > 25)) * 100.0::DOUBLE / 22, 6) AS pct
 FROM d""", "v_frames"))
 def changed_cells(spark, sf):
     pair = _frame_pairs(spark, sf)
-    pct = measures.changed_cell_pct(F.slice("thumb", 1, 63), F.slice("before", 1, 63))
+    last = F.array(F.lit(0), F.lit(0))  # 64 values: the 22nd cell is filled up with zeros
+    pct = measures.changed_cell_pct(F.concat("thumb", last), F.concat("before", last))
     return pair.select("source_id", "idx", F.round(pct, 6).alias("pct"))
 
 

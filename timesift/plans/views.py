@@ -37,10 +37,16 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim("line").alias("text"))
 
 
+def looped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments, with a decoding loop in the first one of every 25th source: its first three words, 25 times."""
+    words = F.slice(F.split(F.regexp_replace("text", "[.!?]", ""), " "), 1, 3)
+    loop = F.repeat(F.concat(F.array_join(words, " "), F.lit(" ")), F.lit(25))
+    planted = (F.col("source_id") % 25 == 0) & (F.col("seg_idx") == 0)
+    return segments(spark, sf_dir).withColumn("text", F.when(planted, loop).otherwise(F.col("text")))
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("question_id"),
-        F.array_join(F.slice(F.split("text", " "), 1, 12), " ").alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
 
 def rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,9 +135,11 @@ v_segments AS (SELECT source_id,
   CAST(cb AS DOUBLE) / 16 + 3 * CAST(bb AS DOUBLE) AS start_s,
   CAST(cb + length(line) AS DOUBLE) / 16 + 3 * CAST(bb AS DOUBLE) AS end_s,
   trim(line) AS text FROM v_timed WHERE trim(line) <> '')"""),
+    "v_looped": (["v_segments"], """
+v_looped AS (SELECT source_id, seg_idx, start_s, end_s, CASE WHEN source_id % 25 = 0 AND seg_idx = 0 THEN
+  repeat(array_to_string(list_slice(string_split(regexp_replace(text, '[.!?]', '', 'g'), ' '), 1, 3), ' ') || ' ', 25) ELSE text END AS text FROM v_segments)"""),
     "v_questions": ([], """
-v_questions AS (SELECT item_id AS question_id,
-  array_to_string(list_slice(string_split(text, ' '), 1, 12), ' ') AS text FROM benchmark)"""),
+v_questions AS (SELECT item_id AS question_id, text FROM benchmark)"""),
     "v_rolling": (["v_segments"], """
 v_rolling AS (SELECT source_id, seg_idx, start_s, end_s, CASE WHEN p IS NULL THEN text ELSE
   concat(array_to_string(list_slice(string_split(p, ' '), greatest(len(string_split(p, ' ')) - 3, 1),
