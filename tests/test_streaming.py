@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 sys.path.append(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 from check_queries import rows_of  # noqa: E402
-from test_segments import naive_rolling, random_captions
+from test_segments import in_sequence, random_captions
 from timesift.operators.segments import rolling_step
 from timesift.plans import all_oracles, all_queries
 from timesift.streaming import folds, jobs
@@ -42,7 +42,7 @@ def test_rolling_captions(spark, tmp_path, files):
     stream = stream_of(spark, tmp_path, shuffled, "source_id int, seg_idx int, t int, text string", files)
     out = folds.stream_fold(stream.withWatermark("ts", "20 seconds"), ["source_id"], "ts", "seg_idx", ["seg_idx", "text"], rolling_step, "keeper int, kept_text string")
     got = sorted((r.seg_idx, r.kept_text) for r in jobs.run_to_end(out, "t").where("source_id = 1 and keeper = seg_idx").collect())
-    assert got == naive_rolling(texts)
+    assert got == in_sequence(texts)
 
 
 @pytest.mark.parametrize("files", [1, 3])

@@ -19,57 +19,6 @@ def request_rules() -> Column:
         F.when(~F.col("max_frames").between(1, fixed.MAX_FRAMES), "invalid frame budget")))
 
 
-# Row rules of the artifact tables, as data: enumerations, patterns and ranges that must hold.
-PATTERNS = {
-    "sha40": "^[0-9a-f]{40}$",
-    "sha64": "^[0-9a-f]{64}$",
-    "packet_id": "^P[0-9]+[A-Z]?$",
-    "utc_timestamp": r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?Z$",
-}
-STATUSES = ["provisional", "complete", "failed", "partial", "invalid"]
-RESULT_STATES = ["success", "degraded", "partial", "unavailable", "fatal"]
-FAILURE_CLASSES = [
-    "sabr_client", "http_403", "http_429", "network_timeout", "format_unavailable", "invalid_source", "login_required",
-    "region_locked", "private_or_deleted", "unsupported_source", "cookie_validation", "integrity_refusal",
-    "adapter_unavailable", "incomplete_output", "runtime_error",
-]
-SPLITS = ["tier1", "development", "confirmatory", "external"]
-ARMS = ["control", "candidate"]
-COMMON = {
-    "required": ["schema_version", "artifact_type", "created_at_utc", "packet_id", "status"],
-    "enum": {"status": STATUSES},
-    "pattern": {"created_at_utc": "utc_timestamp", "packet_id": "packet_id", "control_commit": "sha40",
-                "candidate_commit": "sha40", "candidate_config_hash": "sha64", "plan_sha256": "sha64"},
-}
-ARTIFACTS = {
-    "case": {"required": ["case_id", "source_family_id", "split", "question_class"], "enum": {"split": SPLITS},
-             "min_items": {"obligations": 1}, "pattern": {"source_metadata_hash": "sha64"}},
-    "run": {"required": ["case_id", "arm", "attempt", "order", "result_state", "raw_manifest_path"],
-            "enum": {"arm": ARMS, "result_state": RESULT_STATES, "failure_class": FAILURE_CLASSES},
-            "positive": ["attempt", "order"], "path": ["raw_manifest_path"]},
-    "judgment": {"required": ["case_id", "arm", "refused"], "enum": {"arm": ARMS}, "nonnegative": ["citations_checked"]},
-    "retrieval": {"required": ["case_id", "arm", "temporal_iou"], "enum": {"arm": ARMS}},
-    "usage": {"required": ["case_id", "arm", "measurement_kind", "measurement_source"],
-              "enum": {"arm": ARMS, "measurement_kind": ["reported", "estimated"]}, "positive": ["attempt"],
-              "nonnegative": ["reader_text_tokens", "reader_image_tokens", "all_model_input_tokens",
-                              "all_model_output_tokens", "calls", "dollars"]},
-    "resource": {"required": ["case_id", "arm", "state"], "enum": {"arm": [*ARMS, "noop"], "state": ["cold", "warm"]},
-                 "nonnegative": ["wall_ms", "cpu_ms", "peak_rss_bytes", "disk_bytes", "network_bytes", "process_calls",
-                                 "initialization_ms"]},
-    "asr": {"required": ["case_id", "arm", "language"], "enum": {"arm": ARMS}, "positive": ["reference_words"],
-            "nonnegative": ["substitutions", "deletions", "insertions"], "min_items": {"boundary_errors_seconds": 20}},
-    "failure": {"required": ["case_id", "arm", "normalized_failure", "final_state"],
-                "enum": {"arm": ARMS, "normalized_failure": FAILURE_CLASSES, "final_state": RESULT_STATES}, "positive": ["attempt"]},
-    "install_result": {"required": ["operation", "exit_code"], "nonnegative": ["exit_code", "duration_ms", "artifact_bytes"],
-                       "enum": {"operation": ["install", "update", "invoke", "rollback", "purge", "uninstall", "reinstall"]}},
-    "privacy_scan": {"required": ["secret_class", "artifact_path", "observed_matches", "pass"],
-                     "nonnegative": ["observed_matches"], "path": ["artifact_path"]},
-    "provenance": {"required": ["mechanism", "disposition", "use_kind"],
-                   "enum": {"disposition": ["ship", "evaluate-only", "defer", "exclude"],
-                            "use_kind": ["inspiration", "adaptation", "code"]}},
-}
-
-
 def _gone(name: str) -> Column:
     return F.col(name).isNull()
 
@@ -103,17 +52,17 @@ def special_rules(kind: str, columns: set[str]) -> list[Column]:
 
 def row_rules(kind: str, columns: list[str]) -> Column:
     """ARRAY of broken rules of one row of the artifact table ``kind``; absent columns count as missing."""
-    spec, have = ARTIFACTS[kind], set(columns)
+    spec, have = fixed.ARTIFACTS[kind], set(columns)
     rules: list[Column] = []
-    for name in [*COMMON["required"], *spec["required"]]:
+    for name in [*fixed.COMMON["required"], *spec["required"]]:
         rule = F.lit(f"missing required field {name}")
         rules.append(F.when(_gone(name), rule) if name in have else rule)
-    for name, values in {**COMMON["enum"], **spec.get("enum", {})}.items():
+    for name, values in {**fixed.COMMON["enum"], **spec.get("enum", {})}.items():
         if name in have:
             rules.append(F.when(~F.col(name).isin(values), f"{name} has invalid enum value"))
-    for name, pattern in {**COMMON["pattern"], **spec.get("pattern", {})}.items():
+    for name, pattern in {**fixed.COMMON["pattern"], **spec.get("pattern", {})}.items():
         if name in have:
-            rules.append(F.when(~F.col(name).rlike(PATTERNS[pattern]), f"{name} does not match {pattern}"))
+            rules.append(F.when(~F.col(name).rlike(fixed.PATTERNS[pattern]), f"{name} does not match {pattern}"))
     for name, least in [(n, 1) for n in spec.get("positive", [])] + [(n, 0) for n in spec.get("nonnegative", [])]:
         if name in have:
             number = F.col(name).cast("double")
@@ -141,7 +90,7 @@ def dataset_violations(runs: DataFrame, cases: DataFrame) -> DataFrame:
         F.lit("duplicate case/arm/attempt").alias("rule"))
     shape = keyed.groupBy("case_id", "arm").agg(F.count(F.lit(1)).alias("d"), F.min("attempt").alias("low"), F.max("attempt").alias("top"))
     dropped = shape.where("low <> 1 or top <> d").select(key.alias("scope"), F.lit("dropped attempt").alias("rule"))
-    lone = shape.groupBy("case_id").agg(F.count_if(F.col("arm").isin(ARMS)).alias("n")).where("n < 2").select(
+    lone = shape.groupBy("case_id").agg(F.count_if(F.col("arm").isin(fixed.ARMS)).alias("n")).where("n < 2").select(
         F.col("case_id").cast("string").alias("scope"), F.lit("lacks paired runs").alias("rule"))
     leaks = split_leakage(cases).select(F.col("family_id").cast("string").alias("scope"), F.lit("family leaks across splits").alias("rule"))
     return twice.unionByName(dropped).unionByName(lone).unionByName(leaks)
@@ -167,7 +116,7 @@ def registry_violations(families: DataFrame, identities: DataFrame, minimum: int
                                 "family_id", "duplicate family assignment"))
     out = out.unionByName(found(families.join(identities, "family_id", "left_anti").select("family_id").distinct(), "family_id", "family lacks identities"))
     out = out.unionByName(found(identities.where(~F.col("identity_id").rlike(LABEL)), "identity_id", "identity_id must be an opaque label"))
-    out = out.unionByName(found(identities.where(~F.col("identity_sha256").rlike(PATTERNS["sha64"])), "identity_id", "identity requires sha256"))
+    out = out.unionByName(found(identities.where(~F.col("identity_sha256").rlike(fixed.PATTERNS["sha64"])), "identity_id", "identity requires sha256"))
     for name, rule in (("identity_id", "duplicate identity alias"), ("identity_sha256", "duplicate identity hash")):
         out = out.unionByName(found(identities.groupBy(name).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), name, rule))
     reserve = families.where("split = 'confirmatory'")

@@ -74,26 +74,23 @@ def collapse_repeats(segments: DataFrame) -> DataFrame:
     ).drop("__island")
 
 
-def _without_overlap(before: str, text: str) -> str:
-    """``text`` less its longest word-aligned opening that ends ``before``."""
-    cut = min(len(before), len(text))
-    while cut >= MIN_OVERLAP:
-        if (cut == len(text) or text[cut] == " ") and before.endswith(text[:cut]):
-            return text[cut:].lstrip()
-        cut = max(text.rfind(" ", 0, cut), -1)
-    return text
+def _fresh(text: str, kept: str) -> str:
+    """What a caption adds to the kept one: nothing when it lies inside it or its first half ends it, else all
+    behind its longest word-aligned opening that ends it."""
+    half = text[:len(text) // 2]
+    if text in kept or half and kept.endswith(half):
+        return ""
+    bounds = [i for i, c in enumerate(text) if c == " " and i >= MIN_OVERLAP]
+    repeated = [i for i in bounds if kept.endswith(text[:i])]
+    return text[repeated[-1]:].lstrip() if repeated else text
 
 
 def rolling_step(state, at: int, text: str):
     """Pass for rolling captions; the state is the last kept text and its position."""
-    if state is not None:
-        kept, keeper = state
-        half = text[: len(text) // 2]
-        inside = text in kept or (half and kept.endswith(half))
-        text = "" if inside else _without_overlap(kept, text)
-        if not text:
-            return (keeper, None), state
-    return (int(at), text), [text, int(at)]
+    fresh = text if state is None else _fresh(text, state[0])
+    if not fresh and state is not None:
+        return (state[1], None), state
+    return (int(at), fresh), [fresh, int(at)]
 
 
 def collapse_rolling(segments: DataFrame, one_record: bool = False) -> DataFrame:

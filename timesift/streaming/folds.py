@@ -58,17 +58,18 @@ def stream_fold(df: DataFrame, keys: Sequence[str], ts: str, idx: str, uses: Seq
 
 
 def budget_step(max_bytes: int, max_sends: int):
-    """Budget with a latch: a send that lands on a bound is allowed and closes it."""
+    """Budget with a latch, by running totals over all sends asked for so far; a bound of 0 is none.
+
+    A send is allowed while all sends up to it keep to both bounds and those before it reached none of them: a send
+    that lands on a bound is the last one.
+    """
+    bounds = [(i, bound) for i, bound in enumerate((max_bytes, max_sends)) if bound]
 
     def step(state, size: int):
-        spent, sends, closed = state or [0, 0, False]
-        size = int(size)
-        over = (max_bytes and spent + size > max_bytes) or (max_sends and sends + 1 > max_sends)
-        if closed or over:
-            return (False,), [spent, sends, True]
-        spent, sends = spent + size, sends + 1
-        full = (max_bytes and spent >= max_bytes) or (max_sends and sends >= max_sends)
-        return (True,), [spent, sends, bool(full)]
+        before = state or [0, 0]
+        after = [before[0] + int(size), before[1] + 1]
+        allowed = all(after[i] <= bound and before[i] < bound for i, bound in bounds)
+        return (allowed,), after
 
     return step
 
