@@ -135,8 +135,11 @@ def find_overlap(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, per
     Returns ``rid, doc_id, n_words, runs, items`` (runs of word positions, end exclusive).
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    number = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     blocks = _blocks(benchmark, width, per_pass)
+    if len(blocks) > 1 and "__rid" not in docs.columns:
+        rows = cut_lineage(rows)  # row numbers must be the same in every pass
     scans = [rows.mapInArrow(_scanner(_broadcast(spark, b, width)), FOUND) for b in blocks]
     if len(scans) == 1:
         return scans[0]
@@ -210,8 +213,8 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIND
     if len(blocks) > 1:
         if spans:
             raise ValueError("span removal takes a benchmark of one pass")
-        dirty = overlap_by_row(docs, benchmark, width, share, per_pass)
-        keyed = docs.withColumn("__rid", F.monotonically_increasing_id())
+        keyed = cut_lineage(docs.withColumn("__rid", F.monotonically_increasing_id()))
+        dirty = overlap_by_row(keyed, benchmark, width, share, per_pass)
         return keyed.join(dirty, "__rid", "left_anti").drop("__rid")
     names = [f"__c{i}" for i in range(len(docs.columns))]
     at = docs.columns.index("text")

@@ -31,12 +31,13 @@ def source_targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, cap: in
     spark = sources.sparkSession
     ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     ranged = cut_lineage(ranged)
+    n = ranged.count()
     placed = running_sum(ranged.withColumn("one", F.lit(1)), ["one"], F.col("part"), [F.col("source").asc_nulls_last()],
                          {"position": F.lit(1).cast("long")})
     turn = F.array(*[F.lit(float(w)) for w in weights])
     weighed = cut_lineage(placed.select(
         "source", "source_size", F.get(turn, F.pmod("position", F.lit(len(weights))).cast("int")).alias("weight"),
-        (F.lit(float(cap)) * F.col("source_size")).alias("most")))
+        (F.lit(float(cap)) * F.col("source_size")).alias("most")), n)
     total = weighed.agg(F.sum("source_size")).first()[0] or 0
     level = None
     while True:
@@ -77,11 +78,12 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     last document taken. Keys are summed in buckets within a source, so one source may hold any share of
     all rows.
     """
-    sources = cut_lineage(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    n_rows = rows.count()
+    n = bucket_count(n_rows)
+    sources = cut_lineage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), n_rows)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = cut_lineage(source_targets(sources, weights, cap).withColumn("epochs", epochs))
+    targets = cut_lineage(source_targets(sources, weights, cap).withColumn("epochs", epochs), n_rows)
     placed = with_source(rows.filter("size > 0"), targets)
-    n = bucket_count(rows.count())
     # 1 - exp(-key * least weight) never decreases with the key and is dense by a factor of 20 at most.
     bucket = F.least(F.lit(n - 1), F.floor((F.lit(1.0) - F.exp(-F.col("mix_key") * F.lit(LEAST_WEIGHT))) * F.lit(n)))
     order = ["mix_key", "doc_id", "size"]
@@ -90,7 +92,7 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     taken = summed.filter(F.lit(2.0) * F.col("before") + F.col("size") < F.lit(2.0) * rest)
     last = taken.groupBy("source").agg(F.max(F.struct(*order)).alias("last"))
     both = targets.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    return cut_lineage(both)
+    return cut_lineage(both, n_rows)
 
 
 def with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:

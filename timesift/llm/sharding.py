@@ -82,30 +82,31 @@ def propagate(linked: DataFrame, shards: int, mean: float, rounds: int = ROUNDS)
     tries again. Ends when nothing moves.
     """
     keep = ["doc_id", "size", "text_crc32", "g", "u", "shard"]
-    n = bucket_count(linked.count())
+    n_rows = linked.count()
+    n = bucket_count(n_rows)
     names = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     for _ in range(rounds):
-        held = cut_lineage(linked.groupBy("g", "shard").agg(F.sum("size").alias("held")))
+        held = cut_lineage(linked.groupBy("g", "shard").agg(F.sum("size").alias("held")), n_rows)
         loads = held.groupBy("shard").agg(F.sum("held").alias("load"))
         room = cut_lineage(names.join(loads, "shard", "left").select(
-            "shard", (F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room")))
+            "shard", (F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room")), shards)
         # The heaviest shard of a group is its home while it has room or nothing comes to it.
         best = held.join(room, "shard").groupBy("g").agg(
             F.max_by("shard", F.struct("held", F.hash("g", "shard"))).alias("top"),
             F.max_by("shard", F.when(F.col("room") > 0, F.struct("held", F.hash("g", "shard")))).alias("open"),
             F.max_by("room", F.struct("held", F.hash("g", "shard"))).alias("top_room"), F.count(F.lit(1)).alias("spread"))
         wish = cut_lineage(best.filter("spread > 1").select("g", F.when(F.col("top_room") > 0, F.col("top")).otherwise(F.col("open")).alias("to"),
-                                                            F.col("top").alias("top")).filter("`to` IS NOT NULL"))
+                                                            F.col("top").alias("top")).filter("`to` IS NOT NULL"), n_rows)
         wished = linked.join(wish, "g", "left")
         # Who already lies in the group's heaviest shard stays, and so does who would move to a smaller part.
         movers = wished.filter("`to` IS NOT NULL AND shard != `to` AND shard != top")
         placed = running_sum(movers, ["to"], _bucket(n), [F.col("u"), F.col("doc_id")], {"before": F.col("size")})
         moved = placed.join(room.toDF("to", "room"), "to").withColumn("fits", F.col("before") + F.col("size") <= F.col("room"))
-        moved = cut_lineage(moved.select("fits", *keep, "to"))
+        moved = cut_lineage(moved.select("fits", *keep, "to"), n_rows)
         if moved.filter("fits").isEmpty():
             break
         stays = wished.filter("NOT coalesce(`to` IS NOT NULL AND shard != `to` AND shard != top, false)").select(*keep)
-        linked = cut_lineage(stays.unionByName(moved.withColumn("shard", F.when(F.col("fits"), F.col("to")).otherwise(F.col("shard"))).select(*keep)))
+        linked = cut_lineage(stays.unionByName(moved.withColumn("shard", F.when(F.col("fits"), F.col("to")).otherwise(F.col("shard"))).select(*keep)), n_rows)
     return linked
 
 
@@ -122,18 +123,18 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataF
     mean, n = (total or 0) / shards, bucket_count(n_rows)
     names = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
     even = names.withColumn("room", F.lit(1.0))
-    groups = cut_lineage(rows.filter("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"))
+    groups = cut_lineage(rows.filter("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), n_rows)
     keep = ["doc_id", "size", "text_crc32", "u", "shard"]
     linked = fill(rows.join(groups, "g", "left_semi"), even, n)
-    linked = propagate(cut_lineage(linked.select("g", *keep)), shards, mean, rounds).select(*keep)
-    alone = cut_lineage(rows.filter("g IS NULL").unionByName(rows.join(groups, "g", "left_anti").filter("g IS NOT NULL")).drop("g"))
+    linked = propagate(cut_lineage(linked.select("g", *keep), n_rows), shards, mean, rounds).select(*keep)
+    alone = cut_lineage(rows.filter("g IS NULL").unionByName(rows.join(groups, "g", "left_anti").filter("g IS NOT NULL")).drop("g"), n_rows)
     loads = names.join(linked.groupBy("shard").agg(F.sum("size").alias("load")), "shard", "left").fillna(0, ["load"])
     heavy = F.col("size") > F.lit(mean / BOULDER)
-    boulders = cut_lineage(place_boulders(alone.filter(heavy), cut_lineage(loads)).select(*keep))
-    both = cut_lineage(linked.select("shard", "size").unionByName(boulders.select("shard", "size")).groupBy("shard").agg(F.sum("size").alias("load")))
+    boulders = cut_lineage(place_boulders(alone.filter(heavy), cut_lineage(loads, shards)).select(*keep), shards)
+    both = cut_lineage(linked.select("shard", "size").unionByName(boulders.select("shard", "size")).groupBy("shard").agg(F.sum("size").alias("load")), shards)
     room = names.join(both, "shard", "left").select("shard", F.greatest(F.lit(0.0), F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room"))
     small = fill(alone.filter(~heavy), room, n).select(*keep)
-    placed = cut_lineage(linked.unionByName(boulders).unionByName(small))
+    placed = cut_lineage(linked.unionByName(boulders).unionByName(small), n_rows)
     slotted = running_sum(placed, ["shard"], _bucket(max(1, n // 16)), [F.col("u"), F.col("doc_id")], {"slot": F.lit(1).cast("long")})
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
                           F.lit(None).cast("int").alias("grown_shard"))
