@@ -8,11 +8,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from timesift.session import cut_lineage
+from timesift import session
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+ROWS_PER_FILE = 250_000
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; ``rows``, a bound on its rows, keeps small tables in few files."""
+    if rows is not None:
+        df = df.coalesce(max(8, rows // ROWS_PER_FILE + 1))
+    return session.cut_lineage(df)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
