@@ -4,7 +4,6 @@ import hashlib
 import math
 import random
 import re
-import zlib
 
 from pyspark.sql import functions as F
 
@@ -33,7 +32,7 @@ def plain_mix(rows, seed=17):
     found = []
     for doc, text, source in rows:
         size = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
-        head = f"{seed}|{'' if doc is None else doc}|{zlib.crc32((text or '').encode())}"
+        head = f"{seed}|{'' if doc is None else doc}|{hashlib.md5((text or '').encode()).hexdigest()}"
         u = (int(hashlib.md5(head.encode()).hexdigest()[:13], 16) + 0.5) / 16 ** 13
         share = len([c for c in text if c not in "#$%&*|!"]) / len(text) if text else 0.05
         found.append((source, -math.log(u) / max(0.05, min(1.0, share)), doc, size))

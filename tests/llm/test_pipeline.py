@@ -45,7 +45,7 @@ def test_stages_on_odd_rows(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["op4_decontaminate", "op7_jaccard"])
+@pytest.mark.parametrize("name", ["op4_decontaminate", "op6_mix", "op7_jaccard"])
 def test_query_equals_sql(spark, name):
     from check_queries import rows_of
     con = duckdb.connect()

@@ -65,7 +65,7 @@ def keyed_sizes(docs: DataFrame, weight: Column, seed: int) -> DataFrame:
     u comes from the md5 of the seed, doc_id and text, so that reruns agree.
     """
     w = F.greatest(F.lit(LEAST_WEIGHT), F.least(F.lit(1.0), F.coalesce(weight, F.lit(LEAST_WEIGHT))))
-    u = uniform(seed, F.col("doc_id"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    u = uniform(seed, F.col("doc_id"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return docs.withColumn("size", word_count(F.col("text"))).withColumn("mix_key", -F.log(u) / w)
 
 

@@ -20,6 +20,32 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
 FROM d LEFT JOIN hit_words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+OP6 = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         (CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT)
+           + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u,
+         greatest(CAST(0.05 AS DOUBLE), least(CAST(1 AS DOUBLE), coalesce(
+           CAST(length(translate(text, '#$%&*|!', '')) AS DOUBLE) / nullif(length(text), 0), CAST(0.05 AS DOUBLE)))) AS weight
+  FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position FROM d GROUP BY source),
+w AS (SELECT source, CAST(source_size AS BIGINT) AS source_size, CAST(3 * source_size AS DOUBLE) AS most,
+             CAST(CASE position % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS weight FROM s),
+-- Sources in the order in which they reach their cap: the level is right where the next one does not.
+o AS (SELECT *, most / weight AS reach, sum(most) OVER r - most AS held, sum(weight) OVER () - (sum(weight) OVER r - weight) AS free,
+             row_number() OVER r AS n
+      FROM w WINDOW r AS (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+level AS (SELECT arg_min(((SELECT sum(source_size) FROM w) - held) / free, n) AS level FROM o
+          WHERE ((SELECT sum(source_size) FROM w) - held) / free <= reach),
+t AS (SELECT source, source_size, least(most, coalesce(level, most) * weight) AS target FROM w, level),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+k AS (SELECT d.doc_id, d.size, e.source_size, e.target, e.epochs,
+             coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY -ln(u) / weight, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source),
+c AS (SELECT *, epochs + CASE WHEN size > 0 AND 2.0::DOUBLE * before + size < 2.0::DOUBLE * (target - epochs * source_size) THEN 1 ELSE 0 END AS copies FROM k)
+SELECT doc_id, size, source_size, target, CAST(copies AS BIGINT) AS copies, CAST(copies * size AS BIGINT) AS taken FROM c
+"""
+
 OP7 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -27,12 +53,12 @@ WITH RECURSIVE d AS (
 s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + least(len(w), 3) - 1), ' ') AS t
       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id
       GROUP BY a.doc_id, b.doc_id),
-e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * both >= 90 * (na.n + nb.n - both)),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 90 * (na.n + nb.n - shared)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-TWINS = {"op4_decontaminate": OP4, "op7_jaccard": OP7}
+TWINS = {"op4_decontaminate": OP4, "op6_mix": OP6, "op7_jaccard": OP7}
