@@ -199,3 +199,9 @@ ARTIFACTS = {
                    "enum": {"disposition": ["ship", "evaluate-only", "defer", "exclude"],
                             "use_kind": ["inspiration", "adaptation", "code"]}},
 }
+
+# Fixed values of bundle manifests.
+BUNDLE_SCHEMA_VERSION = 1
+MANIFEST_FIELDS = ["bundle_schema_version", "tool_versions", "schema_versions", "evidence_budget", "completeness_state", "provenance",
+                   "media_included", "files"]
+COMPLETENESS_STATES = ["complete", "partial", "degraded"]

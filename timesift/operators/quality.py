@@ -176,3 +176,38 @@ def arm_diff(rows: DataFrame) -> DataFrame:
     sign = F.when(F.col("arm") == "control", 1).otherwise(-1)
     return rows.groupBy("case_id", "field", "value").agg(F.sum(sign).alias("balance")).where("balance <> 0").select(
         "case_id", "field").distinct()
+
+
+def coverage_gaps(gates: DataFrame, known_environments: list[str]) -> DataFrame:
+    """(gate_id, rule, missing) of ``gates(gate_id, required_classes, covered_classes, required_environments,
+    covered_environments)``: what is required and not covered, and environments that nobody knows."""
+    known = F.array(*[F.lit(e) for e in known_environments]).cast("array<string>")
+    mentioned = F.array_union("required_environments", "covered_environments")
+    gaps = F.array(
+        F.struct(F.lit("class is not covered").alias("rule"), F.array_except("required_classes", "covered_classes").alias("m")),
+        F.struct(F.lit("environment is not covered").alias("rule"), F.array_except("required_environments", "covered_environments").alias("m")),
+        F.struct(F.lit("environment is unknown").alias("rule"), F.array_except(mentioned, known).alias("m")))
+    each = gates.select("gate_id", F.explode(gaps).alias("g"))
+    return each.select("gate_id", "g.rule", F.explode("g.m").alias("missing"))
+
+
+def manifest_refusal() -> Column:
+    """The first reason to refuse the JSON text ``manifest`` of a bundle; null for a complete one."""
+    texts = "map<string, string>"
+    m = F.from_json("manifest", f"struct<bundle_schema_version: bigint, tool_versions: {texts}, schema_versions: {texts}, evidence_budget: {texts}, "
+                                f"completeness_state: string, provenance: {texts}, media_included: boolean, files: array<string>>")
+
+    def empty(name: str) -> Column:
+        return F.coalesce(F.cardinality(m[name]), F.lit(0)) < 1
+
+    fields = F.array_sort(F.json_object_keys("manifest"))
+    return F.coalesce(
+        F.when(~F.coalesce(fields == F.array(*[F.lit(f) for f in sorted(fixed.MANIFEST_FIELDS)]), F.lit(False)), "fields are missing or unknown"),
+        F.when(F.coalesce(m["bundle_schema_version"], F.lit(-1)) != fixed.BUNDLE_SCHEMA_VERSION, "another bundle schema"),
+        F.when(empty("tool_versions"), "no tool versions"),
+        F.when(empty("schema_versions"), "no schema versions"),
+        F.when(m["evidence_budget"].isNull(), "no evidence budget"),
+        F.when(~F.coalesce(m["completeness_state"].isin(fixed.COMPLETENESS_STATES), F.lit(False)), "invalid completeness"),
+        F.when(empty("provenance"), "no provenance"),
+        F.when(m["media_included"].isNull(), "no media declaration"),
+        F.when(empty("files"), "no files"))

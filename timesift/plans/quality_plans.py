@@ -204,3 +204,48 @@ def hash_chain(spark, sf):
         "sequence": F.when(F.col("item_id") % 97 == 0, F.col("sequence") + 1).otherwise(F.col("sequence")),
         "record_hash": F.when(F.col("item_id") % 89 == 0, F.sha2("record_hash", 256)).otherwise(F.col("record_hash"))})
     return audit.log_violations(bent)
+
+
+@query("coverage_gaps", sql("""req AS (SELECT DISTINCT family_id, question_class AS c FROM v_cases WHERE case_id % 2 = 0),
+cov AS (SELECT DISTINCT family_id, question_class AS c FROM v_cases WHERE case_id % 2 = 1 AND length(question_class) > family_id % 9),
+renv AS (SELECT DISTINCT family_id, environment_id AS c FROM v_cases),
+cenv AS (SELECT DISTINCT family_id, environment_id AS c FROM v_cases WHERE environment_id <> CASE WHEN family_id % 4 = 0 THEN 'P' ELSE '' END)
+SELECT family_id AS gate_id, 'class is not covered' AS rule, c AS missing FROM (SELECT * FROM req EXCEPT SELECT * FROM cov)
+UNION ALL SELECT family_id, 'environment is not covered', c FROM (SELECT * FROM renv EXCEPT SELECT * FROM cenv)
+UNION ALL SELECT family_id, 'environment is unknown', c FROM renv WHERE c NOT IN ('F', 'O')""", "v_cases"))
+def coverage_gaps(spark, sf):
+    even, kind, env = F.col("case_id") % 2 == 0, F.col("question_class"), F.col("environment_id")
+    hidden = F.when(F.col("family_id") % 4 == 0, "P").otherwise("")
+    gates = views.cases(spark, sf).groupBy(F.col("family_id").alias("gate_id")).agg(
+        F.collect_set(F.when(even, kind)).alias("required_classes"),
+        F.collect_set(F.when(~even & (F.length(kind) > F.col("family_id") % 9), kind)).alias("covered_classes"),
+        F.collect_set(env).alias("required_environments"), F.collect_set(F.when(env != hidden, env)).alias("covered_environments"))
+    return quality.coverage_gaps(gates, ["F", "O"])
+
+
+@query("manifest_rules", """WITH b AS (SELECT doc_id, doc_id % 12 AS v, json_object('bundle_schema_version', CASE doc_id % 12 WHEN 1 THEN 2 ELSE 1 END,
+  'tool_versions', CASE doc_id % 12 WHEN 2 THEN CAST('{}' AS JSON) ELSE json_object('engine', lang) END, 'schema_versions', json_object('evidence', '1'),
+  'evidence_budget', json_object('chars', n_chars), 'completeness_state', CASE doc_id % 12 WHEN 3 THEN 'unknown' WHEN 4 THEN 'partial' ELSE 'complete' END,
+  'provenance', CASE doc_id % 12 WHEN 5 THEN CAST('{}' AS JSON) ELSE json_object('source', source) END, 'media_included', false,
+  'files', CASE doc_id % 12 WHEN 7 THEN CAST('[]' AS JSON) ELSE json_array(sha256(text)) END) AS j FROM documents),
+m AS (SELECT doc_id, CASE v WHEN 6 THEN json_merge_patch(j, '{"media_included": null}') WHEN 8 THEN json_merge_patch(j, '{"note": "x"}') ELSE j END AS j FROM b)
+SELECT doc_id, CASE WHEN list_sort(json_keys(j)) <> ['bundle_schema_version', 'completeness_state', 'evidence_budget', 'files', 'media_included', 'provenance', 'schema_versions', 'tool_versions']
+    THEN 'fields are missing or unknown'
+  WHEN CAST(j->>'bundle_schema_version' AS BIGINT) <> 1 THEN 'another bundle schema' WHEN len(json_keys(j->'tool_versions')) = 0 THEN 'no tool versions'
+  WHEN len(json_keys(j->'schema_versions')) = 0 THEN 'no schema versions' WHEN json_type(j->'evidence_budget') <> 'OBJECT' THEN 'no evidence budget'
+  WHEN (j->>'completeness_state') NOT IN ('complete', 'partial', 'degraded') THEN 'invalid completeness' WHEN len(json_keys(j->'provenance')) = 0 THEN 'no provenance'
+  WHEN json_type(j->'media_included') <> 'BOOLEAN' THEN 'no media declaration' WHEN json_array_length(j->'files') = 0 THEN 'no files' END AS refusal FROM m""")
+def manifest_rules(spark, sf):
+    fault = F.col("doc_id") % 12
+    none = F.create_map().cast("map<string, string>")
+
+    def unless(n, value):
+        return F.when(fault == n, none).otherwise(value)
+
+    manifest = F.to_json(F.struct(
+        F.when(fault == 1, 2).otherwise(1).alias("bundle_schema_version"), unless(2, F.create_map(F.lit("engine"), F.col("lang"))).alias("tool_versions"),
+        F.create_map(F.lit("evidence"), F.lit("1")).alias("schema_versions"), F.create_map(F.lit("chars"), F.col("n_chars")).alias("evidence_budget"),
+        F.when(fault == 3, "unknown").when(fault == 4, "partial").otherwise("complete").alias("completeness_state"),
+        unless(5, F.create_map(F.lit("source"), F.col("source"))).alias("provenance"), F.when(fault != 6, False).alias("media_included"),
+        F.when(fault == 7, F.array().cast("array<string>")).otherwise(F.array(F.sha2("text", 256))).alias("files"), F.when(fault == 8, "x").alias("note")))
+    return table(spark, sf, "documents").select("doc_id", manifest.alias("manifest")).select("doc_id", quality.manifest_refusal().alias("refusal"))
