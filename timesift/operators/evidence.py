@@ -264,13 +264,20 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
                     numeric: str = fixed.NUMERIC, deictic: str = fixed.DEICTIC) -> Selection:
     """The targeted policy for all questions at once.
 
-    A question and a source form a pair when at least one span scores above zero.
+    A question with a ``source_id`` is asked of that source alone, and keeps the source's first chapter when no
+    span scores. A null ``source_id``, or no such column, searches all sources: the question and a source then form a
+    pair when at least one span scores above zero.
     """
     spark = questions.sparkSession
+    bound = _bindings(questions)
     facets = retrieval.facet_table(spark) if facets is None else facets
     spans, segments = scouted.spans, scouted.segments
     terms = retrieval.question_terms(questions)
-    rescued = cut_lineage(retrieval.fuzzy_rescue(terms, spans))
+    rescued = retrieval.fuzzy_rescue(terms, spans)
+    if bound is not None:
+        rescued = rescued.join(bound.withColumnRenamed("source_id", "only"), "question_id", "left").where(
+            "only IS NULL OR only = source_id").drop("only")
+    rescued = cut_lineage(rescued)
 
     fires = retrieval.facet_fires(terms, facets)
     near_fires = rescued.join(facets, F.col("match") == F.col("word")).select(*PAIR, "facet", "facet_no").distinct()
@@ -280,11 +287,19 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
         *PAIR, text.normalize_token(F.col("match")).alias("term"), (F.col("n") * fixed.QUESTION_TERM_WEIGHT).alias("w")
     ).unionByName(new_fires.join(facets.select("facet", "word"), "facet").select(
         *PAIR, text.normalize_token(F.col("word")).alias("term"), F.lit(1).alias("w"))
-    ).groupBy(*PAIR, "term").agg(F.sum("w").alias("weight"))
+    )
+    if bound is not None:
+        pair_weights = pair_weights.unionByName(weights.join(bound, "question_id").select(*PAIR, "term", F.col("weight").alias("w")))
+        weights = weights.join(bound, "question_id", "left_anti")
+    pair_weights = pair_weights.groupBy(*PAIR, "term").agg(F.sum("w").alias("weight"))
     wanted = weights.select("term").union(pair_weights.select("term"))
     scores = cut_lineage(retrieval.span_scores(retrieval.term_parts(spans, wanted), weights, pair_weights))
 
     ranks = retrieval.chapter_ranks(scores)
+    if bound is not None:
+        first = scouted.chapters.groupBy("source_id").agg(F.min("chapter_id").alias("chapter_id"))
+        silent = bound.join(ranks.select(*PAIR).distinct(), PAIR, "left_anti").join(first, "source_id")
+        ranks = ranks.unionByName(silent.select(*PAIR, "chapter_id", F.lit(0.0).alias("best"), F.lit(0.0).alias("top_two"), F.lit(0).alias("rank")))
     selected = cut_lineage(budget_rollup(ranks, chapter_sizes(segments), budget))
     pairs = selected.where("rank = 0").select(*PAIR)
     fired = pairs.join(fires, "question_id").unionByName(new_fires.join(pairs, PAIR, "left_semi"))
@@ -318,6 +333,13 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
     return Selection(pairs, selected, guards, added, rescues, rescued, cut_lineage(frames), blocks, unmet)
 
 
+def _bindings(questions: DataFrame) -> DataFrame | None:
+    """(question_id, source_id) of the questions that ask one source only."""
+    if "source_id" not in questions.columns:
+        return None
+    return questions.where("source_id IS NOT NULL").select("question_id", "source_id")
+
+
 def evidence_rows(chosen: Selection, scouted: Scout) -> DataFrame:
     """(pair, t_start, t_end, chapter, modality, reason, score, start_s): one row per piece of evidence."""
     titles = scouted.chapters.select("source_id", "chapter_id", "title", "start_s", "end_s")
