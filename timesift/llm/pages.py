@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timesift.llm.common import cut_lineage, lower_ascii
+from timesift.llm.common import cut_lineage, host_of
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\bhidden\b""", re.IGNORECASE)
@@ -190,18 +190,13 @@ def _extract(batches):
                                          names=["page_id", "url", "path", "text", "n_chars"])
 
 
-def host_of(url) -> F.Column:
-    """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or no ``://``."""
-    return F.coalesce(lower_ascii(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)), F.lit(""))
-
-
 def host_paths(pages: DataFrame) -> DataFrame:
     """``host, path``: the path with most votes of each host, ties to the first in order.
 
     A page's votes sum to one million whatever its length. Votes are added before the shuffle, so
     a host with a third of all pages sends one row a path and task.
     """
-    votes = pages.select(host_of("url").alias("host"), "html").mapInArrow(_votes, "host string, path string, vote long")
+    votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, vote long")
     summed = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
     return cut_lineage(summed.groupBy("host").agg(F.max_by("path", F.struct("votes", F.hash("path"), "path")).alias("path")))
 
@@ -215,7 +210,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     repeated rows each vote and return a row; an empty table returns none.
     """
     winners = host_paths(pages)
-    narrow = pages.select("page_id", "url", "html", host_of("url").alias("host"))
+    narrow = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     # A written side: broadcast while it is small, else a join whose hot hosts Spark can split.
     joined = narrow.join(winners, "host", "left").select("page_id", "url", "path", "html")
     ids = "page_id long" if dict(pages.dtypes)["page_id"] == "bigint" else f"page_id {dict(pages.dtypes)['page_id']}"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timesift.llm.common import cut_lineage, lower_ascii
+from timesift.llm.common import cut_lineage, host_of, lower_ascii
 
 DIM, SIZES, STEPS, RATE, DECAY = 8192, (3, 4), 80, 2.0, 1e-3
 TRAIN_ROWS = 10_000
@@ -34,10 +34,6 @@ def labelled_urls(spark: SparkSession) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t(url, bad)")
 
 
-def host_of(url: Column) -> Column:
-    return F.coalesce(lower_ascii(F.regexp_extract(url, r"^(?s:.*?)://([^/?#]*)", 1)), F.lit(""))
-
-
 def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
