@@ -23,7 +23,7 @@ def test_stages_in_turn(spark):
     for _, stage in corpus_pipeline.STAGES:
         kept.append(cut_lineage(stage(spark, kept[-1], SF)))
     assert all(k.columns == names for k in kept[:5])
-    rows = [[(r.doc_id, r.text) for r in k.collect()] for k in kept]
+    rows = [[(r.doc_id, r.text) for r in k.collect()] for k in kept[:5]]
     scores = {r.doc_id: r.predicted for r in quality.score_quality(docs_, table(spark, SF, "labels")).collect()}
     assert sorted(rows[1]) == sorted(r for r in rows[0] if scores[r[0]])
     assert sorted(d for d, _ in rows[2]) == sorted({c for _, _, c in near(rows[1])})
