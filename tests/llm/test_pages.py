@@ -59,3 +59,20 @@ def test_edges(spark):
 def test_votes_of_a_page_sum_to_one_million_at_most_rounding(spark):
     scores = pages.container_scores(pages.blocks_of(page("<div class='c1'><p>abc</p></div><p>def</p>")))
     assert set(scores) == {"html/body/article/div.c0", "html/body/article", "html/body", "html"}
+
+
+def story(word, n=30):
+    return "<p>" + f"{word} words of the story " * n + "end.</p>"
+
+
+def test_an_article_over_several_containers_is_whole(spark):
+    split = "<div class=body><div class=lead>" + story("lead", 20) + "</div><div class=text>" + story("text") + "</div></div>"
+    nested = "<article><h1>Head</h1>" + story("direct", 5) + "<div class=inner>" + story("inner", 90) + "</div></article>"
+    three = "<div class=body>" + story("own", 10) + "<div class=deep><div class=deeper><div class=deepest>" + story("deep", 60) + "</div></div></div></div>"
+    some = "<div class=body>{}<div class=text>" + story("text") + "</div></div>"
+    rows = [(i, f"http://{h}.org/{i}", f"<html><body>{NAV}{b}</body></html>") for h, b in (("a", split), ("b", nested), ("c", three)) for i in range(3)]
+    rows += [(i, f"http://d.org/{i}", f"<html><body>{NAV}{some.format('<div class=lead>' + story('lead', 9) + '</div>' if i % 3 == 0 else '')}</body></html>") for i in range(9)]
+    for r in pages.extract_main_text(table(spark, rows)).collect():
+        host = r.url.split("/")[2][0]
+        want = {"a": ["lead", "text"], "b": ["Head", "direct", "inner"], "c": ["own", "deep"], "d": ["lead", "text"] if r.page_id % 3 == 0 else ["text"]}[host]
+        assert [t.split()[0] for t in r.text.split("\n\n")] == want, r

@@ -10,7 +10,7 @@ import html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from timesift.llm.common import cut_lineage, host_of
@@ -33,6 +33,11 @@ DROPPED_WORDS = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"}
 
 
+SENTENCE_END = tuple(".!?…。！？؟।")
+CLIMB = 5
+"""A host's path climbs to an ancestor that one page in ``CLIMB`` needs."""
+
+
 def _attributes(text: str) -> dict[str, str]:
     found = {}
     for m in ATTRIBUTE.finditer(text):
@@ -57,14 +62,14 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int]]:
-    """(path of the container, its number at each depth, block text, characters inside links) in page order.
+def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int, bool]]:
+    """(path of the container, its number at each depth, block text, characters inside links, in h1) in page order.
 
     Boilerplate elements are gone already. Unclosed elements end with the container around them.
     """
     page = page or ""
     stack: list[tuple[str, str, int]] = []  # container or boilerplate: tag, step ("" when dropped), number
-    dropped, serial, link, at, found = 0, 0, 0, 0, []
+    dropped, serial, link, at, found, tag, closing = 0, 0, 0, 0, [], "", False
     text: list[str] = []
     linked = 0
 
@@ -72,7 +77,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...],
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined and not dropped:
-            found.append((tuple(s for _, s, _ in stack), tuple(n for _, _, n in stack), joined, min(linked, len(joined))))
+            found.append((tuple(s for _, s, _ in stack), tuple(n for _, _, n in stack), joined, min(linked, len(joined)), closing and tag == "h1"))
         text.clear()
         linked = 0
 
@@ -138,6 +143,11 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...],
     return found
 
 
+def _good(text: str, linked: int, heading: bool) -> bool:
+    """A block that reads like a part of an article: mostly unlinked, and a first heading, a sentence or long."""
+    return 2 * linked < len(text) and (heading or len(text) >= 50 or len(text) >= 20 and text.endswith(SENTENCE_END))
+
+
 def _worth(path: tuple[str, ...]) -> float:
     last = path[-1].split(".")[0] if path else ""
     return {"article": 3.0, "main": 2.0}.get(last, 1.0)
@@ -146,7 +156,7 @@ def _worth(path: tuple[str, ...]) -> float:
 def container_scores(blocks) -> dict[str, float]:
     """Score of each generalised path: its own unlinked text, half of the text one level below, a quarter of two below."""
     scores: dict[str, float] = {}
-    for path, _, text, linked in blocks:
+    for path, _, text, linked, _ in blocks:
         weight = (len(text) - linked) + 20.0 * (linked == 0)
         for up in range(min(3, len(path))):
             own = path[:len(path) - up]
@@ -155,15 +165,45 @@ def container_scores(blocks) -> dict[str, float]:
     return scores
 
 
+def _common(paths) -> tuple:
+    low, high = min(paths), max(paths)
+    n = 0
+    while n < min(len(low), len(high)) and low[n] == high[n]:
+        n += 1
+    return low[:n]
+
+
+def best_path(blocks) -> str | None:
+    """Path of the lowest container around all blocks that read like an article; "" is the page itself, None a page without text.
+
+    Where articles (else main) hold a third (a half) of that text, their own path. Pages without such blocks
+    have the path of the highest score.
+    """
+    good = [b for b in blocks if _good(b[2], b[3], b[4])]
+    if not good:
+        scores = container_scores(blocks)
+        return min(scores, key=lambda p: (-scores[p], p)) if scores else "" if blocks else None
+    total = sum(len(b[2]) - b[3] for b in good)
+    for kind, worth in (("article", 3), ("main", 2)):
+        boxes, held = set(), 0
+        for path, _, text, linked, _ in good:
+            i = next((i for i, s in enumerate(path) if s.split(".")[0] == kind), None)
+            if i is not None:
+                boxes.add(path[:i + 1])
+                held += len(text) - linked
+        if held and worth * held >= total:
+            return "/".join(_common(boxes))
+    return "/".join(good[0][0][:len(_common([b[1] for b in good]))])
+
+
 def main_text(blocks, path: str | None) -> str:
     """Text of the blocks inside containers at ``path``; of the page's own best path when it has none there, and all without containers."""
     def inside(wanted: str) -> list[str]:
-        steps = wanted.split("/")
-        return [text for own, _, text, _ in blocks if list(own[:len(steps)]) == steps]
-    got = inside(path) if path else []
+        steps = wanted.split("/") if wanted else []
+        return [b[2] for b in blocks if list(b[0][:len(steps)]) == steps]
+    got = inside(path) if path is not None else []
     if not got and blocks:
-        scores = container_scores(blocks)
-        got = inside(min(scores, key=lambda p: (-scores[p], p))) if scores else [b[2] for b in blocks]
+        got = inside(best_path(blocks))
     return "\n\n".join(got)
 
 
@@ -171,12 +211,11 @@ def _votes(batches):
     for batch in batches:
         rows = {"host": [], "path": [], "vote": []}
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            scores = container_scores(blocks_of(page))
-            total = sum(scores.values())
-            for path, score in scores.items():
+            path = best_path(blocks_of(page))
+            if path is not None:
                 rows["host"].append(host)
                 rows["path"].append(path)
-                rows["vote"].append(round(score / total * 1_000_000))
+                rows["vote"].append(1)
         yield pa.RecordBatch.from_arrays([pa.array(rows["host"], pa.string()), pa.array(rows["path"], pa.string()),
                                           pa.array(rows["vote"], pa.int64())], names=["host", "path", "vote"])
 
@@ -191,22 +230,29 @@ def _extract(batches):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the path with most votes of each host, ties to the first in order.
+    """``host, path``: the path with most votes of each host, climbed to the highest ancestor that one page in ``CLIMB`` needs.
 
-    A page's votes sum to one million whatever its length. Votes are added before the shuffle, so
-    a host with a third of all pages sends one row a path and task.
+    A page has one vote whatever its length. Votes are added before the shuffle, so a host with a third
+    of all pages sends one row a path and task. The winner meets only its own ancestors, a few rows a host.
     """
     votes = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_votes, "host string, path string, vote long")
-    summed = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    return cut_lineage(summed.groupBy("host").agg(F.max_by("path", F.struct("votes", F.hash("path"), "path")).alias("path")))
+    summed = cut_lineage(votes.groupBy("host", "path").agg(F.sum("vote").alias("votes")))
+    won = cut_lineage(summed.groupBy("host").agg(F.max_by("path", F.struct("votes", F.hash("path"), "path")).alias("won"), F.sum("votes").alias("total")))
+    above = summed.join(won, "host").filter((F.col("path") == F.col("won")) | (F.col("path") == "") | F.startswith("won", F.concat("path", F.lit("/"))))
+    # Pages that voted for a higher ancestor need every ancestor below it too.
+    depth = F.when(F.col("path") == "", 0).otherwise(F.size(F.split("path", "/")))
+    higher = Window.partitionBy("host").orderBy("depth").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = above.withColumn("depth", depth).withColumn("need", F.sum("votes").over(higher))
+    return cut_lineage(needed.filter((F.col("path") == F.col("won")) | (F.col("need") * CLIMB >= F.col("total")))
+                       .groupBy("host").agg(F.min_by("path", "depth").alias("path")))
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, path, text, n_chars`` of each row of ``pages(page_id, url, html)``.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-    left out by element, role and class words; of the rest, the containers at the host's winning path
-    are taken whole. Null and empty pages have an empty text; null urls share the empty host;
+    left out by element, role and class words;
+    of the rest, the containers at the host's winning path are taken whole. Null and empty pages have an empty text; null urls share the empty host;
     repeated rows each vote and return a row; an empty table returns none.
     """
     winners = host_paths(pages)
