@@ -76,3 +76,27 @@ def test_an_article_over_several_containers_is_whole(spark):
         host = r.url.split("/")[2][0]
         want = {"a": ["lead", "text"], "b": ["Head", "direct", "inner"], "c": ["own", "deep"], "d": ["lead", "text"] if r.page_id % 3 == 0 else ["text"]}[host]
         assert [t.split()[0] for t in r.text.split("\n\n")] == want, r
+
+
+def test_end_tags_that_html_lets_a_page_omit(spark):
+    head = "<html><head><meta charset=utf-8><title>T</title><body>" + story("Story") + "</body></html>"
+    bare = "<html><head><title>T</title>" + story("Story") + "</html>"
+    ad = "<html><body><div class=post><p class=ad>Buy<p>Story of a paragraph.<p>More of the story here.<ul><li class=promo>Buy<li>One of the items</ul></div></body></html>"
+    lists = "<html><body><div class=post><ul class=menu><li><div>x</ul><dl><dt class=ad>Buy<dd>Meaning of the word.</dl>" + story("Story") + "</div></body></html>"
+    cells = "<html><body><table><tr><td class=ad>Buy<td>" + story("Story") + "<tr><td>Last of the cells here.</table></body></html>"
+    got = [pages.main_text(pages.blocks_of(h), None) for h in (head, bare, ad, lists, cells)]
+    assert got[0].startswith("Story") and got[1].startswith("Story")
+    assert got[2] == "Story of a paragraph.\n\nMore of the story here.\n\nOne of the items"
+    assert got[3].startswith("Meaning of the word.\n\nStory")
+    assert got[4].startswith("Story") and got[4].endswith("Last of the cells here.")
+
+
+def test_wrappers_named_after_boilerplate_keep_the_article(spark):
+    comments = "<div class=comments><article class=comment><p>A reader said this at length.</p></article></div>"
+    for name in ("content-sidebar-wrap", "has-sidebar", "no-sidebar", "post has-comments"):
+        for kind in ("article", "main", "div"):
+            html = f"<html><body>{NAV}<div class='{name}'><{kind}>{story('Story')}{comments}</{kind}></div><div class=sidebar>About this site and its owners.</div></body></html>"
+            got = pages.main_text(pages.blocks_of(html), None)
+            assert got.startswith("Story") and "\n\n" not in got, (name, kind, got)
+    html = f"<html><body><div class=post>{story('Story')}</div><div class=related><article><p>A card of another page, short.</p></article></div></body></html>"
+    assert "card" not in pages.main_text(pages.blocks_of(html), None)

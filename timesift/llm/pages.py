@@ -33,6 +33,14 @@ DROPPED_WORDS = {
     "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget"}
 
 
+# End tags that a page may leave out: what a start tag closes, and what the search for it does not leave.
+CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
+          "td": ({"td", "th", "caption"}, {"table", "tr"}), "th": ({"td", "th", "caption"}, {"table", "tr"}), "tr": ({"tr", "caption"}, {"table"}),
+          **{t: ({"thead", "tbody", "tfoot", "caption"}, {"table"}) for t in ("thead", "tbody", "tfoot")}}
+SECTIONS = {"html", "body", "main", "article", "section", "table", "td", "th", *DROPPED}
+IN_HEAD = {"head", "html", "base", "link", "meta"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+READERS = {"comment", "comments", "disqus", "replies", "respond"}
 SENTENCE_END = tuple(".!?…。！？؟।")
 CLIMB = 5
 """A host's path climbs to an ancestor that one page in ``CLIMB`` needs."""
@@ -46,14 +54,15 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def _boilerplate(tag: str, attributes: dict[str, str]) -> bool:
+    """By element, role or hiding, whatever it holds."""
     if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if attributes.get("role", "").lower() in DROPPED_ROLES or re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
-    if tag in ("html", "body", "main", "article"):
-        return False
+    return attributes.get("role", "").lower() in DROPPED_ROLES or bool(re.search(r"display\s*:\s*none", attributes.get("style", "")))
+
+
+def _listed_words(attributes: dict[str, str]) -> set[str]:
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}"
-    return any(w.lower() in DROPPED_WORDS for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", names) if w)
+    return {w.lower() for w in re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", names) if w} & DROPPED_WORDS
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
@@ -62,14 +71,50 @@ def _step(tag: str, attributes: dict[str, str]) -> str:
     return ".".join([tag, *classes])
 
 
+def _good(text: str, linked: int, heading: bool) -> bool:
+    """A block that reads like a part of an article: mostly unlinked, and a first heading, a sentence or long."""
+    return 2 * linked < len(text) and (heading or len(text) >= 50 or len(text) >= 20 and text.endswith(SENTENCE_END))
+
+
+def _wrappers(found, marked) -> set[int]:
+    """Of the elements ``marked`` by class words (number: (chain, words, holds main, holds article)), those that wrap the article.
+
+    They hold main, or more of the page's unlinked text than what no mark covers, where text of an
+    article counts threefold; a fourth of it is enough around an article; reader comments need ten times as much.
+    """
+    own: dict[tuple[int, ...], float] = {}
+    inside: dict[int, int] = {}
+    good: set[int] = set()
+    total = 0
+    for path, _, text, linked, heading, chain, in_article in found:
+        free = len(text) - linked
+        total += free
+        own[chain] = own.get(chain, 0.0) + free * (3 if in_article else 1)
+        reads = _good(text, linked, heading)
+        for e in chain:
+            inside[e] = inside.get(e, 0) + free
+            if reads:
+                good.add(e)
+    kept = set()
+    for e, (chain, words, main, article) in marked.items():  # in page order: outer elements first
+        outside = sum(own.get(chain[:i], 0.0) for i in range(len(chain)))
+        held = inside.get(e, 0)
+        if main or e in good and (article and 4 * held >= outside or 2 * held > total and held > outside * (10 if words & READERS else 1)):
+            kept.add(e)
+    return kept
+
+
 def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...], str, int, bool]]:
     """(path of the container, its number at each depth, block text, characters inside links, in h1) in page order.
 
-    Boilerplate elements are gone already. Unclosed elements end with the container around them.
+    Boilerplate elements are gone already. Unclosed elements end where HTML ends them, or with the container around them.
     """
     page = page or ""
-    stack: list[tuple[str, str, int]] = []  # container or boilerplate: tag, step ("" when dropped), number
-    dropped, serial, link, at, found, tag, closing = 0, 0, 0, 0, [], "", False
+    stack: list[tuple[str, str, int, bool, bool]] = []  # tag, step ("" for no container), number, dropped, marked by its words
+    dropped, serial, link, at, found = 0, 0, 0, 0, []
+    marked: dict[int, tuple[tuple[int, ...], set[str], bool, bool]] = {}
+    chain: tuple[int, ...] = ()
+    article = 0
     text: list[str] = []
     linked = 0
 
@@ -77,17 +122,58 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...],
         nonlocal linked
         joined = " ".join("".join(text).split())
         if joined and not dropped:
-            found.append((tuple(s for _, s, _ in stack), tuple(n for _, _, n in stack), joined, min(linked, len(joined)), closing and tag == "h1"))
+            boxes = [(s, n) for _, s, n, _, _ in stack if s]
+            found.append((tuple(s for s, _ in boxes), tuple(n for _, n in boxes), joined, min(linked, len(joined)),
+                          any(e[0] == "h1" for e in stack[-3:]), chain, article > 0))
         text.clear()
         linked = 0
 
     def say(piece: str) -> None:
         nonlocal linked
+        if piece and stack and stack[-1][0] == "head" and not piece.isspace():
+            close(len(stack) - 1)
         if piece and not dropped:
             plain = html.unescape(piece) if "&" in piece else piece
             text.append(plain)
             linked += len(plain) if link else 0
 
+    def open_(tag: str, attributes: dict[str, str]) -> None:
+        nonlocal serial, dropped, chain, article
+        serial += 1
+        gone = _boilerplate(tag, attributes)
+        words = _listed_words(attributes) if attributes and not gone else set()
+        semantic = tag in ("main", "article")
+        if semantic and not gone and not words and not dropped:
+            for e in chain:
+                c, w, m, a = marked[e]
+                marked[e] = (c, w, m or tag == "main", a or tag == "article")
+        mark = bool(words) and not dropped and not semantic and tag not in ("html", "body")
+        if mark:
+            chain = (*chain, serial)
+            marked[serial] = (chain, words, False, False)
+        article += semantic and not words
+        dropped += gone
+        stack.append((tag, _step(tag, attributes) if tag in CONTAINERS else "", serial, gone, mark or semantic and not words))
+
+    def close(to: int) -> None:
+        """Close all from place ``to`` of the stack on."""
+        nonlocal dropped, chain, article
+        while len(stack) > to:
+            tag, _, _, gone, counted = stack.pop()
+            dropped -= gone
+            if counted and tag in ("main", "article"):
+                article -= 1
+            elif counted:
+                chain = chain[:-1]
+
+    def place(tags: set[str], stop: set[str]) -> int | None:
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in tags:
+                return i
+            if stack[i][0] in stop:
+                return None
+        return None
+
     while True:
         m = TOKEN.search(page, at)
         say(page[at:m.start() if m else len(page)])
@@ -102,6 +188,8 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...],
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if not closing and stack and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
         if tag == "br":
             text.append(" ")
         elif tag == "a":
@@ -109,43 +197,33 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], tuple[int, ...],
         elif tag in VOID:
             if tag == "hr":
                 flush()
-        elif tag in CONTAINERS or tag in DROPPED:
+                if stack and stack[-1][0] == "p":
+                    close(len(stack) - 1)
+        elif tag in CONTAINERS or tag in DROPPED or tag in BLOCKS:
             flush()
-            link = 0
+            if tag not in BLOCKS or tag == "head":
+                link = 0
             if not closing:
-                attributes = _attributes(m[3])
-                serial += 1
-                gone = _boilerplate(tag, attributes)
-                dropped += gone
+                # No block lies inside a paragraph: it is the last open element or none.
+                if stack and stack[-1][0] == "p" and tag not in ("button", "label"):
+                    close(len(stack) - 1)
+                if tag in HEADINGS and stack and stack[-1][0] in HEADINGS:
+                    close(len(stack) - 1)
+                if tag in CLOSES:
+                    ends, stop = CLOSES[tag]
+                    i = place(ends, stop | (SECTIONS - ends - {"tr", "td", "th"} if tag in ("li", "dt", "dd") else set()))
+                    if i is not None:
+                        close(i)
                 if not m[3].rstrip().endswith("/"):
-                    stack.append((tag, "" if gone else _step(tag, attributes), serial))
-                else:
-                    dropped -= gone
-            elif any(t == tag for t, _, _ in stack):
-                while stack:
-                    t, s, _ = stack.pop()
-                    dropped -= s == ""
-                    if t == tag:
-                        break
-        elif tag in BLOCKS:
-            flush()
-            if not closing:
-                attributes = _attributes(m[3]) if m[3] else {}
-                if attributes and _boilerplate(tag, attributes):
-                    serial += 1
-                    dropped += 1
-                    stack.append((tag, "", serial))
-                    continue
-            if closing and stack and stack[-1][0] == tag:
-                stack.pop()
-                dropped -= 1
+                    open_(tag, _attributes(m[3]) if m[3] else {})
+            else:
+                tags = HEADINGS if tag in HEADINGS else {tag}
+                i = place(tags, SECTIONS if tag in BLOCKS and tag not in SECTIONS else set())
+                if i is not None:
+                    close(i)
     flush()
-    return found
-
-
-def _good(text: str, linked: int, heading: bool) -> bool:
-    """A block that reads like a part of an article: mostly unlinked, and a first heading, a sentence or long."""
-    return 2 * linked < len(text) and (heading or len(text) >= 50 or len(text) >= 20 and text.endswith(SENTENCE_END))
+    kept = _wrappers(found, marked) if marked else set()
+    return [b[:5] for b in found if all(e in kept for e in b[5])]
 
 
 def _worth(path: tuple[str, ...]) -> float:
@@ -251,7 +329,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     """``page_id, url, path, text, n_chars`` of each row of ``pages(page_id, url, html)``.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-    left out by element, role and class words;
+    left out by element, role and class words (words only where the element is no wrapper of the article);
     of the rest, the containers at the host's winning path are taken whole. Null and empty pages have an empty text; null urls share the empty host;
     repeated rows each vote and return a row; an empty table returns none.
     """
