@@ -100,3 +100,9 @@ def test_wrappers_named_after_boilerplate_keep_the_article(spark):
             assert got.startswith("Story") and "\n\n" not in got, (name, kind, got)
     html = f"<html><body><div class=post>{story('Story')}</div><div class=related><article><p>A card of another page, short.</p></article></div></body></html>"
     assert "card" not in pages.main_text(pages.blocks_of(html), None)
+
+
+def test_classes_may_hold_a_slash(spark):
+    rows = [(i, f"http://h.org/{i}", f"<html><body>{NAV}<div class='md:w-2/3 w-1/2'>{story('Story')}</div></body></html>") for i in range(3)]
+    for r in pages.extract_main_text(table(spark, rows)).collect():
+        assert r.text.startswith("Story") and r.path == "html/body/div.md:w-0%2F0.w-0%2F0"

@@ -66,8 +66,8 @@ def _listed_words(attributes: dict[str, str]) -> set[str]:
 
 
 def _step(tag: str, attributes: dict[str, str]) -> str:
-    """Tag and classes, with numbers taken for the same: pages of one template share their steps."""
-    classes = sorted({re.sub(r"\d+", "0", c) for c in attributes.get("class", "").split()})
+    """Tag and classes, with numbers taken for the same: pages of one template share their steps. ``/`` joins steps and is escaped in classes."""
+    classes = sorted({re.sub(r"\d+", "0", c).replace("%", "%25").replace("/", "%2F") for c in attributes.get("class", "").split()})
     return ".".join([tag, *classes])
 
 
@@ -277,8 +277,7 @@ def best_path(blocks) -> str | None:
 def main_text(blocks, path: str | None) -> str:
     """Text of the blocks inside containers at ``path``; of the page's own best path when it has none there, and all without containers."""
     def inside(wanted: str) -> list[str]:
-        steps = wanted.split("/") if wanted else []
-        return [b[2] for b in blocks if list(b[0][:len(steps)]) == steps]
+        return [b[2] for b in blocks if not wanted or ("/".join(b[0]) + "/").startswith(wanted + "/")]
     got = inside(path) if path is not None else []
     if not got and blocks:
         got = inside(best_path(blocks))
