@@ -74,3 +74,27 @@ def test_the_table(spark):
     assert max(loads) - min(loads) <= 0.02 * sum(loads) / 40
     parts = spread(rows, got)
     assert sum(p == 1 for p in parts) >= 0.95 * len(parts)
+
+
+def test_a_table_made_only_of_pairs(spark):
+    rng = random.Random(7)
+    texts = [" ".join(words(rng, rng.randrange(5, 60))) + f" n{i}" for i in range(1500)]
+    rows = [(i, texts[i % len(texts)]) for i in range(2 * len(texts))]
+    got = sharding.assign(docs(spark, rows)).collect()
+    loads = check(rows, got)
+    assert spread(rows, got) == [1] * len(texts)
+    assert max(loads) - min(loads) <= 0.1 * sum(loads) / 40
+
+
+def test_groups_that_no_shard_holds_are_cut_in_few_parts(spark):
+    rows = [(i, f"group {i % 60:02d} of text") for i in range(60 * 200)]  # two thirds of a shard each
+    got = sharding.assign(docs(spark, rows)).collect()
+    loads = check(rows, got)
+    parts = spread(rows, got)
+    assert sum(p == 1 for p in parts) >= 40 and max(parts) <= 3
+    assert max(loads) - min(loads) <= 0.02 * sum(loads) / 40
+    giant = [(i, "the same text everywhere") for i in range(1000)] + [(5000 + i, f"another text no. {i // 2:06d}") for i in range(3000)]
+    got = sharding.assign(docs(spark, giant)).collect()  # 10 shards of one group, the others of pairs
+    check(giant, got)
+    parts = spread(giant, got)
+    assert sorted(parts)[:-1] == [1] * 1500 and parts[0] <= 11

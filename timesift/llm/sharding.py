@@ -1,20 +1,25 @@
 """Balanced label propagation of documents over shards. DataFrame functions only.
 
-Documents with equal texts are linked. Linked documents start spread evenly; in each round they move to
-the shard that holds most of their group, as far as that shard's quota has room. Documents without links then
-fill what room is left, so that shards end near equal in bytes and few links are cut.
+Documents with equal texts are linked. Every group that fits starts whole in one shard, larger ones in few parts;
+in each round the documents of a cut group move to the shard that holds most of it, as far as that shard's quota has
+room, until nothing moves. Documents without links then fill what room is left, so that shards end near equal in
+bytes and few links are cut.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timesift.llm.common import bucket_count, cut_lineage, running_sum
 
-SHARDS, OVERHEAD, ROUNDS = 40, 16, 8
+SHARDS, OVERHEAD = 40, 16
 BOULDER = 16
-"""A document of more than 1/``BOULDER`` of a shard's even share is placed by itself; there are at most ``SHARDS * BOULDER``."""
+"""A document or group of more than 1/``BOULDER`` of a shard's even share is placed by itself; there are at most ``SHARDS * BOULDER``."""
+SLACK = 1 / 256
+"""A group stays whole where it exceeds a shard's even share by no more than this part of it."""
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -39,7 +44,13 @@ def fill(rows: DataFrame, room: DataFrame, n: int) -> DataFrame:
     """
     total = rows.agg(F.sum("size")).first()[0] or 0
     gaps = sorted((r["shard"], float(r["room"])) for r in room.collect())  # one row a shard
-    all_room = sum(g for _, g in gaps)
+    placed = running_sum(rows.withColumn("one", F.lit(1)), ["one"], _bucket(n), [F.col("u"), F.col("doc_id")], {"before": F.col("size")})
+    return placed.withColumn("shard", _stretch(gaps, total)).drop("one", "before")
+
+
+def _stretch(gaps: list[tuple[int, float]], total: float) -> Column:
+    """The shard in which the middle of ``size`` bytes after ``before`` lies, when ``gaps`` of (shard, room) share ``total`` bytes."""
+    all_room = sum(g for _, g in gaps if g > 0)
     if all_room <= 0:
         gaps, all_room = [(s, 1.0) for s, _ in gaps], float(len(gaps))
     edges, shards, at = [], [], 0.0
@@ -48,48 +59,105 @@ def fill(rows: DataFrame, room: DataFrame, n: int) -> DataFrame:
             at += g / all_room * total
             edges.append(at)
             shards.append(s)
-    placed = running_sum(rows.withColumn("one", F.lit(1)), ["one"], _bucket(n), [F.col("u"), F.col("doc_id")], {"before": F.col("size")})
     middle = F.col("before") + F.col("size") / 2
     shard = F.lit(shards[-1])
     for edge, s in reversed(list(zip(edges[:-1], shards[:-1], strict=True))):
         shard = F.when(middle < F.lit(edge), F.lit(s)).otherwise(shard)
-    return placed.withColumn("shard", shard.cast("int")).drop("one", "before")
+    return shard.cast("int")
+
+
+def lay(rows: DataFrame, groups: DataFrame, loads: DataFrame, mean: float, n: int) -> DataFrame:
+    """``rows`` of few ``groups(g, size)`` with ``shard``: group after group, largest first, into the largest rooms, as few as hold them all."""
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    gaps, left = [], float(total)
+    for s, room in sorted(((r["shard"], mean - r["load"]) for r in loads.collect()), key=lambda x: (-x[1], x[0])):  # one row a shard
+        if left > 0 and room > 0:
+            gaps.append((s, min(room, left)))
+            left -= room
+    before = Window.orderBy(F.col("size").desc(), "g").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.select("g", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    within = running_sum(rows, ["g"], _bucket(n), [F.col("u"), F.col("doc_id")], {"before": F.col("size")})
+    placed = within.join(starts, "g").withColumn("before", F.col("before") + F.col("start"))
+    return placed.withColumn("shard", _stretch(gaps or [(0, 1.0)], total)).drop("before", "start")
+
 
+def place_boulders(rows: DataFrame, loads: DataFrame, names: Sequence[str], most: float | None = None) -> DataFrame:
+    """``names, size, u, shard`` of ``rows``, few by their size, each to the shard with the least load so far, largest first: one fold over one array.
 
-def place_boulders(rows: DataFrame, loads: DataFrame) -> DataFrame:
-    """``rows``, few by their size, each to the shard with the least load so far, largest first: one fold over one array."""
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("size", "u", "doc_id", "text_crc32")), asc=False).alias("r"))
+    ``shard`` is null for a row that would lift that load over ``most``.
+    """
+    listed = rows.agg(F.sort_array(F.collect_list(F.struct("size", "u", *names)), asc=False).alias("r"))
     start = loads.agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "load"))), lambda x: x["load"]).alias("l"))
 
     def put(state: Column, row: Column) -> Column:
-        s = F.array_position(state["l"], F.array_min(state["l"])).cast("int")
+        least = F.array_min(state["l"])
+        fits = F.lit(True) if most is None else least + row["size"] <= F.lit(most)
+        s = F.when(fits, F.array_position(state["l"], least).cast("int") - 1)
         return F.struct(
-            F.transform(state["l"], lambda v, i: v + F.when(i == s - 1, row["size"]).otherwise(F.lit(0))).alias("l"),
-            F.concat(state["s"], F.array((s - 1).cast("int"))).alias("s"))
+            F.transform(state["l"], lambda v, i: v + F.when(i == s, row["size"]).otherwise(F.lit(0))).alias("l"),
+            F.concat(state["s"], F.array(s)).alias("s"))
 
     first = F.struct(F.col("l").alias("l"), F.array().cast("array<int>").alias("s"))
     chosen = listed.withColumn("l", start.scalar()).withColumn("s", F.aggregate("r", first, put)["s"])
     flat = chosen.select(F.explode(F.arrays_zip("r", "s")).alias("x"))
-    return flat.select(F.col("x.r.doc_id").alias("doc_id"), F.col("x.r.size").alias("size"), F.col("x.r.text_crc32").alias("text_crc32"),
-                       F.col("x.r.u").alias("u"), F.col("x.s").alias("shard"))
+    return flat.select(*[F.col(f"x.r.{c}").alias(c) for c in (*names, "size", "u")], F.col("x.s").alias("shard"))
+
+
+def _loads(names: DataFrame, *placed: DataFrame) -> DataFrame:
+    """``shard, load`` of each shard of ``names``: the bytes of all ``placed(shard, size)``."""
+    parts = [p.groupBy("shard").agg(F.sum("size").alias("load")) for p in placed]
+    both = names.select("shard", F.lit(0).cast("long").alias("load"))
+    for p in parts:
+        both = both.unionByName(p.filter("shard IS NOT NULL"))
+    return cut_lineage(both.groupBy("shard").agg(F.sum("load").alias("load")), 1)
+
 
+def fill_room(rows: DataFrame, names: DataFrame, mean: float, n: int, *placed: DataFrame) -> DataFrame:
+    """``rows`` with ``shard``, into the room that ``placed`` leaves: the coarser first, so that the finer even out what they miss."""
+    def room(*there: DataFrame) -> DataFrame:
+        return _loads(names, *there).select("shard", F.greatest(F.lit(0.0), F.lit(mean) - F.col("load")).alias("room"))
+    fine = F.col("size") <= F.lit(mean / BOULDER ** 2)
+    coarse = cut_lineage(fill(rows.filter(~fine), room(*placed), n))
+    return coarse.unionByName(fill(rows.filter(fine), room(*placed, coarse), n))
 
-def propagate(linked: DataFrame, shards: int, mean: float, rounds: int = ROUNDS) -> DataFrame:
+
+def start_groups(linked: DataFrame, groups: DataFrame, names: DataFrame, mean: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``linked`` with ``shard``: (those of groups that lie whole in one shard, those of cut groups).
+
+    Groups larger than a shard are cut first, into as few parts as they need; other large ones are placed
+    largest first while they fit, and cut where no shard has room for them. Small ones then fill the room
+    in stretches of whole groups.
+    """
+    n_rows = groups.count()
+    giants = groups.filter(F.col("size") > mean * (1 + SLACK))
+    large = groups.filter((F.col("size") <= mean * (1 + SLACK)) & (F.col("size") > mean / BOULDER)).withColumn("u", F.xxhash64("g"))
+    small = groups.filter(F.col("size") <= mean / BOULDER).withColumn("u", F.xxhash64("g")).withColumn("doc_id", F.lit(0))
+    cut = cut_lineage(lay(linked.join(giants.select("g"), "g", "left_semi"), giants, _loads(names), mean, n))
+    placed = cut_lineage(place_boulders(large, _loads(names, cut), ["g"], mean * (1 + SLACK)), SHARDS)
+    rest = placed.filter("shard IS NULL").select("g", "size")
+    if not rest.isEmpty():
+        more = lay(linked.join(rest.select("g"), "g", "left_semi"), rest, _loads(names, cut, placed), mean, n)
+        cut = cut_lineage(cut.unionByName(more))
+    filled = fill_room(small, names, mean, n, cut, placed)
+    homes = cut_lineage(placed.filter("shard IS NOT NULL").select("g", "shard").unionByName(filled.select("g", "shard")), n_rows)
+    return linked.join(homes, "g"), cut
+
+
+def propagate(linked: DataFrame, others: DataFrame, shards: int, mean: float) -> DataFrame:
     """Moves of ``linked(doc_id, size, text_crc32, g, u, shard)`` towards the shard that holds most of their group.
 
     A round: bytes by (group, shard), added before the shuffle; each group's heaviest shard that has room;
-    movers in ``u`` order while the sum of their sizes fits the target's room. Who does not fit stays and
-    tries again. Ends when nothing moves.
+    movers in ``u`` order while the sum of their sizes fits the target's room, beside the loads of ``others``.
+    Who does not fit stays and tries again. Rows move to larger parts only, so the rounds end; they do when nothing moves.
     """
     keep = ["doc_id", "size", "text_crc32", "g", "u", "shard"]
     n_rows = linked.count()
     n = bucket_count(n_rows)
     names = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    for _ in range(rounds):
+    while n_rows:
         held = cut_lineage(linked.groupBy("g", "shard").agg(F.sum("size").alias("held")), n_rows)
-        loads = held.groupBy("shard").agg(F.sum("held").alias("load"))
-        room = cut_lineage(names.join(loads, "shard", "left").select(
-            "shard", (F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room")), shards)
+        loads = _loads(names, held.select("shard", F.col("held").alias("size")), others.select("shard", F.col("load").alias("size")))
+        room = cut_lineage(loads.select("shard", (F.lit(mean) - F.col("load")).alias("room")), shards)
         # The heaviest shard of a group is its home while it has room or nothing comes to it.
         best = held.join(room, "shard").groupBy("g").agg(
             F.max_by("shard", F.struct("held", F.hash("g", "shard"))).alias("top"),
@@ -97,43 +165,46 @@ def propagate(linked: DataFrame, shards: int, mean: float, rounds: int = ROUNDS)
             F.max_by("room", F.struct("held", F.hash("g", "shard"))).alias("top_room"), F.count(F.lit(1)).alias("spread"))
         wish = cut_lineage(best.filter("spread > 1").select("g", F.when(F.col("top_room") > 0, F.col("top")).otherwise(F.col("open")).alias("to"),
                                                             F.col("top").alias("top")).filter("`to` IS NOT NULL"), n_rows)
-        wished = linked.join(wish, "g", "left")
         # Who already lies in the group's heaviest shard stays, and so does who would move to a smaller part.
-        movers = wished.filter("`to` IS NOT NULL AND shard != `to` AND shard != top")
+        part = held.select("g", F.col("shard").alias("to"), F.struct("held", F.hash("g", "shard")).alias("goal"))
+        ways = held.join(wish, "g").join(part, ["g", "to"]).filter("shard != `to` AND shard != top").filter(
+            F.struct("held", F.hash("g", "shard")) < F.col("goal")).select("g", "shard", "to")
+        wished = linked.join(cut_lineage(ways, n_rows), ["g", "shard"], "left")
+        movers = wished.filter("`to` IS NOT NULL")
         placed = running_sum(movers, ["to"], _bucket(n), [F.col("u"), F.col("doc_id")], {"before": F.col("size")})
         moved = placed.join(room.toDF("to", "room"), "to").withColumn("fits", F.col("before") + F.col("size") <= F.col("room"))
         moved = cut_lineage(moved.select("fits", *keep, "to"), n_rows)
         if moved.filter("fits").isEmpty():
             break
-        stays = wished.filter("NOT coalesce(`to` IS NOT NULL AND shard != `to` AND shard != top, false)").select(*keep)
+        stays = wished.filter("`to` IS NULL").select(*keep)
         linked = cut_lineage(stays.unionByName(moved.withColumn("shard", F.when(F.col("fits"), F.col("to")).otherwise(F.col("shard"))).select(*keep)), n_rows)
     return linked
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` of each row of ``docs(doc_id, text)``.
 
     The law is ``bytes``: shards end near equal in bytes, as near as whole documents allow. Null texts have
     size 16, the checksum of no bytes, and no links; empty texts are equal texts. A group larger than a shard
-    is cut into as few parts as room allows. Repeated rows are equal texts. Slots count from 0 in each shard. An empty
+    is cut into as few parts as room allows, and so is one that no shard has room for; all others stay whole. Repeated rows are equal texts. Slots count from 0 in each shard. An empty
     table returns none.
     """
     rows = cut_lineage(measured(docs))
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
     mean, n = (total or 0) / shards, bucket_count(n_rows)
     names = docs.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    even = names.withColumn("room", F.lit(1.0))
-    groups = cut_lineage(rows.filter("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("g"), n_rows)
+    grouped = rows.filter("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    groups = cut_lineage(grouped.filter("n > 1").select("g", "size"), n_rows)
     keep = ["doc_id", "size", "text_crc32", "u", "shard"]
-    linked = fill(rows.join(groups, "g", "left_semi"), even, n)
-    linked = propagate(cut_lineage(linked.select("g", *keep), n_rows), shards, mean, rounds).select(*keep)
-    alone = cut_lineage(rows.filter("g IS NULL").unionByName(rows.join(groups, "g", "left_anti").filter("g IS NOT NULL")).drop("g"), n_rows)
-    loads = names.join(linked.groupBy("shard").agg(F.sum("size").alias("load")), "shard", "left").fillna(0, ["load"])
+    linked = cut_lineage(rows.join(groups.select("g"), "g", "left_semi"), n_rows)
+    whole, cut = start_groups(linked, groups, names, mean, n)
+    whole = cut_lineage(whole.select(*keep), n_rows)
+    moved = propagate(cut_lineage(cut.select("g", *keep), n_rows), _loads(names, whole), shards, mean)
+    linked = cut_lineage(whole.unionByName(moved.select(*keep)), n_rows)
+    alone = cut_lineage(rows.filter("g IS NULL").unionByName(rows.join(groups.select("g"), "g", "left_anti").filter("g IS NOT NULL")).drop("g"), n_rows)
     heavy = F.col("size") > F.lit(mean / BOULDER)
-    boulders = cut_lineage(place_boulders(alone.filter(heavy), cut_lineage(loads, shards)).select(*keep), shards)
-    both = cut_lineage(linked.select("shard", "size").unionByName(boulders.select("shard", "size")).groupBy("shard").agg(F.sum("size").alias("load")), shards)
-    room = names.join(both, "shard", "left").select("shard", F.greatest(F.lit(0.0), F.lit(mean) - F.coalesce("load", F.lit(0))).alias("room"))
-    small = fill(alone.filter(~heavy), room, n).select(*keep)
+    boulders = cut_lineage(place_boulders(alone.filter(heavy), _loads(names, linked), ["doc_id", "text_crc32"]).select(*keep), shards)
+    small = fill_room(alone.filter(~heavy), names, mean, n, linked, boulders).select(*keep)
     placed = cut_lineage(linked.unionByName(boulders).unionByName(small), n_rows)
     slotted = running_sum(placed, ["shard"], _bucket(max(1, n // 16)), [F.col("u"), F.col("doc_id")], {"slot": F.lit(1).cast("long")})
     return slotted.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
