@@ -101,3 +101,16 @@ def test_weighted_documents_come_first(spark):
     keyed = mixing.keyed_sizes(table, mixing.text_weight(F.col("text")), 17).filter("doc_id < 600")
     mean = {r.odd: r.k for r in keyed.groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("mix_key").alias("k")).collect()}
     assert mean[1] > 3 * mean[0]
+
+
+def test_a_source_of_mostly_one_repeated_row_ends_at_its_target(spark):
+    rows = [(None, "the same words each time", "a")] * 300 + [(7, "one row that came often", "b")] * 500 + [(i, "some other words", "b") for i in range(100, 140)]
+    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    table = docs(spark, rows, extra=True)
+    got = [tuple(r) for r in mixing.mix(table).select(*columns[:3], F.round("target", 6), "taken").collect()]
+    assert sorted(got, key=repr) == sorted(plain_mix(rows), key=repr)
+    want = sum(r[4] // r[1] for r in got)
+    assert mixing.mixed_documents(table).count() == want
+    for size, target in {(r[2], r[3]) for r in got}:
+        mine = [r for r in got if r[2] == size]
+        assert abs(sum(r[4] for r in mine) - target) <= max(r[1] for r in mine) / 2 + 1e-6

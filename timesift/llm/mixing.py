@@ -70,40 +70,56 @@ def keyed_sizes(docs: DataFrame, weight: Column, seed: int) -> DataFrame:
 
 
 def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """Per source ``source, source_size, target, epochs, last``, from ``rows(doc_id, source, size, mix_key)``.
+    """Per source ``source, source_size, target, epochs, last, part``, from ``rows(doc_id, source, size, mix_key)``.
 
     A target of several times its source takes whole ``epochs`` first. The rest is filled in rising key
     order: a document is taken when the middle of its words lies before the end of the budget, which
     leaves a source within half a document of its target. ``last`` is the (key, doc_id, size) of the
-    last document taken. Keys are summed in buckets within a source, so one source may hold any share of
-    all rows.
+    last document taken, ``part`` how many of the rows equal to it are taken, null for all. Equal rows are
+    counted first and keys summed in buckets within a source, so one source or row may hold any share of all rows.
     """
     n_rows = rows.count()
     n = bucket_count(n_rows)
     sources = cut_lineage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), n_rows)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = cut_lineage(source_targets(sources, weights, cap).withColumn("epochs", epochs), n_rows)
-    placed = with_source(rows.filter("size > 0"), targets)
+    order = ["mix_key", "doc_id", "size"]
+    counted = rows.filter("size > 0").groupBy("source", *order).agg(F.count(F.lit(1)).alias("n"))
+    placed = with_source(counted, targets)
     # 1 - exp(-key * least weight) never decreases with the key and is dense by a factor of 20 at most.
     bucket = F.least(F.lit(n - 1), F.floor((F.lit(1.0) - F.exp(-F.col("mix_key") * F.lit(LEAST_WEIGHT))) * F.lit(n)))
-    order = ["mix_key", "doc_id", "size"]
-    summed = running_sum(placed, ["source"], bucket, [F.col(c) for c in order], {"before": F.col("size")})
+    summed = running_sum(placed, ["source"], bucket, [F.col(c) for c in order], {"before": F.col("size") * F.col("n")})
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     taken = summed.filter(F.lit(2.0) * F.col("before") + F.col("size") < F.lit(2.0) * rest)
-    last = taken.groupBy("source").agg(F.max(F.struct(*order)).alias("last"))
-    both = targets.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    fit = F.ceil((F.lit(2.0) * rest - F.col("size") - F.lit(2.0) * F.col("before")) / (F.lit(2.0) * F.col("size")))
+    last = taken.groupBy("source").agg(F.max(F.struct(*order, F.when(fit < F.col("n"), fit).cast("long").alias("part"))).alias("l"))
+    last = last.select(F.col("source").alias("s"), F.struct(*[F.col(f"l.{c}").alias(c) for c in order]).alias("last"), F.col("l.part").alias("part"))
+    both = targets.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     return cut_lineage(both, n_rows)
 
 
+def settle(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``plan`` with ``until``: the highest ``rid`` taken of the rows equal to ``last``, where only a part of them is.
+
+    ``rows(rid, doc_id, source, size, mix_key)`` are a written table, whose numbers rise by partition.
+    """
+    mine = F.struct("mix_key", "doc_id", "size")
+    edge = with_source(rows, plan.filter("part IS NOT NULL")).filter(mine.eqNullSafe(F.col("last"))).select("source", "rid", "part")
+    placed = running_sum(edge, ["source"], F.shiftright("rid", 33), [F.col("rid")], {"before": F.lit(1).cast("long")})
+    until = placed.filter("before < part").groupBy(F.col("source").alias("s")).agg(F.max("rid").alias("until"))
+    return cut_lineage(plan.join(until, F.col("source").eqNullSafe(F.col("s")), "left").drop("s"))
+
+
 def with_source(rows: DataFrame, plan: DataFrame) -> DataFrame:
     """Join by source, null to null. ``plan`` is a written table: broadcast when its size allows, else Spark splits hot sources."""
     return rows.join(plan.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
 
 
 def copies() -> Column:
-    """How often a row of ``keyed_sizes`` joined with its plan is taken."""
+    """How often a row of ``keyed_sizes`` with its ``rid``, joined with its settled plan, is taken."""
     mine = F.struct("mix_key", "doc_id", "size")
-    return F.col("epochs") + F.when((F.col("size") > 0) & F.coalesce(mine <= F.col("last"), F.lit(False)), 1).otherwise(0)
+    there = (mine < F.col("last")) | (mine.eqNullSafe(F.col("last")) & (F.col("part").isNull() | (F.col("rid") <= F.col("until"))))
+    return F.col("epochs") + F.when((F.col("size") > 0) & F.coalesce(there, F.lit(False)), 1).otherwise(0)
 
 
 def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -114,14 +130,15 @@ def mix(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, cap:
     are read. Sources may be any number and one may hold any share of the rows.
     """
     rows = cut_lineage(keyed_sizes(docs.select("doc_id", "text", "source"), text_weight(F.col("text")), seed)
-                       .select("doc_id", "source", "size", "mix_key"))
-    return with_source(rows, mix_plan(rows, weights, cap)).select(
+                       .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", "size", "mix_key"))
+    return with_source(rows, settle(rows, mix_plan(rows, weights, cap))).select(
         "doc_id", "size", "source_size", "target", copies().cast("long").alias("copies"),
         (copies() * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """``docs`` as the mix has them: each row as often as it is taken. Texts stay where they lie.
+    """``docs`` as the mix has them: each row as often as it is taken. Texts stay where they lie; they are
+    written once, numbered, only where a source's budget ends between equal rows.
 
     Columns of ``docs`` stay as they are, whatever their names; the rules are those of ``mix``.
     """
@@ -129,6 +146,12 @@ def mixed_documents(docs: DataFrame, seed: int = 17, weights: Sequence[int] = WE
     narrow = docs.select("doc_id", "text", "source", kept)
     keyed = keyed_sizes(narrow, text_weight(F.col("text")), seed)
     rows = cut_lineage(keyed.select("doc_id", "source", "size", "mix_key"))
-    joined = with_source(keyed, mix_plan(rows, weights, cap))
+    plan = mix_plan(rows, weights, cap)
+    if plan.filter("part IS NOT NULL").isEmpty():
+        keyed, plan = keyed.withColumn("rid", F.lit(0)), plan.withColumn("until", F.lit(0))
+    else:
+        keyed = cut_lineage(keyed.drop("text").withColumn("rid", F.monotonically_increasing_id()))
+        plan = settle(keyed.select("rid", "doc_id", "source", "size", "mix_key"), plan)
+    joined = with_source(keyed, plan)
     repeated = F.explode(F.array_repeat(F.lit(1), copies().cast("int")))
     return joined.select("kept", repeated.alias("n")).select("kept.*")
