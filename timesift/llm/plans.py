@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from timesift.llm import decontaminate, jaccard, language, mixing, neighbours, pages, quality, secrets, sharding, urls
+from timesift.llm import (codes, decontaminate, jaccard, language, mixing, neighbours, pages, quality, runs, secrets, sharding, tokens,
+                          urls)
 from timesift.llm.common import table
 
 
@@ -50,6 +52,23 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
 
 
+def op11_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokens.flag_over_limit(tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), 2048)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.label_errors(coded).select("vec_id", "code", "error", "label_error",
+                                            F.lit(codes.codebooks_digest(books)).alias("codebooks_sha256"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return runs.run_digest(runs.periodic_runs(docs.select("doc_id", runs.looped_text(F.col("doc_id"), F.col("text")).alias("text"))))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -58,7 +77,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_secrets, op2_permutation_index, op3_host_paths, op4_decontaminate, op5_quality, op6_mix, op7_jaccard,
-                                    op8_urls, op9_language, op10_shards, pipeline)}
+                                    op8_urls, op9_language, op10_shards, op11_tokens, op12_codes, op13_runs, pipeline)}
 
 
 def oracles() -> dict[str, str]:

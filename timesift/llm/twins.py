@@ -61,4 +61,38 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
 """
 
-TWINS = {"op4_decontaminate": OP4, "op6_mix": OP6, "op7_jaccard": OP7}
+
+
+def _lloyd(rounds: int) -> str:
+    """The integer codebook rounds; every step is materialised because two later ones read it."""
+    steps = ["""
+WITH x AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, j, list_slice(v, j * (len(v) // 8) + 1, (j + 1) * (len(v) // 8)) AS s FROM x, range(8) AS r(j)),
+c0 AS MATERIALIZED (SELECT j, e, s AS c FROM (SELECT j, s, row_number() OVER (PARTITION BY j ORDER BY vec_id) - 1 AS e FROM p) WHERE e < 16)"""]
+    nearest = """
+a{0} AS MATERIALIZED (
+  SELECT vec_id, any_value(label) AS label, p.j, any_value(s) AS s,
+         min((list_inner_product(s, s) - 2 * list_inner_product(s, c) + list_inner_product(c, c)) * 16 + e) AS best
+  FROM p JOIN c{0} AS b ON p.j = b.j GROUP BY vec_id, p.j)"""
+    for i in range(rounds):
+        steps.append(nearest.format(i))
+        steps.append(f"""
+u{i} AS (SELECT j, best % 16 AS e, i, floor(sum(list_extract(s, i)) / count(*)) AS m
+         FROM a{i}, LATERAL unnest(range(1, len(s) + 1)) AS t(i) GROUP BY j, best % 16, i),
+c{i + 1} AS MATERIALIZED (SELECT b.j, b.e, coalesce(n.c, b.c) AS c FROM c{i} AS b
+  LEFT JOIN (SELECT j, e, list(m ORDER BY i) AS c FROM u{i} GROUP BY j, e) AS n ON n.j = b.j AND n.e = b.e)""")
+    steps.append(nearest.format(rounds))
+    return ",".join(steps) + f"""
+, rows AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', CAST(best % 16 AS INTEGER)), '' ORDER BY j) AS code,
+                  CAST(sum(floor(best / 16)) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+book AS (SELECT string_agg(array_to_string(list_transform(c, lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY j, e) AS t FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, (SELECT sha256(t) FROM book) AS codebooks_sha256
+FROM rows
+"""
+
+
+OP12 = _lloyd(6)
+
+TWINS = {"op4_decontaminate": OP4, "op6_mix": OP6, "op7_jaccard": OP7, "op12_codes": OP12}
