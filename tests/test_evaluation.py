@@ -36,9 +36,12 @@ def test_bootstrap_repeats_the_fixed_generator(spark):
     df = spark.createDataFrame([("m", k, v) for k, v in deltas.items()], "metric string, family_id string, delta double")
     r = ev.bootstrap_exact(df, 17).first()
     assert (r.n, r.mean, r.lower_95) == (3, sum(deltas.values()) / 3, means[499])
-    mixed = df.unionByName(spark.createDataFrame([("big", str(i), float(i)) for i in range(6)], df.schema))
-    got = {r.metric: (r.n, r["mean"]) for r in ev.bootstrap_exact(mixed, 17, limit=4).collect()}
-    assert got == {"m": (3, sum(deltas.values()) / 3), "big": (6, 2.5)}
+    many = {str(i): i * 0.25 for i in range(130)}  # one generator, whatever the size
+    rng, keys = random.Random(17), sorted(many)
+    want = sorted(sum(many[rng.choice(keys)] for _ in keys) / 130 for _ in range(10_000))[499]
+    mixed = df.unionByName(spark.createDataFrame([("big", k, v) for k, v in many.items()], df.schema))
+    got = {x.metric: x for x in ev.bootstrap_exact(mixed, 17).collect()}
+    assert got["m"].lower_95 == r.lower_95 and got["big"].n == 130 and abs(got["big"].lower_95 - want) < 1e-9
     d = ev.bootstrap_drawn(df, 17).first()
     assert d.n == 3 and min(deltas.values()) <= d.lower_95 <= d.mean
 

@@ -205,3 +205,45 @@ BUNDLE_SCHEMA_VERSION = 1
 MANIFEST_FIELDS = ["bundle_schema_version", "tool_versions", "schema_versions", "evidence_budget", "completeness_state", "provenance",
                    "media_included", "files"]
 COMPLETENESS_STATES = ["complete", "partial", "degraded"]
+
+# Decision rules: split, role, name, metric, scope (None: every one), comparison, bound, required.
+DECISION_RULES = [
+    ("development", "gate", "quality", "quality.mean", None, ">=", -0.25, True),
+    ("development", "gate", "quality", "quality_class.mean", None, ">=", -0.50, False),
+    ("development", "gate", "recall", "recall.mean", None, ">=", -0.02, True),
+    ("development", "gate", "citation", "citation.mean", None, ">=", -0.02, True),
+    ("development", "gate", "completion", "completion.excess", None, "<=", 0.0, True),
+    ("confirmatory", "gate", "quality", "quality.lower_95", None, ">", -0.25, True),
+    ("confirmatory", "gate", "quality", "quality_class.lower_95", None, ">", -0.50, False),
+    ("confirmatory", "gate", "recall", "recall.lower_95", None, ">", -0.02, True),
+    ("confirmatory", "gate", "citation", "citation.lower_95", None, ">", -0.02, True),
+    ("confirmatory", "gate", "completion", "completion.drop", None, "<=", 0.0, True),
+    ("confirmatory", "gate", "targeted_tokens", "tokens.reduction", "targeted", ">=", 0.50, True),
+    ("confirmatory", "gate", "coverage_tokens", "tokens.reduction", "coverage", ">=", 0.25, True),
+    ("any", "gate", "before_after", "before_after.failed", None, "<=", 0.0, False),
+    ("any", "gate", "latency", "latency.excess", None, "<=", 0.0, True),
+    ("any", "gate", "asr", "asr.wer", None, "<=", 1.0, True),
+    ("any", "gate", "asr", "asr.language_failed", None, "<=", 0.0, True),
+    ("any", "gate", "asr", "asr.boundary_median", None, "<=", 0.25, True),
+    ("any", "gate", "asr", "asr.boundary_p95", None, "<=", 1.0, True),
+    ("any", "gate", "blockers", "blockers.count", None, "<=", 0.0, False),
+    ("any", "regression", "answer_quality", "quality.mean", None, "<", -0.10, False),
+    ("any", "regression", "evidence_recall", "recall.mean", None, "<", -0.01, False),
+    ("any", "regression", "citation_support", "citation.mean", None, "<", -0.01, False),
+    ("any", "regression", "completion", "completion.drop", None, ">", 0.0, False),
+    ("any", "regression", "total_system_tokens", "usage.tokens", None, ">", 1.02, False),
+    ("any", "regression", "total_system_dollars", "usage.dollars", None, ">", 1.02, False),
+    ("any", "regression", "total_system_calls", "usage.calls", None, ">", 1.0, False),
+    ("any", "regression", "latency", "latency.excess", None, ">", 0.0, False),
+    ("any", "regression", "resource_cpu_ms", "resource.cpu_ms", None, ">", 0.0, False),
+    ("any", "regression", "resource_peak_rss_bytes", "resource.peak_rss_bytes", None, ">", 0.0, False),
+    ("any", "regression", "resource_disk_bytes", "resource.disk_bytes", None, ">", 0.0, False),
+    ("any", "regression", "resource_network_bytes", "resource.network_bytes", None, ">", 0.0, False),
+    ("any", "regression", "resource_process_calls", "resource.process_calls", None, ">", 0.0, False),
+    ("any", "regression", "resource_initialization_ms", "resource.initialization_ms", None, ">", 0.0, False),
+    ("any", "improvement", "quality", "quality.mean", None, ">", 0.10, False),
+    ("any", "improvement", "reader_tokens", "tokens.reduction", None, ">", 0.02, False),
+    ("any", "improvement", "total_system_cost", "usage.dollars", None, "<", 0.98, False),
+    ("any", "improvement", "recall", "recall_class.mean", None, ">", 0.01, False),
+    ("any", "improvement", "citation", "citation_class.mean", None, ">", 0.01, False),
+]

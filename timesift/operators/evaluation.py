@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,27 +106,30 @@ def family_deltas(deltas: DataFrame) -> DataFrame:
     return deltas.where("delta is not null").groupBy("family_id").agg(F.avg("delta").alias("delta"))
 
 
-def bootstrap_exact(families: DataFrame, seed: int, limit: int = 5000) -> DataFrame:
-    """(metric, n, mean, lower_95) of every metric of ``families(metric, family_id, delta)``.
+def bootstrap_exact(families: DataFrame, seed: int) -> DataFrame:
+    """(metric, n, mean, lower_95) of every metric of ``families(metric, family_id, delta)``, of any size.
 
-    The fixed generator is one sequence of draws over a metric's families, so a metric of up to ``limit``
-    families is one bounded group. A larger one is drawn by ``bootstrap_drawn``, which spreads any number of
-    families over the cluster; no metric is left out.
+    The fixed generator is one sequence of draws over a metric's families (8 bytes each), so a metric is one task. The task takes the
+    sequence in blocks; it never holds more than a block of draws. ``bootstrap_drawn`` spreads its draws over the cluster.
     """
-    sizes = families.groupBy("metric").agg(F.count(F.lit(1)).alias("n"))
-    small = families.join(sizes.where(F.col("n") <= limit), "metric")
-    large = families.join(sizes.where(F.col("n") > limit).select("metric"), "metric", "left_semi")
-
     def draw(rows: pd.DataFrame) -> pd.DataFrame:
-        deltas = [float(d) for d in rows.assign(k=rows["family_id"].astype(str)).sort_values("k")["delta"]]
-        rng = random.Random(seed)
-        means = sorted(sum(rng.choice(deltas) for _ in deltas) / len(deltas) for _ in range(fixed.BOOTSTRAP_REPLICATES))
-        lower = means[-(-fixed.BOOTSTRAP_REPLICATES * 5 // 100) - 1]
-        return pd.DataFrame({"metric": [rows["metric"].iloc[0]], "n": [len(deltas)],
-                             "mean": [sum(deltas) / len(deltas)], "lower_95": [lower]})
-
-    exact = small.groupBy("metric").applyInPandas(draw, "metric string, n long, mean double, lower_95 double")
-    return exact.unionByName(bootstrap_drawn(large, seed).select("metric", "n", "mean", "lower_95"))
+        deltas = rows.assign(k=rows["family_id"].astype(str)).sort_values("k")["delta"].to_numpy(dtype=np.float64)
+        n, bits = len(deltas), len(rows).bit_length()
+        state = random.Random(seed).getstate()[1]
+        stream = np.random.RandomState()
+        stream.set_state(("MT19937", np.array(state[:-1], dtype=np.uint32), state[-1]))
+        means, rest = [], np.empty(0, dtype=np.int64)
+        while len(means) < fixed.BOOTSTRAP_REPLICATES:
+            # A draw is the top bits of one 32-bit number, taken again while it is no position.
+            drawn = stream.randint(0, 2 ** 32, size=max(n, 1 << 20), dtype=np.uint32) >> np.uint32(32 - bits)
+            rest = np.concatenate((rest, drawn[drawn < n].astype(np.int64)))
+            whole = min(len(rest) // n, fixed.BOOTSTRAP_REPLICATES - len(means))
+            means += (deltas[rest[:whole * n].reshape(whole, n)].sum(axis=1) / n).tolist()
+            rest = rest[whole * n:]
+        lower = sorted(means)[-(-fixed.BOOTSTRAP_REPLICATES * 5 // 100) - 1]
+        return pd.DataFrame({"metric": [rows["metric"].iloc[0]], "n": [n], "mean": [deltas.mean()], "lower_95": [lower]})
+
+    return families.groupBy("metric").applyInPandas(draw, "metric string, n long, mean double, lower_95 double")
 
 
 def bootstrap_drawn(families: DataFrame, seed: int, replicates: int = fixed.BOOTSTRAP_REPLICATES) -> DataFrame:
@@ -267,42 +271,3 @@ def pareto(control: dict[str, str], metrics: DataFrame, keys: list[str]) -> Data
     return metrics.groupBy(*keys).agg(
         (~F.bool_or(worse) & (F.count(F.lit(1)) == len(control))).alias("no_worse"),
         F.array_join(F.array_sort(F.collect_set(F.when(worse, F.col("metric")))), "|").alias("regressions"))
-
-
-def development_gates(cases: DataFrame, scores: DataFrame, runs: DataFrame, usage: DataFrame, latency: DataFrame,
-                      latency_keys: list[str]) -> DataFrame:
-    """(gate, scope, value, passed, regression) rows of a development decision, and the final one.
-
-    ``cases`` are those with valid pairs; what was refused is reported by the violation queries. Each
-    gate is a small aggregate; only those meet.
-    """
-    scores, runs = cut_lineage(scores), cut_lineage(runs)
-
-    def paired_mean(value: str, scope: Column, gate: str, floor: float, slip: float) -> DataFrame:
-        both = by_arm(scores, value).where("control is not null and candidate is not null")
-        mean = cases.join(both, "case_id").groupBy(scope.alias("scope")).agg(
-            F.round(F.avg(F.col("candidate") - F.col("control")), 6).alias("value"))
-        return mean.select(F.lit(gate).alias("gate"), "scope", "value", (F.col("value") >= floor).alias("passed"),
-                           (F.col("value") < slip).alias("regression"))
-
-    done = completion(cases, runs)
-    drop = F.col("control") - F.col("candidate")
-    finished = done.select(
-        F.lit("completion").alias("gate"), F.col("environment_id").alias("scope"), drop.cast("double").alias("value"),
-        (drop <= F.least(F.lit(1.0), 0.01 * F.col("total"))).alias("passed"), (drop > 0).alias("regression"))
-    quick = latency_gates(latency, latency_keys).select(
-        F.lit("latency").alias("gate"), F.concat_ws(":", *latency_keys).alias("scope"), F.round("median_delta", 6).alias("value"),
-        F.col("pass").alias("passed"), (~F.col("pass")).alias("regression"))
-    spent = token_reduction(usage.join(cases.select("case_id", "question_class"), "case_id"), ["question_class"], "tokens").select(
-        F.lit("tokens").alias("gate"), F.col("question_class").alias("scope"), F.round("reduction", 6).alias("value"),
-        F.lit(True).alias("passed"), (F.col("candidate") > F.col("control") * 1.02).alias("regression"))
-    gates = paired_mean("score", F.lit("all"), "quality", -0.25, -0.10).unionByName(
-        paired_mean("score", F.col("question_class"), "quality_class", -0.50, float("-inf"))).unionByName(
-        paired_mean("citation", F.lit("all"), "citation", -0.02, -0.01)).unionByName(finished).unionByName(quick).unionByName(spent)
-    gates = cut_lineage(gates)
-    better = F.bool_or(((F.col("gate") == "quality") & (F.col("value") > 0.10)) | ((F.col("gate") == "tokens") & (F.col("value") > 0.02))
-                       | ((F.col("gate") == "citation") & (F.col("value") > 0.01)))
-    final = gates.agg(F.bool_and("passed").alias("ok"), F.bool_or("regression").alias("regression"), better.alias("better")).select(
-        F.lit("pareto_promote").alias("gate"), F.lit("all").alias("scope"), F.lit(None).cast("double").alias("value"),
-        (F.col("ok") & F.col("better") & ~F.col("regression")).alias("passed"), "regression")
-    return gates.unionByName(final)

@@ -96,8 +96,9 @@ def facet_expansion(coverage: DataFrame, selected: DataFrame, chosen_spans: Data
     depth = top * len(fixed.FACETS)
     weights = facets.select("facet", text.normalize_token(F.col("word")).alias("term")).groupBy(
         "facet", "term").agg(F.count(F.lit(1)).alias("weight"))
-    scored = retrieval.span_scores(retrieval.term_parts(spans, weights), weights, by="facet")
     open_facets = coverage.where("not covered").select(*PAIR, "facet", "facet_no")
+    read = spans.join(open_facets.select("source_id").distinct(), "source_id", "left_semi")
+    scored = retrieval.span_scores(retrieval.term_parts(read, weights), weights, by="facet")
     fresh = (
         open_facets.join(scored, ["source_id", "facet"])
         .join(selected.select(*PAIR, "chapter_id"), [*PAIR, "chapter_id"], "left_anti")
@@ -108,25 +109,26 @@ def facet_expansion(coverage: DataFrame, selected: DataFrame, chosen_spans: Data
     listed = best.join(words, ["source_id", "span_id"]).groupBy(*PAIR).agg(F.array_sort(F.collect_list(
         F.struct("facet_no", "rank", "span_id", "facet", "score", "holds"))).alias("items"))
 
-    start = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<int>").alias("covered"),
+    kind = listed.schema["items"].dataType.elementType
+    entry = f"struct<span_id:{kind['span_id'].dataType.simpleString()},facet:string,score:double>"
+    start = F.struct(F.array().cast(f"array<{entry}>").alias("taken"), F.array().cast("array<int>").alias("covered"),
                      F.lit(-1).alias("facet_no"), F.lit(False).alias("skip"), F.lit(0).alias("n"))
 
     def step(acc: Column, item: Column) -> Column:
         changed = acc["facet_no"] != item["facet_no"]
         skip = F.when(changed, F.array_contains(acc["covered"], item["facet_no"])).otherwise(acc["skip"])
         n = F.when(changed, 0).otherwise(acc["n"])
-        take = ~skip & (n < top) & ~F.array_contains(acc["taken"], item["span_id"])
+        take = ~skip & (n < top) & ~F.exists(acc["taken"], lambda t: t["span_id"] == item["span_id"])
+        own = F.struct(item["span_id"].alias("span_id"), item["facet"].alias("facet"), item["score"].alias("score")).cast(entry)
         return F.struct(
-            F.when(take, F.concat(acc["taken"], F.array(item["span_id"]))).otherwise(acc["taken"]).alias("taken"),
+            F.when(take, F.concat(acc["taken"], F.array(own))).otherwise(acc["taken"]).alias("taken"),
             F.when(take, F.array_union(acc["covered"], item["holds"])).otherwise(acc["covered"]).alias("covered"),
             item["facet_no"].alias("facet_no"), skip.alias("skip"),
             F.when(take, n + 1).otherwise(n).alias("n"))
 
-    # A span may stand under several facets; it is added for the first facet that takes it.
-    taken = listed.withColumn("taken", F.aggregate("items", start, step, lambda acc: acc["taken"]))
-    added = taken.select(*PAIR, F.explode("taken").alias("span_id"), "items")
-    under = F.get(F.filter("items", lambda i: i["span_id"] == F.col("span_id")), F.lit(0))
-    return added.withColumn("__i", under).select(*SPAN, F.col("__i.facet").alias("facet"), F.col("__i.score").alias("score"))
+    # A span may stand under several facets: the entry names the one that took it.
+    taken = listed.select(*PAIR, F.explode(F.aggregate("items", start, step, lambda acc: acc["taken"])).alias("t"))
+    return taken.select(*PAIR, "t.span_id", "t.facet", "t.score")
 
 
 def span_rescue(scores: DataFrame, selected: DataFrame, chosen_spans: DataFrame,
@@ -269,31 +271,25 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
     pair when at least one span scores above zero.
     """
     spark = questions.sparkSession
-    bound = _bindings(questions)
+    bound = retrieval.bindings(questions)
     facets = retrieval.facet_table(spark) if facets is None else facets
     spans, segments = scouted.spans, scouted.segments
     terms = retrieval.question_terms(questions)
-    rescued = retrieval.fuzzy_rescue(terms, spans)
-    if bound is not None:
-        rescued = rescued.join(bound.withColumnRenamed("source_id", "only"), "question_id", "left").where(
-            "only IS NULL OR only = source_id").drop("only")
-    rescued = cut_lineage(rescued)
+    rescued = cut_lineage(retrieval.fuzzy_rescue(terms, spans, bound))
 
     fires = retrieval.facet_fires(terms, facets)
     near_fires = rescued.join(facets, F.col("match") == F.col("word")).select(*PAIR, "facet", "facet_no").distinct()
     new_fires = near_fires.join(fires.select("question_id", "facet"), ["question_id", "facet"], "left_anti")
-    weights = retrieval.term_weights(terms, fires, facets)
+    weights, own_weights = retrieval.bind(retrieval.term_weights(terms, fires, facets), bound)
     pair_weights = rescued.select(
         *PAIR, text.normalize_token(F.col("match")).alias("term"), (F.col("n") * fixed.QUESTION_TERM_WEIGHT).alias("w")
     ).unionByName(new_fires.join(facets.select("facet", "word"), "facet").select(
         *PAIR, text.normalize_token(F.col("word")).alias("term"), F.lit(1).alias("w"))
     )
-    if bound is not None:
-        pair_weights = pair_weights.unionByName(weights.join(bound, "question_id").select(*PAIR, "term", F.col("weight").alias("w")))
-        weights = weights.join(bound, "question_id", "left_anti")
-    pair_weights = pair_weights.groupBy(*PAIR, "term").agg(F.sum("w").alias("weight"))
-    wanted = weights.select("term").union(pair_weights.select("term"))
-    scores = cut_lineage(retrieval.span_scores(retrieval.term_parts(spans, wanted), weights, pair_weights))
+    if own_weights is not None:
+        pair_weights = pair_weights.unionByName(own_weights.withColumnRenamed("weight", "w"))
+    pair_weights = cut_lineage(pair_weights.groupBy(*PAIR, "term").agg(F.sum("w").alias("weight")))
+    scores = cut_lineage(retrieval.span_scores(retrieval.term_parts(spans, weights, pair_weights), weights, pair_weights))
 
     ranks = retrieval.chapter_ranks(scores)
     if bound is not None:
@@ -333,13 +329,6 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
     return Selection(pairs, selected, guards, added, rescues, rescued, cut_lineage(frames), blocks, unmet)
 
 
-def _bindings(questions: DataFrame) -> DataFrame | None:
-    """(question_id, source_id) of the questions that ask one source only."""
-    if "source_id" not in questions.columns:
-        return None
-    return questions.where("source_id IS NOT NULL").select("question_id", "source_id")
-
-
 def evidence_rows(chosen: Selection, scouted: Scout) -> DataFrame:
     """(pair, t_start, t_end, chapter, modality, reason, score, start_s): one row per piece of evidence."""
     titles = scouted.chapters.select("source_id", "chapter_id", "title", "start_s", "end_s")
@@ -379,7 +368,7 @@ def manifests(questions: DataFrame, chosen: Selection, scouted: Scout) -> DataFr
         F.count_if(F.col("modality") == "frame").alias("frames"))
     texts = notes(chosen).groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("note_no", "note"))).alias("n"))
     sizes = chosen.selected.groupBy(*PAIR).agg(F.sum("chars").alias("chapter_chars"))
-    return rows.join(texts, PAIR, "left").join(sizes, PAIR).join(questions, "question_id").select(
+    return rows.join(texts, PAIR, "left").join(sizes, PAIR).join(questions.select("question_id", "text"), "question_id").select(
         *PAIR, F.lit(1).alias("schema_version"), F.lit("targeted").alias("policy"), F.col("text").alias("question"),
         "evidence", F.struct("chapter_chars", "frames").alias("reader_cost"),
         F.struct(text.obligations(F.col("text")).alias("obligations"),
@@ -416,7 +405,7 @@ def report_lines(questions: DataFrame, chosen: Selection, scouted: Scout) -> Dat
         return df.select(*PAIR, F.lit(section).alias("section"), ord_.cast("double").alias("ord"),
                          (F.lit(-1) if sub is None else sub).alias("sub"), line.alias("line"))
 
-    head = chosen.pairs.join(questions, "question_id").select(*PAIR, F.posexplode(F.array(
+    head = chosen.pairs.join(questions.select("question_id", "text"), "question_id").select(*PAIR, F.posexplode(F.array(
         F.lit("# Evidence report"), F.concat(F.lit("Question: "), "text"), F.lit("Policy: targeted"),
         F.lit(""), F.lit("## Selected chapters"))).alias("at", "text"))
     span_of = F.concat(F.lit("["), stamp(F.col("start_s")), F.lit("-"), stamp(F.col("end_s")), F.lit("]"))

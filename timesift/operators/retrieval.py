@@ -46,13 +46,40 @@ def term_weights(terms: DataFrame, fires: DataFrame, facets: DataFrame) -> DataF
     return asked.unionByName(listed).groupBy("question_id", "term").agg(F.sum("w").alias("weight"))
 
 
-def term_parts(spans: DataFrame, wanted: DataFrame) -> DataFrame:
+def bindings(questions: DataFrame) -> DataFrame | None:
+    """(question_id, source_id) of the questions that ask one source only."""
+    if "source_id" not in questions.columns:
+        return None
+    return questions.where("source_id IS NOT NULL").select("question_id", "source_id")
+
+
+def bind(weights: DataFrame, bound: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    """Weights of the questions that search all sources, and those of the others with their source."""
+    if bound is None:
+        return weights, None
+    return weights.join(bound, "question_id", "left_anti"), weights.join(bound, "question_id").select(*PAIR, "term", "weight")
+
+
+def asked_of(rows: DataFrame, bound: DataFrame | None) -> DataFrame:
+    """Rows ``(question_id, source_id, ...)`` without those of a source that the question does not ask."""
+    if bound is None:
+        return rows
+    only = bound.withColumnRenamed("source_id", "__only")
+    return rows.join(only, "question_id", "left").where("__only IS NULL OR __only = source_id").drop("__only")
+
+
+def term_parts(spans: DataFrame, wanted: DataFrame, in_source: DataFrame | None = None) -> DataFrame:
     """(source_id, span_id, chapter_id, n_tokens, term, part) of the wanted terms.
 
-    ``part`` is tf times the inverse span frequency within the source.
+    ``part`` is tf times the inverse span frequency within the source. ``in_source`` holds terms that are wanted
+    in one source only: what questions bound to a source read does not grow with the corpus.
     """
-    found = spans.select("source_id", "span_id", "chapter_id", F.size("tokens").alias("n_tokens"),
-                         F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    everywhere = wanted.select("term").distinct()
+    words = spans.select("source_id", "span_id", "chapter_id", F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term"))
+    found = words.join(everywhere, "term", "left_semi")
+    if in_source is not None:
+        there = in_source.select("source_id", "term").distinct().join(everywhere, "term", "left_anti")
+        found = found.unionByName(words.join(there, ["source_id", "term"], "left_semi").select(*found.columns))
     tf = found.groupBy("source_id", "span_id", "chapter_id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = cut_lineage(tf)  # read twice: for the span frequency and for the parts
     sizes = spans.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_spans"))
@@ -101,9 +128,9 @@ def near_words(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return left.join(right, "k").where(F.levenshtein("term", "match", 1) >= 0).select("term", "match").distinct()
 
 
-def fuzzy_rescue(terms: DataFrame, spans: DataFrame) -> DataFrame:
+def fuzzy_rescue(terms: DataFrame, spans: DataFrame, bound: DataFrame | None = None) -> DataFrame:
     """(question_id, source_id, term, match, note_no): asked words of five letters or more that a
-    source never has, and its first word (in order) one edit away."""
+    source never has, and its first word (in order) one edit away; questions of ``bound`` ask their source only."""
     asked = terms.where(F.length("term") >= fixed.FUZZY_MIN_LEN)
     near = near_words(asked, spans.select(F.explode("tokens").alias("token")).where(
         F.length("token") >= fixed.FUZZY_MIN_LEN - 1))
@@ -114,7 +141,7 @@ def fuzzy_rescue(terms: DataFrame, spans: DataFrame) -> DataFrame:
         F.min("match").alias("match"))
     missing = found.join(present.withColumnRenamed("token", "term"), ["source_id", "term"], "left_anti")
     order = Window.partitionBy(*PAIR).orderBy("first_at")
-    return missing.join(asked, "term").select(
+    return asked_of(missing.join(asked, "term"), bound).select(
         *PAIR, "term", "match", "n", "first_at", F.row_number().over(order).alias("note_no"))
 
 
@@ -129,19 +156,31 @@ def _digit_keys(value: Column, full: bool) -> Column:
 
 
 def lexical_rank(questions: DataFrame, segments: DataFrame, limit: int = fixed.LEXICAL_LIMIT) -> DataFrame:
-    """(pair, seg_idx, start_s, score, rank from 1): exact tokens, named numbers, shared negation."""
+    """(pair, seg_idx, start_s, score, rank from 1): exact tokens, named numbers, shared negation.
+
+    A question with a ``source_id`` is met with that source alone; one without searches all sources.
+    """
+    bound = bindings(questions)
     docs = segments.select("source_id", "seg_idx", "start_s", "text", text.exact_tokens(F.col("text")).alias("tokens"))
     asked = questions.select("question_id", "text", F.array_distinct(text.exact_tokens(F.col("text"))).alias("terms"))
     terms = asked.select("question_id", F.explode("terms").alias("term"))
-    tf = docs.select("source_id", "seg_idx", F.explode("tokens").alias("term")).join(
-        terms.select("term").distinct(), "term", "left_semi").groupBy("source_id", "seg_idx", "term").agg(
-        F.count(F.lit(1)).alias("tf"))
+    free, own = bind(terms.withColumn("weight", F.lit(1)), bound)
+    everywhere = free.select("term").distinct()
+    words = docs.select("source_id", "seg_idx", F.explode("tokens").alias("term"))
+    found = words.join(everywhere, "term", "left_semi")
+    if own is not None:
+        there = own.select("source_id", "term").distinct().join(everywhere, "term", "left_anti")
+        found = found.unionByName(words.join(there, ["source_id", "term"], "left_semi").select(*found.columns))
+    tf = found.groupBy("source_id", "seg_idx", "term").agg(F.count(F.lit(1)).alias("tf"))
     tf = cut_lineage(tf)
     sizes = segments.groupBy("source_id").agg(F.count(F.lit(1)).alias("n_segs"))
     rarity = tf.groupBy("source_id", "term").agg(F.count(F.lit(1)).alias("df")).join(sizes, "source_id").select(
         "source_id", "term", F.ln((F.col("n_segs") + 1) / (F.col("df") + 0.5)).alias("rarity"))
-    by_term = tf.join(rarity, ["source_id", "term"]).join(terms, "term").select(
-        *PAIR, "seg_idx", ((1 + F.ln("tf")) * F.col("rarity")).alias("part"))
+    impacts = tf.join(rarity, ["source_id", "term"]).select(
+        "source_id", "seg_idx", "term", ((1 + F.ln("tf")) * F.col("rarity")).alias("part"))
+    by_term = impacts.join(free, "term").select(*PAIR, "seg_idx", "part")
+    if own is not None:
+        by_term = by_term.unionByName(impacts.join(own, ["source_id", "term"]).select(*PAIR, "seg_idx", "part"))
 
     values = asked.select("question_id", F.explode(text.numbers(F.col("text"))).alias("v")).select(
         "question_id", F.lower("v").alias("value")).withColumn("k", _digit_keys(F.col("value"), False))
@@ -158,8 +197,8 @@ def lexical_rank(questions: DataFrame, segments: DataFrame, limit: int = fixed.L
     early = Window.partitionBy("source_id").orderBy("start_s", "seg_idx")
     first_ones = negated.withColumn("__r", F.row_number().over(early)).where(F.col("__r") <= limit).select(
         "source_id", "seg_idx", F.get("words", F.lit(0)).alias("word"))
-    matched = by_term.unionByName(by_number)
-    lone = denied.select("question_id", F.explode(negating).alias("word")).join(first_ones, "word").select(
+    matched = by_term.unionByName(asked_of(by_number, bound))
+    lone = asked_of(denied.select("question_id", F.explode(negating).alias("word")).join(first_ones, "word"), bound).select(
         *PAIR, "seg_idx")
     scored = matched.unionByName(lone.withColumn("part", F.lit(0.0))).groupBy(*PAIR, "seg_idx").agg(
         F.sum("part").alias("part"))

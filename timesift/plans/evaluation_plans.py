@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from timesift.functions import fixed
+from timesift.operators import decision
 from timesift.operators import evaluation as ev
 from timesift.operators.keyed import order_statistics
 from timesift.plans import views
@@ -167,15 +169,17 @@ def _asr_rows(spark, sf):
         F.array(F.max("l_discount"), F.max("l_tax")).alias("boundary_errors"))
 
 
-@query("asr_gate", f"""WITH a AS (SELECT l_orderkey AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN 'control' ELSE 'candidate' END AS arm,
+_ASR = f"""asr_a AS (SELECT l_orderkey AS case_id, CASE WHEN l_linenumber % 2 = 0 THEN 'control' ELSE 'candidate' END AS arm,
   100.0::DOUBLE * sum(CAST(l_quantity AS BIGINT) % 5 + l_partkey % 3 + l_partkey % 2) / sum(100 + l_partkey % 50) AS wer, min(l_returnflag) AS language, [max(l_discount), max(l_tax)] AS b FROM lineitem GROUP BY ALL),
-p AS (SELECT case_id, max(wer) FILTER (WHERE arm = 'control') AS control, max(wer) FILTER (WHERE arm = 'candidate') AS candidate, max(language) FILTER (WHERE arm = 'candidate') AS language FROM a GROUP BY case_id HAVING count(*) = 2),
-l AS (SELECT bool_and(d <= 2.0) AS language_pass FROM (SELECT avg(candidate - control) AS d FROM p GROUP BY language)),
-e AS (SELECT arm, unnest(b) AS e FROM a WHERE case_id IN (SELECT case_id FROM p)),
-s AS (SELECT arm, {_MEDIAN.format('e')} AS med, {_P95.format('e')} AS p95 FROM e GROUP BY arm),
-o AS (SELECT (SELECT count(*) FROM p) AS cases, (SELECT avg(candidate) - avg(control) FROM p) AS wer_delta_points, (SELECT language_pass FROM l) AS language_pass,
-  (SELECT max(med) FILTER (WHERE arm = 'candidate') - max(med) FILTER (WHERE arm = 'control') FROM s) AS median_delta, (SELECT max(p95) FILTER (WHERE arm = 'candidate') - max(p95) FILTER (WHERE arm = 'control') FROM s) AS p95_delta)
-SELECT cases, round(wer_delta_points, 6) AS wer_delta_points, language_pass, round(median_delta, 6) AS median_delta, round(p95_delta, 6) AS p95_delta, wer_delta_points <= 1.0 AND language_pass AND median_delta <= 0.25 AND p95_delta <= 1.0 AS pass FROM o""")
+asr_p AS (SELECT case_id, max(wer) FILTER (WHERE arm = 'control') AS control, max(wer) FILTER (WHERE arm = 'candidate') AS candidate, max(language) FILTER (WHERE arm = 'candidate') AS language FROM asr_a GROUP BY case_id HAVING count(*) = 2),
+asr_l AS (SELECT bool_and(d <= 2.0) AS language_pass FROM (SELECT avg(candidate - control) AS d FROM asr_p GROUP BY language)),
+asr_e AS (SELECT arm, unnest(b) AS e FROM asr_a WHERE case_id IN (SELECT case_id FROM asr_p)),
+asr_s AS (SELECT arm, {_MEDIAN.format('e')} AS med, {_P95.format('e')} AS p95 FROM asr_e GROUP BY arm),
+asr_o AS (SELECT (SELECT count(*) FROM asr_p) AS cases, (SELECT avg(candidate) - avg(control) FROM asr_p) AS wer_delta_points, (SELECT language_pass FROM asr_l) AS language_pass,
+  (SELECT max(med) FILTER (WHERE arm = 'candidate') - max(med) FILTER (WHERE arm = 'control') FROM asr_s) AS median_delta, (SELECT max(p95) FILTER (WHERE arm = 'candidate') - max(p95) FILTER (WHERE arm = 'control') FROM asr_s) AS p95_delta)"""
+
+
+@query("asr_gate", "WITH " + _ASR + """ SELECT cases, round(wer_delta_points, 6) AS wer_delta_points, language_pass, round(median_delta, 6) AS median_delta, round(p95_delta, 6) AS p95_delta, wer_delta_points <= 1.0 AND language_pass AND median_delta <= 0.25 AND p95_delta <= 1.0 AS pass FROM asr_o""")
 def asr_gate(spark, sf):
     out = ev.asr_gate(_asr_rows(spark, sf))
     return out.select("cases", F.round("wer_delta_points", 6).alias("wer_delta_points"), "language_pass",
@@ -254,23 +258,94 @@ def kappa(spark, sf):
     return ev.kappa(views.annotations(spark, sf)).select("dual_cases", F.round("accuracy", 6).alias("accuracy"), F.round("kappa", 6).alias("kappa"), "validated")
 
 
-@query("gate_decision", sql(_COMPLETION + ",\n" + _ARM + ",\n" + _LATENCY + f""",
-sw AS (SELECT case_id, max(score) FILTER (WHERE arm = 'control') AS a, max(score) FILTER (WHERE arm = 'candidate') AS b, max(cite) FILTER (WHERE arm = 'control') AS ca, max(cite) FILTER (WHERE arm = 'candidate') AS cb FROM ascore GROUP BY case_id),
-cw AS (SELECT * FROM v_cases JOIN sw USING (case_id) WHERE a IS NOT NULL AND b IS NOT NULL),
-tot AS (SELECT case_id, arm, sum(tokens) AS tokens FROM uniq GROUP BY ALL),
-tmed AS (SELECT question_class, arm, {_MEDIAN.format('tokens')} AS med FROM tot JOIN v_cases USING (case_id) GROUP BY ALL),
-tred AS (SELECT question_class, max(med) FILTER (WHERE arm = 'control') AS control, max(med) FILTER (WHERE arm = 'candidate') AS candidate FROM tmed GROUP BY ALL),
-q AS (SELECT 'quality' AS gate, 'all' AS scope, round(avg(b - a), 6) AS value FROM cw UNION ALL SELECT 'quality_class', question_class, round(avg(b - a), 6) FROM cw GROUP BY question_class
-  UNION ALL SELECT 'citation', 'all', round(avg(cb - ca), 6) FROM cw),
-g AS (SELECT gate, scope, value, value >= CASE gate WHEN 'quality' THEN -0.25 WHEN 'quality_class' THEN -0.50 ELSE -0.02 END AS passed,
-    CASE gate WHEN 'quality' THEN value < -0.10 WHEN 'quality_class' THEN false ELSE value < -0.01 END AS regression FROM q
-  UNION ALL SELECT 'completion', environment_id, CAST(control - candidate AS DOUBLE), control - candidate <= least(1.0::DOUBLE, 0.01::DOUBLE * total), control > candidate FROM comp
-  UNION ALL SELECT 'latency', environment_id || ':' || state, round(median_delta, 6), pass, NOT pass FROM lgate
-  UNION ALL SELECT 'tokens', question_class, round((control - candidate) / control, 6), true, candidate > control * 1.02::DOUBLE FROM tred)
-SELECT gate, scope, value, passed, regression FROM g UNION ALL
-SELECT 'pareto_promote', 'all', NULL, bool_and(passed) AND bool_or((gate = 'quality' AND value > 0.10) OR (gate = 'tokens' AND value > 0.02) OR (gate = 'citation' AND value > 0.01)) AND NOT bool_or(regression), bool_or(regression) FROM g""",
-    "v_judgments", "v_cases", "v_latency"))
+_RESOURCES = {"cpu_ms": 0.5, "peak_rss_bytes": 1024.0}
+_CLASSES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _rules_sql(split: str) -> str:
+    rows = [r for r in fixed.DECISION_RULES if r[0] in (split, "any")]
+    listed = ", ".join("(" + ", ".join("NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str)
+                                       else f"{v}::DOUBLE" for v in r[1:]) + ")" for r in rows)
+    return f"rules AS (SELECT * FROM (VALUES {listed}) r(role, name, metric, scope, op, bound, required))"
+
+
+_SCORED = """sw AS (SELECT case_id, max(score) FILTER (WHERE arm = 'control') AS qa, max(score) FILTER (WHERE arm = 'candidate') AS qb,
+  max(cite) FILTER (WHERE arm = 'control') AS ca, max(cite) FILTER (WHERE arm = 'candidate') AS cb FROM ascore GROUP BY case_id),
+rec AS (SELECT case_id, arm, avg(completeness / 10.0::DOUBLE) AS recall FROM v_judgments GROUP BY ALL),
+rw AS (SELECT case_id, max(recall) FILTER (WHERE arm = 'control') AS ra, max(recall) FILTER (WHERE arm = 'candidate') AS rb FROM rec GROUP BY case_id),
+cd AS (SELECT question_class, 'quality' AS m, qb - qa AS d FROM v_cases JOIN sw USING (case_id) WHERE qb - qa IS NOT NULL
+  UNION ALL SELECT question_class, 'citation', cb - ca FROM v_cases JOIN sw USING (case_id) WHERE cb - ca IS NOT NULL
+  UNION ALL SELECT question_class, 'recall', rb - ra FROM v_cases JOIN rw USING (case_id) WHERE rb - ra IS NOT NULL)"""
+
+_USAGE_RATIO = f"""us AS (SELECT question_class, arm, unnest(['tokens', 'dollars', 'calls']) AS metric, unnest([CAST(tokens AS DOUBLE), dollars, CAST(calls AS DOUBLE)]) AS v
+  FROM (SELECT case_id, arm, sum(tokens) AS tokens, round(sum(dollars), 2) AS dollars, count(*) AS calls FROM runs GROUP BY ALL) JOIN v_cases USING (case_id)),
+um AS (SELECT question_class, metric, {_MEDIAN.format('v')} FILTER (WHERE arm = 'control') AS control, {_MEDIAN.format('v')} FILTER (WHERE arm = 'candidate') AS candidate FROM us GROUP BY ALL)"""
+
+@query("gate_decision", sql(_COMPLETION + ",\n" + _ARM + ",\n" + _LATENCY + ",\n" + _SCORED + ",\n" + _USAGE_RATIO + f""",
+{_ASR},
+tm AS (SELECT environment_id, state, arm, unnest({list(_RESOURCES)}) AS metric, unnest([{", ".join(f"ms * {k}::DOUBLE" for k in _RESOURCES.values())}]) AS v FROM v_latency),
+rm AS (SELECT environment_id, state, metric, {_MEDIAN.format('v')} FILTER (WHERE arm = 'control') AS control, {_MEDIAN.format('v')} FILTER (WHERE arm = 'candidate') AS candidate FROM tm GROUP BY ALL),
+ba AS (SELECT coalesce(min(t) FILTER (WHERE t BETWEEN 100000 AND 200000) < max(t) FILTER (WHERE t BETWEEN 150000 AND 400000), false) AS matched FROM v_points WHERE kind = 'click' GROUP BY source_id),
+metrics AS (SELECT m || '.mean' AS metric, 'all' AS scope, avg(d) AS value FROM cd GROUP BY m
+  UNION ALL SELECT m || '_class.mean', question_class, avg(d) FROM cd GROUP BY ALL
+  UNION ALL SELECT 'completion.drop', environment_id, control - candidate FROM comp
+  UNION ALL SELECT 'completion.excess', environment_id, control - candidate - least(1.0::DOUBLE, 0.01::DOUBLE * total) FROM comp
+  UNION ALL SELECT 'latency.excess', environment_id || ':' || state, CASE WHEN enough THEN greatest(median_delta, p95_delta) - allowance ELSE 'inf'::DOUBLE END FROM lg
+  UNION ALL SELECT unnest(['asr.wer', 'asr.boundary_median', 'asr.boundary_p95', 'asr.language_failed']), 'all',
+    unnest([wer_delta_points, median_delta, p95_delta, CASE WHEN language_pass THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END]) FROM asr_o
+  UNION ALL SELECT 'usage.' || metric, question_class, CASE WHEN control > 0 THEN candidate / control WHEN candidate > 0 THEN 'inf'::DOUBLE ELSE 1 END FROM um
+  UNION ALL SELECT 'tokens.reduction', question_class, (control - candidate) / control FROM um WHERE metric = 'tokens' AND control > 0
+  UNION ALL SELECT 'resource.' || metric, environment_id || ':' || state, candidate - control FROM rm
+  UNION ALL SELECT 'before_after.failed', 'all', count(*) FILTER (WHERE NOT matched) FROM ba
+  UNION ALL SELECT 'blockers.count', 'all', count(*) FILTER (WHERE human_b = 0) FROM v_annotations),
+{_rules_sql("development")},
+met AS (SELECT r.role, r.name, r.metric, coalesce(m.scope, r.scope, 'all') AS scope, round(m.value, 9) AS value, coalesce(CASE op
+    WHEN '>=' THEN round(value, 9) >= bound WHEN '>' THEN round(value, 9) > bound WHEN '<=' THEN round(value, 9) <= bound ELSE round(value, 9) < bound END, false) AS holds
+  FROM rules r LEFT JOIN metrics m ON m.metric = r.metric AND coalesce(r.scope, m.scope) = m.scope WHERE m.metric IS NOT NULL OR r.required),
+named AS (SELECT name, bool_and(holds) AS holds FROM met WHERE role = 'gate' GROUP BY name
+  UNION ALL SELECT 'primary_improvement', coalesce(bool_or(holds) FILTER (WHERE role = 'improvement'), false) FROM met
+  UNION ALL SELECT 'no_regression', NOT coalesce(bool_or(holds) FILTER (WHERE role = 'regression'), false) FROM met)
+SELECT role, name, metric, scope, round(value, 6) AS value, holds FROM met UNION ALL SELECT 'decision', name, NULL, 'all', NULL, holds FROM named
+UNION ALL SELECT 'decision', 'pareto_promote', NULL, 'all', NULL, bool_and(holds) FROM named""",
+    "v_judgments", "v_cases", "v_latency", "v_points", "v_annotations"))
 def gate_decision(spark, sf):
-    unique = final_states(runs(spark, sf))
-    return ev.development_gates(views.cases(spark, sf), ev.arm_scores(views.judgments(spark, sf)), unique,
-                                ev.usage_totals(unique, ["tokens"]), views.latency(spark, sf), ["environment_id", "state"])
+    return _decision(spark, sf, "development").withColumn("value", F.round("value", 6))
+
+
+@query("gate_decision_confirmatory")
+def gate_decision_confirmatory(spark, sf):
+    """The confirmatory split: lower bounds of drawn families, and the token gates, which no class of these tables carries."""
+    return _decision(spark, sf, "confirmatory").withColumn("value", F.round("value", 6))
+
+
+@query("gate_refused", sql("""SELECT CAST(case_id AS VARCHAR) AS subject, 'case outside the evaluation split' AS rule FROM v_cases WHERE case_id % 5000 = 1
+UNION ALL SELECT '7-NEVER', 'required class not covered' UNION ALL SELECT '0', 'decision rows'""", "v_cases"))
+def gate_refused(spark, sf):
+    """Cases of another split and a class without cases are planted: the violations, and how many rows the decision then has."""
+    cases = views.cases(spark, sf).withColumn("split", F.when(F.col("case_id") % 5000 == 1, "confirmatory").otherwise("development"))
+    found = ev.cut_lineage(decision.case_violations(cases, "development", [*_CLASSES, "7-NEVER"], ["F", "O", "P"]))
+    left = decision.refuse(_decision(spark, sf, "development"), found).agg(F.count(F.lit(1)).cast("string").alias("subject"))
+    return found.unionByName(left.withColumn("rule", F.lit("decision rows")))
+
+
+def _decision(spark, sf, split):
+    cases, judged = views.cases(spark, sf), views.judgments(spark, sf)
+    scores = ev.cut_lineage(ev.arm_scores(judged))
+    recall = judged.groupBy("case_id", "arm").agg(F.avg(F.col("completeness") / 10.0).alias("recall"))
+    usage = ev.usage_totals(runs(spark, sf).withColumn("calls", F.lit(1)), ["tokens", "dollars", "calls"]).withColumn(
+        "dollars", F.round("dollars", 2)).join(cases.select("case_id", "question_class"), "case_id")
+    timed = views.latency(spark, sf)
+    resources = ev.metric_medians(timed.select("environment_id", "state", "arm", *[(F.col("ms") * k).alias(m) for m, k in _RESOURCES.items()]),
+                                  ["environment_id", "state"], list(_RESOURCES))
+    metrics = decision.quality_metrics(cases, scores, "score", "quality", split, 17)
+    for part in (decision.quality_metrics(cases, recall, "recall", "recall", split, 17),
+                 decision.quality_metrics(cases, scores, "citation", "citation", split, 17),
+                 decision.completion_metrics(cases, final_states(runs(spark, sf))),
+                 decision.latency_metrics(timed, ["environment_id", "state"]),
+                 decision.asr_metrics(_asr_rows(spark, sf)),
+                 decision.usage_metrics(usage, ["tokens", "dollars", "calls"], "tokens"),
+                 decision.resource_metrics(resources, ["environment_id", "state"]),
+                 decision.count_metric("before_after.failed", before_after(spark, sf).where("NOT matched")),
+                 decision.count_metric("blockers.count", views.annotations(spark, sf).where("human_b = 0"))):
+        metrics = metrics.unionByName(part)
+    return decision.decide(ev.cut_lineage(metrics), decision.rule_table(spark), split)

@@ -47,15 +47,16 @@ _BY_QUESTION = f""",
 fires AS (SELECT DISTINCT question_id, facet, facet_no FROM qterms JOIN facets ON t = word),
 weights AS (SELECT question_id, term, sum(w) AS weight FROM (SELECT question_id, {sql_norm('t')} AS term, 2 AS w FROM qterms
   UNION ALL SELECT question_id, {sql_norm('word')}, 1 FROM fires JOIN facets USING (facet)) GROUP BY question_id, term),
-scores AS (SELECT * FROM (SELECT question_id, source_id, span_id, chapter_id, round(sum(part * weight) / (1 + ln(1 + n)), 6) AS score
-  FROM parts JOIN weights USING (term) GROUP BY question_id, source_id, span_id, chapter_id, n) WHERE score > 0)"""
+scores AS (SELECT * FROM (SELECT w.question_id, p.source_id, span_id, chapter_id, round(sum(part * weight) / (1 + ln(1 + n)), 6) AS score
+  FROM parts p JOIN weights w USING (term) JOIN v_questions v ON v.question_id = w.question_id AND coalesce(v.source_id, p.source_id) = p.source_id
+  GROUP BY w.question_id, p.source_id, span_id, chapter_id, n) WHERE score > 0)"""
 # Weights per question and source, after the spelling rescue.
 _BY_PAIR = f""",
 vocab AS (SELECT DISTINCT source_id, term AS w FROM ex),
 near AS (SELECT t, w FROM (SELECT DISTINCT t FROM qterms WHERE length(t) >= 5) a JOIN (SELECT DISTINCT w FROM vocab) v ON abs(length(t) - length(w)) <= 1 AND levenshtein(t, w) <= 1),
 fuzzy AS (SELECT source_id, t, min(w) AS match FROM near JOIN vocab USING (w) GROUP BY ALL),
 fixed AS (SELECT f.* FROM fuzzy f WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.source_id = f.source_id AND v.w = f.t)),
-pterms AS (SELECT q.question_id, z.source_id, coalesce(f.match, q.t) AS t FROM qterms q CROSS JOIN sizes z LEFT JOIN fixed f ON f.source_id = z.source_id AND f.t = q.t),
+pterms AS (SELECT q.question_id, z.source_id, coalesce(f.match, q.t) AS t FROM qterms q JOIN v_questions v USING (question_id) JOIN sizes z ON coalesce(v.source_id, z.source_id) = z.source_id LEFT JOIN fixed f ON f.source_id = z.source_id AND f.t = q.t),
 fires AS (SELECT DISTINCT question_id, source_id, facet, facet_no FROM pterms JOIN facets ON t = word),
 weights AS (SELECT question_id, source_id, term, sum(w) AS weight FROM (SELECT question_id, source_id, {sql_norm('t')} AS term, 2 AS w FROM pterms
   UNION ALL SELECT question_id, source_id, {sql_norm('word')}, 1 FROM fires JOIN facets USING (facet)) GROUP BY ALL),
@@ -66,6 +67,11 @@ tops AS (SELECT question_id, source_id, chapter_id, max(score) AS best, round(su
   row_number() OVER (PARTITION BY question_id, source_id, chapter_id ORDER BY score DESC, span_id) AS r FROM scores) WHERE r <= 2 GROUP BY ALL),
 ranks AS (SELECT *, row_number() OVER (PARTITION BY question_id, source_id ORDER BY best DESC, top_two DESC, chapter_id) - 1 AS rank FROM tops)"""
 
+# A question bound to a source keeps its first chapter when nothing scores.
+_BOUND_RANKS = _RANKS.replace("ranks AS", "scored AS") + """,
+ranks AS (SELECT * FROM scored UNION ALL SELECT v.question_id, v.source_id, min(c.chapter_id), 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM v_questions v JOIN chapters c ON c.source_id = v.source_id
+  WHERE NOT EXISTS (SELECT 1 FROM scored s WHERE s.question_id = v.question_id AND s.source_id = v.source_id) GROUP BY v.question_id, v.source_id)"""
+
 
 def _scores(facets) -> str:
     return _parts(facets) + _BY_QUESTION + _RANKS
@@ -157,7 +163,7 @@ _FRAMES = _EXPAND + _specs("from") + ", wanted AS (SELECT *, 6 AS cap FROM specs
 
 _DEICTIC = fixed.DEICTIC.replace("(?iu)", "(?i)")
 _TITLE = f"'Segment ' || CAST(c.chapter_id + 1 AS VARCHAR) || ' (' || {sql_stamp('c.start_s')} || '-' || {sql_stamp('c.end_s')} || ')'"
-SQL_TARGETED = _parts(_BUILT_IN) + _BY_PAIR + _RANKS + _selection(
+SQL_TARGETED = _parts(_BUILT_IN) + _BY_PAIR + _BOUND_RANKS + _selection(
     fixed.TEXT_BUDGET, fixed.NUMERIC, fixed.NUMERIC_FACETS, "question_id, source_id") + _PASSES + _specs(_DEICTIC) + f""",
 wide AS (SELECT question_id, source_id, span_id, 'numeric-guard' AS reason, CAST(NULL AS DOUBLE) AS score, 1 AS pad FROM guards
   UNION ALL SELECT question_id, source_id, span_id, 'span-rescue', score, 1 FROM rescue UNION ALL SELECT question_id, source_id, span_id, 'facet-expansion', score, 0 FROM added),
@@ -185,8 +191,7 @@ UNION ALL SELECT f.source_id, {sql_stamp('f.ts')}, {sql_stamp('f.ts')}, c.title,
 
 @query("span_score", sql(_scores(_BUILT_IN) + " SELECT question_id, source_id, span_id, score FROM scores", "v_segments", "v_questions"))
 def span_score(spark, sf):
-    parts, weights = _weighted(spark, sf, retrieval.facet_table(spark))
-    return retrieval.span_scores(parts, weights).select("question_id", "source_id", "span_id", "score")
+    return retrieval.span_scores(*_weighted(spark, sf, retrieval.facet_table(spark))).select("question_id", "source_id", "span_id", "score")
 
 
 def token_spans(spark, sf):
@@ -194,25 +199,27 @@ def token_spans(spark, sf):
 
 
 def _weighted(spark, sf, facets):
-    terms = retrieval.question_terms(views.questions(spark, sf))
+    questions = views.questions(spark, sf)
+    terms = retrieval.question_terms(questions)
     weights = retrieval.term_weights(terms, retrieval.facet_fires(terms, facets), facets)
-    return retrieval.term_parts(token_spans(spark, sf), weights), weights
+    free, bound = retrieval.bind(weights, retrieval.bindings(questions))
+    return retrieval.term_parts(token_spans(spark, sf), free, bound), free, bound
 
 
 @query("chapter_rank", sql(_scores(_BUILT_IN) + " SELECT question_id, source_id, chapter_id, best, top_two, CAST(rank AS INT) AS rank FROM ranks", "v_segments", "v_questions"))
 def chapter_rank(spark, sf):
-    parts, weights = _weighted(spark, sf, retrieval.facet_table(spark))
-    return retrieval.chapter_ranks(retrieval.span_scores(parts, weights))
+    return retrieval.chapter_ranks(retrieval.span_scores(*_weighted(spark, sf, retrieval.facet_table(spark))))
 
 
 def _proof(spark, sf):
     """(scout, facets, scores, selected, fires) with the proof word lists and a small budget."""
     facets = proof_facets(spark)
     scouted = evidence.scout(views.segments(spark, sf), one_record=True)
-    terms = retrieval.question_terms(views.questions(spark, sf))
+    questions = views.questions(spark, sf)
+    terms = retrieval.question_terms(questions)
     fires = retrieval.facet_fires(terms, facets)
-    weights = retrieval.term_weights(terms, fires, facets)
-    scores = evidence.cut_lineage(retrieval.span_scores(retrieval.term_parts(scouted.spans, weights), weights))
+    free, bound = retrieval.bind(retrieval.term_weights(terms, fires, facets), retrieval.bindings(questions))
+    scores = evidence.cut_lineage(retrieval.span_scores(retrieval.term_parts(scouted.spans, free, bound), free, bound))
     selected = evidence.cut_lineage(evidence.budget_rollup(
         retrieval.chapter_ranks(scores), evidence.chapter_sizes(scouted.segments), PROOF_BUDGET))
     fired = selected.where("rank = 0").select(*retrieval.PAIR).join(fires, "question_id")
@@ -284,11 +291,11 @@ vocab AS (SELECT DISTINCT source_id, unnest({sql_tokens('text')}) AS w FROM span
 asked AS (SELECT DISTINCT question_id, t FROM qterms WHERE length(t) >= 5),
 near AS (SELECT t, w FROM (SELECT DISTINCT t FROM asked) a JOIN (SELECT DISTINCT w FROM vocab) v ON abs(length(t) - length(w)) <= 1 AND levenshtein(t, w) <= 1),
 found AS (SELECT source_id, t, min(w) AS match FROM near JOIN vocab USING (w) GROUP BY ALL)
-SELECT question_id, f.source_id, t AS term, match FROM found f JOIN asked USING (t)
-WHERE NOT EXISTS (SELECT 1 FROM vocab v WHERE v.source_id = f.source_id AND v.w = f.t)""", "v_segments", "v_questions"))
+SELECT question_id, f.source_id, t AS term, match FROM found f JOIN asked USING (t) JOIN v_questions q USING (question_id)
+WHERE coalesce(q.source_id, f.source_id) = f.source_id AND NOT EXISTS (SELECT 1 FROM vocab v WHERE v.source_id = f.source_id AND v.w = f.t)""", "v_segments", "v_questions"))
 def fuzzy_rescue(spark, sf):
-    terms = retrieval.question_terms(views.questions(spark, sf))
-    return retrieval.fuzzy_rescue(terms, token_spans(spark, sf)).select(
+    questions = views.questions(spark, sf)
+    return retrieval.fuzzy_rescue(retrieval.question_terms(questions), token_spans(spark, sf), retrieval.bindings(questions)).select(
         "question_id", "source_id", "term", "match")
 
 
@@ -328,7 +335,8 @@ by_num AS (SELECT question_id, source_id, seg_idx, 2.0::DOUBLE * count(*) AS par
 denied AS (SELECT question_id FROM asked WHERE list_has_any(terms, {sql_list(fixed.NEGATION)})),
 neg AS (SELECT source_id, seg_idx FROM docs WHERE list_has_any(tokens, {sql_list(fixed.NEGATION)})),
 by_neg AS (SELECT question_id, source_id, seg_idx, 1.0::DOUBLE AS part FROM denied, neg),
-lscore AS (SELECT question_id, source_id, seg_idx, round(sum(part), 6) AS score FROM (SELECT * FROM by_term UNION ALL SELECT * FROM by_num UNION ALL SELECT * FROM by_neg) GROUP BY ALL),
+lscore AS (SELECT u.question_id, u.source_id, seg_idx, round(sum(part), 6) AS score FROM (SELECT * FROM by_term UNION ALL SELECT * FROM by_num UNION ALL SELECT * FROM by_neg) u
+  JOIN v_questions v ON v.question_id = u.question_id AND coalesce(v.source_id, u.source_id) = u.source_id GROUP BY ALL),
 lranked AS (SELECT * FROM (SELECT s.*, start_s, row_number() OVER (PARTITION BY question_id, s.source_id ORDER BY score DESC, start_s, s.seg_idx) AS rank
   FROM lscore s JOIN v_segments USING (source_id, seg_idx) WHERE score > 0) WHERE rank <= 16)"""
 
