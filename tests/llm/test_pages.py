@@ -106,3 +106,40 @@ def test_classes_may_hold_a_slash(spark):
     rows = [(i, f"http://h.org/{i}", f"<html><body>{NAV}<div class='md:w-2/3 w-1/2'>{story('Story')}</div></body></html>") for i in range(3)]
     for r in pages.extract_main_text(table(spark, rows)).collect():
         assert r.text.startswith("Story") and r.path == "html/body/div.md:w-0%2F0.w-0%2F0"
+
+
+def test_attributes_are_whole_names(spark):
+    for odd in ("<p data-id='nav'>{}</p>", "<div title='the hidden valley'>{}</div>", "<div data-overflow='hidden'>{}</div>", "<div title='see class=ad here'>{}</div>",
+                "<p data-class=ad data-role=navigation>{}</p>", "<p title=\"it's class='ad'\">{}</p>", "<div x-hidden>{}</div>", "<div class='post' class='ad'>{}</div>"):
+        html = f"<html><body><article>{story('First')}{odd.format('Kept words of the article stand here in full.')}</article></body></html>"
+        assert "Kept words" in pages.main_text(pages.blocks_of(html), None), odd
+    for gone in ("<p HIDDEN>{}</p>", "<p id=nav>{}</p>", "<div a='b'class='ad'>{}</div>", "<p role = 'navigation'>{}</p>", "<p style='display: none'>{}</p>"):
+        html = f"<html><body><article>{story('First')}{gone.format('Words that are left out of the article.')}</article></body></html>"
+        assert "left out" not in pages.main_text(pages.blocks_of(html), None), gone
+
+
+def test_a_page_of_its_own_making_keeps_its_lead(spark):
+    plain = f"<div class=wrap><div class=text>{story('text')}</div></div>"
+    both = f"<div class=wrap><div class=lead>{story('lead', 12)}<p>Short line.</p></div><div class=text>{story('text')}</div><div class=tip>Tip of the day</div></div>"
+    rows = [(i, f"http://a.org/{i}", f"<html><body>{NAV}{plain if i else both}</body></html>") for i in range(10)]
+    got = run(spark, rows)
+    assert [t.split()[0] for t in got[0].text.split("\n\n")] == ["lead", "Short", "text"]
+    assert all([t.split()[0] for t in got[i].text.split("\n\n")] == ["text"] for i in range(1, 10))
+
+
+def test_time_grows_with_length_only(spark):
+    import time
+
+    big = ["<a \"x\" '" * 120_000, "<div>a" * 150_000, "<div class=ad>a" * 60_000, "<" * 1_000_000, "<a href='" * 100_000 + ">", "<ul>" + "<div></li>" * 90_000,
+           "<article>" * 100_000 + "end", "<!-- " * 200_000, "<p class=" * 100_000, "<li>x" * 150_000, "&amp;" * 200_000]
+    for source in big:
+        started = time.perf_counter()
+        page = pages.blocks_of(source)
+        pages.main_text(page, pages.best_path(page), set())
+        assert time.perf_counter() - started < 20, source[:20]
+
+
+def test_quotes_that_never_end_lose_no_later_text(spark):
+    html = f"<html><body><article>{story('First')}<a href='x>{story('Second')}</a><p>{story('Third')}</article></body></html>"
+    assert [t.split()[0] for t in pages.main_text(pages.blocks_of(html), None).split("\n\n")] == ["First", "Second", "Third"]
+    assert pages.main_text(pages.blocks_of("<p>a < b <3 and c <"), None) == "a < b <3 and c <"
