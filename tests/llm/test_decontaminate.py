@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import docs, words
 from timesift.llm import decontaminate as d
@@ -67,3 +68,22 @@ def test_empty_tables(spark):
     texts, _, table, benchmark = tables(spark)
     assert d.find_overlap(table.limit(0), benchmark).count() == 0
     assert {r.n_hit for r in d.overlap_digest(d.find_overlap(table, benchmark.limit(0))).collect()} == {0}
+
+
+def test_spans_go_in_several_passes_as_in_one(spark):
+    texts, _, table, benchmark = tables(spark)
+    odd = table.withColumn("__rid", F.lit("mine")).withColumn("__text", F.lit("other"))
+    one = sorted(map(tuple, d.remove_contaminated(odd, benchmark, spans=True).collect()), key=repr)
+    several = d.remove_contaminated(odd, benchmark, spans=True, per_pass=60)
+    assert several.columns == odd.columns and sorted(map(tuple, several.collect()), key=repr) == one
+    assert [r[1] for r in one] != [t for _, t in texts] and {r[-2:] for r in one} == {("mine", "other")}
+    assert sorted(map(tuple, d.remove_contaminated(odd, benchmark, per_pass=60).collect()), key=repr) == sorted(
+        map(tuple, d.remove_contaminated(odd, benchmark).collect()), key=repr)
+    assert d.find_overlap(odd, benchmark).count() == odd.count()
+
+
+def test_a_very_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(13))
+    text = "word " * 200_000 + item + " word" * 200_000
+    got = d.overlap_digest(d.find_overlap(docs(spark, [(1, text)]), spark.createDataFrame([(1, item)], "item_id long, text string"))).first()
+    assert (got.n_words, got.n_hit, got.contaminated) == (400_013, 13, False)

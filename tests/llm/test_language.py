@@ -37,3 +37,9 @@ def test_edges(spark):
     nothing = language.identify(docs(spark, [(1, "abc", "s", None)])).collect()
     assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
     assert language.identify(table_.limit(0)).count() == 0
+
+
+def test_numbers_that_are_no_letters_are_und(spark):
+    rows = [(i, "the words of this text here", "a", "en") for i in range(8)] + [(i, "½ ² Ⅷ ① 12", "a", "en") for i in (100, 101)] + [(102, "Ω", "a", "en")]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs(spark, rows)).collect()}
+    assert got[100] == got[101] == "und" and got[102] == "en"

@@ -44,3 +44,19 @@ def test_owners_tell_examples_from_live_keys(spark):
 
 def test_empty_table(spark):
     assert secrets.find_secrets(docs(spark, TEXTS).limit(0)).count() == 0
+
+
+def test_repositories_of_two_owners_make_an_example(spark):
+    def verdicts(rows):
+        return {(r.n_live, r.n_example, r.most_owners, r.most_repos) for r in secrets.find_secrets(docs(spark, rows)).collect()}
+    assert verdicts([(i, f"token={KEY} end", f"owner{i % 2}") for i in range(60)]) == {(0, 1, 2, 60)}
+    assert verdicts([(i, f"token={KEY} end", "owner") for i in range(60)]) == {(1, 0, 1, 60)}
+    assert verdicts([(i, f"token={KEY} end", f"owner{i % 2}") for i in range(20)]) == {(1, 0, 2, 20)}
+    # Three owners among very many are no common knowledge.
+    many = [(i, f"token={KEY} end" if i < 3 else "no key", f"owner{i}") for i in range(40)]
+    assert verdicts(many[:3]) == {(0, 1, 3, 3)} and verdicts(many) == {(1, 0, 3, 3), (0, 0, 0, 0)}
+
+
+def test_a_very_long_text(spark):
+    text = "word " * 200_000 + f" token={KEY} " + "word " * 200_000
+    assert secrets.find_secrets(docs(spark, [(1, text)])).first().n_assign == 1

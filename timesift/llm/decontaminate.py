@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -115,40 +116,45 @@ def _scanner(shared):
 FOUND = "rid long, doc_id long, n_words long, runs array<struct<start: int, end: int>>, items array<long>"
 
 
-def _blocks(benchmark: DataFrame, width: int, per_pass: int) -> list[list[tuple[int | None, str]]]:
-    """The items in blocks, each small enough to broadcast; sizes are known before any text is fetched."""
+def _passes(benchmark: DataFrame, per_pass: int) -> tuple[int, Callable[[int], list[tuple[int | None, str]]]]:
+    """The number of blocks of items, each small enough to broadcast, and how to fetch one; sizes are known before any text is fetched."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item"), "text").filter("text IS NOT NULL")
     sized = items.withColumn("n", F.greatest(F.lit(1), F.floor(F.octet_length("text") / 2)))
     passes = max(1, math.ceil((sized.agg(F.sum("n")).first()[0] or 0) / per_pass))
     if passes == 1:
-        return [[(r[0], r[1]) for r in items.collect()]]
+        return 1, lambda _: [(r[0], r[1]) for r in items.collect()]
     part = F.pmod(F.xxhash64("item", "text"), F.lit(passes * 2))
-    return [[(r[0], r[1]) for r in items.filter(part == p).collect()] for p in range(passes * 2)]
+    return passes * 2, lambda p: [(r[0], r[1]) for r in items.filter(part == p).collect()]
 
 
-def find_overlap(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, per_pass: int = ENTRIES_PER_PASS) -> DataFrame:
+def find_overlap(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, per_pass: int = ENTRIES_PER_PASS, rid: str | None = None) -> DataFrame:
     """Runs of hit words of each row of ``docs(doc_id, text)`` and the items they come from.
 
-    One pass over the texts for a benchmark that fits the bound; a larger one is cut into blocks,
-    each scanned in a pass of its own, and the passes are merged by row. Null texts have no words; null items ids
-    still hit words but are listed nowhere; repeated rows each return a row; an empty benchmark hits nothing.
+    One pass over the texts for a benchmark that fits the bound; of a larger one, one block at a time is fetched,
+    broadcast, scanned and written, and the passes are merged by row. Null texts have no words; null items ids
+    still hit words but are listed nowhere; repeated rows each return a row; an empty benchmark hits nothing. Very long texts
+    are scanned whole; extra columns are not read. ``rid`` names a column that numbers the rows, where there is one.
     Returns ``rid, doc_id, n_words, runs, items`` (runs of word positions, end exclusive).
     """
     spark = docs.sparkSession
-    number = F.col("__rid") if "__rid" in docs.columns else F.monotonically_increasing_id()
+    number = F.col(rid) if rid else F.monotonically_increasing_id()
     rows = docs.select(number.alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _blocks(benchmark, width, per_pass)
-    if len(blocks) > 1 and "__rid" not in docs.columns:
+    passes, fetch = _passes(benchmark, per_pass)
+    if passes == 1:
+        return rows.mapInArrow(_scanner(_broadcast(spark, fetch(0), width)), FOUND)
+    if not rid:
         rows = cut_lineage(rows)  # row numbers must be the same in every pass
-    scans = [rows.mapInArrow(_scanner(_broadcast(spark, b, width)), FOUND) for b in blocks]
-    if len(scans) == 1:
-        return scans[0]
-    merged = cut_lineage(scans[0])
-    for scan in scans[1:]:
-        more = scan.filter(F.size("runs") > 0).select(
-            "rid", F.col("runs").alias("r"), F.col("items").alias("i"))
+    merged = None
+    for p in range(passes):
+        shared = _broadcast(spark, fetch(p), width)
+        scan = cut_lineage(rows.mapInArrow(_scanner(shared), FOUND).filter((F.size("runs") > 0) | F.lit(merged is None)))
+        shared.unpersist()
+        if merged is None:
+            merged = scan
+            continue
+        more = scan.select("rid", F.col("runs").alias("r"), F.col("items").alias("i"))
         none_r, none_i = F.array().cast("array<struct<start: int, end: int>>"), F.array().cast("array<bigint>")
-        merged = cut_lineage(merged.join(cut_lineage(more), "rid", "left").select(
+        merged = cut_lineage(merged.join(more, "rid", "left").select(
             "rid", "doc_id", "n_words", F.concat("runs", F.coalesce("r", none_r)).alias("runs"),
             F.array_union("items", F.coalesce("i", none_i)).alias("items")))
     flat = F.array_sort("runs")
@@ -200,32 +206,42 @@ def _without(text: str, hit: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
+def _cutter(batches):
+    for batch in batches:
+        texts = []
+        for text, runs in zip(batch.column("__text").to_pylist(), batch.column("__runs").to_pylist(), strict=True):
+            if runs:
+                hit = np.zeros(runs[-1]["end"], dtype=bool)
+                for run in runs:
+                    hit[run["start"]:run["end"]] = True
+                text = _without(text, hit)
+            texts.append(text)
+        names = [n for n in batch.schema.names if n != "__runs"]
+        yield pa.RecordBatch.from_arrays([batch.column(n) if n != "__text" else pa.array(texts, pa.string()) for n in names], names=names)
+
+
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, share: int = 20,
                         spans: bool = False, per_pass: int = ENTRIES_PER_PASS) -> DataFrame:
-    """``docs`` without the contaminated documents, or with ``spans`` without their hit spans; other columns stay.
+    """``docs`` without the contaminated documents, or with ``spans`` without their hit spans; other columns stay, whatever they are called.
 
     Rows are judged where they lie, so no text is shuffled. With a benchmark of several passes the
-    verdict needs all of them, and rows are filtered by the merged counts instead. Null and empty
+    verdict needs all of them: rows are numbered, and the merged runs of the dirty ones are joined back to filter or to cut them. Null and empty
     texts have no words and stay.
     """
     spark = docs.sparkSession
-    blocks = _blocks(benchmark, width, per_pass)
-    if len(blocks) > 1:
-        if spans:
-            raise ValueError("span removal takes a benchmark of one pass")
-        keyed = cut_lineage(docs.withColumn("__rid", F.monotonically_increasing_id()))
-        dirty = overlap_by_row(keyed, benchmark, width, share, per_pass)
-        return keyed.join(dirty, "__rid", "left_anti").drop("__rid")
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    at = docs.columns.index("text")
-    names[at] = "__text"
+    names[docs.columns.index("text")] = "__text"
     plain = docs.toDF(*names)
-    kept = plain.mapInArrow(_cleaner(_broadcast(spark, blocks[0], width), share, spans), plain.schema)
-    return kept.toDF(*docs.columns)
-
-
-def overlap_by_row(docs: DataFrame, benchmark: DataFrame, width: int, share: int, per_pass: int) -> DataFrame:
-    found = find_overlap(docs, benchmark, width, per_pass)
+    passes, fetch = _passes(benchmark, per_pass)
+    if passes == 1:
+        kept = plain.mapInArrow(_cleaner(_broadcast(spark, fetch(0), width), share, spans), plain.schema)
+        return kept.toDF(*docs.columns)
+    keyed = cut_lineage(plain.withColumn("__rid", F.monotonically_increasing_id()))
+    read = keyed.select("__rid", F.lit(None).cast("long").alias("doc_id"), F.col("__text").alias("text"))
+    found = find_overlap(read, benchmark, width, per_pass, "__rid")
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + (r["end"] - r["start"]).cast("long"))
-    return cut_lineage(found.filter((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).select(F.col("rid").alias("__rid")))
-
+    dirty = cut_lineage(found.filter((n_hit > 0) & (F.lit(share) * n_hit >= F.col("n_words"))).select(
+        F.col("rid").alias("__rid"), F.col("runs").alias("__runs")))
+    if not spans:
+        return keyed.join(dirty, "__rid", "left_anti").drop("__rid").toDF(*docs.columns)
+    return keyed.join(dirty, "__rid", "left").drop("__rid").mapInArrow(_cutter, plain.schema).toDF(*docs.columns)

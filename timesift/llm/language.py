@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,6 @@ FIT_ROWS = 6_000
 """Labelled rows that the training reads at most, picked by a hash of doc_id; their whole texts are read."""
 BUCKETS, DIM, EPOCHS, BATCH, RATE, ERROR = 4096, 16, 12, 32, 2.0, 0.01
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint64)
 _FOLD[65:91] += 32
 _FOLD[:48] = _FOLD[58:65] = _FOLD[91:97] = _FOLD[123:128] = 32  # all but digits, letters and non-ASCII bytes bound a word
@@ -114,8 +112,10 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
         return None
     languages = sorted(counts)
     each = max(1, fit_rows // len(languages))
-    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1_000_000, int(each / n * 1_000_000) + 1))])
-    picked = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(shares, F.col("lang")))
+    # A share of each language by a hash in [0, 2^63), then at most ``fit_rows`` by that hash.
+    shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2 ** 63 - 1, int(each / n * 2 ** 63)))])
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 1)
+    picked = usable.filter(place <= F.element_at(shares, F.col("lang"))).orderBy(place, "doc_id", "lang", F.md5(F.col("text").cast("binary"))).limit(fit_rows)
     rows = picked.mapInArrow(_bags(languages), "doc_id long, bag binary, label int").orderBy("doc_id", "label", "bag")
     got = [(r["bag"], r["label"]) for r in rows.toLocalIterator()]
     bags = np.frombuffer(b"".join(bytes(b) for b, _ in got), dtype=np.float32).reshape(-1, BUCKETS)
@@ -127,7 +127,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            some = [i for i, t in enumerate(texts) if model and t and _LETTER.search(t)]
+            some = [i for i, t in enumerate(texts) if model and t and any(map(str.isalpha, t))]
             names, scores, accepted = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), dtype=bool)
             for part in range(0, len(some), 256):
                 at = some[part:part + 256]
@@ -145,9 +145,10 @@ def identify(docs: DataFrame) -> DataFrame:
     """``doc_id, held_out, lang_pred, score, accepted`` of each row of ``docs(doc_id, text, lang)``.
 
     Learns from rows with a language whose crc32(doc_id as text) mod 4 is not 2, and predicts from the
-    whole text alone. Null texts and texts without a letter are ``und`` with score 0, as is all when
+    whole text alone. Null texts and texts without a letter (a character of a letter category) are ``und`` with score 0, as is all when
     nothing could be learnt. ``accepted`` is false where the calibrated confidence is too low for
     the accepted error. A null doc_id counts as empty text in its fold; repeated rows each return a row.
+    Very long texts are read whole; extra columns are not read; an empty table returns none.
     """
     model = fit(docs.filter(crc_fold(F.col("doc_id"), 4) != 2))
     return predict(docs, model).select(

@@ -98,37 +98,51 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return per_owner.groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repos"))
 
 
-def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = 3) -> DataFrame:
-    """All spans of each document with the verdict of their owners.
+def copied_widely(owners: int, least: int = 3, repos_an_owner: int = 10) -> tuple[int, int]:
+    """(owners, repositories) from which a value is a copied example, in a corpus of ``owners`` owners.
 
-    A value with ``example_owners`` or more distinct owners is a copied example. With fewer it is
-    live when it looks random. Base spans always stay; a bare span is added only when its value is
+    Both grow with the logarithm of the corpus's owners: what three of ten owners share is common, three of a million is not.
+    """
+    enough = max(least, math.ceil(math.log2(1 + owners)))
+    return enough, repos_an_owner * enough
+
+
+def find_secrets(docs: DataFrame, owner: str = "source", repo: str = "doc_id", example_owners: int = 3, repos_an_owner: int = 10) -> DataFrame:
+    """All spans of each document with the verdict of their owners and repositories.
+
+    A value is a copied example when ``copied_widely`` owners hold it, or so many repositories of two owners
+    or more. Else it belongs to its few owners and is live when it looks random, in however many of one owner's repositories.
+    Base spans always stay; a bare span is added only when its value is
     live. Null texts are empty; a null owner is one owner of its own, a null repository likewise;
-    repeated rows each return a row. An empty table returns none. Only the named columns are read.
+    repeated rows each return a row. An empty table returns none. Very long texts are searched whole. Only the named columns are read.
 
-    Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example``.
+    Returns ``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example, most_owners, most_repos``; the
+    last two are the greatest counts among the document's values, 0 without a value.
     """
     scanned = scan_texts(docs, owner, repo)
+    owners_needed, repos_needed = copied_widely(scanned.select("owner").distinct().count(), example_owners, repos_an_owner)
     head = ["rid", "doc_id", "n_assign", "n_access", "n_hex", "base_sha256"]
     some = scanned.filter(F.size("found") > 0)
     each = some.select("rid", "owner", "repo", F.explode("found").alias("f")).select("rid", "owner", "repo", "f.*")
     counts = cut_lineage(ownership(each))  # a written side: Spark can split a hot value of the other
     judged = (
         each.join(counts, "value")
-        .withColumn("example", F.col("n_owners") >= example_owners)
+        .withColumn("example", (F.col("n_owners") >= owners_needed) | ((F.col("n_owners") >= 2) & (F.col("n_repos") >= repos_needed)))
         .withColumn("is_live", F.col("live") & ~F.col("example"))
         .filter((F.col("kind") < 3) | F.col("is_live"))
     )
     names = F.array(*[F.lit(k) for k in KINDS])
     by_doc = judged.groupBy("rid").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("s"),
-        F.sum(F.col("is_live").cast("long")).alias("n_live"), F.sum(F.col("example").cast("long")).alias("n_example"))
-    by_doc = by_doc.select("rid", "n_live", "n_example", F.array_join(F.transform(
+        F.sum(F.col("is_live").cast("long")).alias("n_live"), F.sum(F.col("example").cast("long")).alias("n_example"),
+        F.max("n_owners").alias("most_owners"), F.max("n_repos").alias("most_repos"))
+    counted = ["n_live", "n_example", "most_owners", "most_repos"]
+    by_doc = by_doc.select("rid", *counted, F.array_join(F.transform(
         "s", lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"),
                                    x["end"].cast("string"))), ",").alias("spans"))
-    out = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example"]
+    out = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", *counted]
     zero = F.lit(0).cast("long")
-    with_some = some.select(*head).join(by_doc, "rid", "left").fillna({"spans": "", "n_live": 0, "n_example": 0})
+    with_some = some.select(*head).join(by_doc, "rid", "left").fillna({"spans": "", **dict.fromkeys(counted, 0)})
     none = scanned.filter(F.size("found") == 0).select(
-        *head, zero.alias("n_live"), zero.alias("n_example"), F.lit("").alias("spans"))
+        *head, *[zero.alias(c) for c in counted], F.lit("").alias("spans"))
     return with_some.select(*out).unionByName(none.select(*out))
