@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import docs, words
 from timesift.llm import sharding
@@ -98,3 +99,26 @@ def test_groups_that_no_shard_holds_are_cut_in_few_parts(spark):
     check(giant, got)
     parts = spread(giant, got)
     assert sorted(parts)[:-1] == [1] * 1500 and parts[0] <= 11
+
+
+def test_documents_move_to_their_neighbours(spark):
+    """The rounds bring groups together that the hash had cut, within the quota, and they carry the result."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(words(rng, rng.randrange(5, 60)))) for i in range(300)]
+    rows += [(1000 + 50 * g + k, f"group {g} " + "copied text " * (g % 7 + 1)) for g in range(40) for k in range(rng.randrange(2, 9))]
+    table = docs(spark, rows)
+    linked = sharding.measured(table)
+    groups = linked.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size")).filter("n > 1")
+    started = linked.join(groups.select("g"), "g", "left_semi").withColumn("shard", sharding._bucket(8).cast("int"))
+    names = spark.range(8).select(F.col("id").cast("int").alias("shard"))
+    mean = linked.agg(F.sum("size")).first()[0] / 8
+    moved = sharding.propagate(started, sharding._loads(names), 8, mean, 6)
+    before = sharding.cut_links(started, table).first()
+    after = sharding.cut_links(moved, table).first()
+    changed = started.join(moved.select("doc_id", F.col("shard").alias("now")), "doc_id").filter("shard != now").count()
+    assert changed > 20 and before.whole < 0.3 * before.groups and after.whole >= 0.9 * after.groups == 0.9 * before.groups
+    assert max(r[0] for r in moved.groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()) <= mean
+    homes = {r.g: r.shard for r in sharding.settled_groups(moved, names, mean, 16).collect()}
+    final = {r.doc_id: r.shard for r in sharding.assign(table, 8).collect()}
+    kept = sum(all(final[r.doc_id] == homes[r.g] for r in rs) for rs in [[r for r in moved.collect() if r.g == g] for g in homes])
+    assert kept >= 0.9 * len(homes) > 20

@@ -1,8 +1,9 @@
 """Balanced label propagation of documents over shards. DataFrame functions only.
 
-Documents with equal texts are linked. Every group that fits starts whole in one shard, larger ones in few parts;
-in each round the documents of a cut group move to the shard that holds most of it, as far as that shard's quota has
-room, until nothing moves. Documents without links then fill what room is left, so that shards end near equal in
+Documents with equal texts are linked. They start where their hash puts them; in each round the documents of a cut group
+move to the shard that holds most of it, as far as that shard's quota has room, until nothing moves. Groups that have come together
+stay, as far as their shard's even share holds them; what has not settled is placed group by group into the room left, and a group
+larger than a shard in few parts. Documents without links then fill what room is left, so that shards end near equal in
 bytes and few links are cut.
 """
 
@@ -20,6 +21,8 @@ BOULDER = 16
 """A document or group of more than 1/``BOULDER`` of a shard's even share is placed by itself; there are at most ``SHARDS * BOULDER``."""
 SLACK = 1 / 256
 """A group stays whole where it exceeds a shard's even share by no more than this part of it."""
+QUOTA, ROUNDS = 1 / 16, 12
+"""How much more than its even share a shard may hold while documents move, and after how many rounds what has not settled is placed."""
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -121,40 +124,55 @@ def fill_room(rows: DataFrame, names: DataFrame, mean: float, n: int, *placed: D
     return coarse.unionByName(fill(rows.filter(fine), room(*placed, coarse), n))
 
 
-def start_groups(linked: DataFrame, groups: DataFrame, names: DataFrame, mean: float, n: int) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``linked`` with ``shard``: (those of groups that lie whole in one shard, those of cut groups).
+def cut_giants(linked: DataFrame, groups: DataFrame, names: DataFrame, mean: float, n: int) -> DataFrame:
+    """Rows of groups larger than a shard, with ``shard``: in as few parts as they need."""
+    giants = groups.filter(F.col("size") > mean * (1 + SLACK))
+    return cut_lineage(lay(linked.join(giants.select("g"), "g", "left_semi"), giants, _loads(names), mean, n))
+
+
+def settled_groups(moved: DataFrame, names: DataFrame, mean: float, n: int, *placed: DataFrame) -> DataFrame:
+    """``g, shard, size`` of the groups that lie whole in one shard, as many as its even share holds beside ``placed``."""
+    parts = moved.groupBy("g", "shard").agg(F.sum("size").alias("size"))
+    homes = parts.groupBy("g").agg(F.first("shard").alias("shard"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter(
+        "parts = 1").select("g", "shard", "size").withColumn("u", F.xxhash64("g"))
+    homes = cut_lineage(homes)
+    ordered = running_sum(homes, ["shard"], _bucket(n), [F.col("u"), F.col("g")], {"before": F.col("size")})
+    room = _loads(names, *placed).select("shard", (F.lit(mean * (1 + SLACK)) - F.col("load")).alias("room"))
+    return cut_lineage(ordered.join(room, "shard").filter(F.col("before") + F.col("size") <= F.col("room")).select("g", "shard", "size"))
 
-    Groups larger than a shard are cut first, into as few parts as they need; other large ones are placed
-    largest first while they fit, and cut where no shard has room for them. Small ones then fill the room
-    in stretches of whole groups.
+
+def place_groups(linked: DataFrame, groups: DataFrame, names: DataFrame, mean: float, n: int, *before: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``linked`` with ``shard``, beside what lies there ``before``: (those of groups that lie whole in one shard, those of cut groups).
+
+    Large groups are placed largest first while they fit, and cut where no shard has room for them. Small
+    ones then fill the room in stretches of whole groups.
     """
     n_rows = groups.count()
-    giants = groups.filter(F.col("size") > mean * (1 + SLACK))
-    large = groups.filter((F.col("size") <= mean * (1 + SLACK)) & (F.col("size") > mean / BOULDER)).withColumn("u", F.xxhash64("g"))
+    large = groups.filter(F.col("size") > mean / BOULDER).withColumn("u", F.xxhash64("g"))
     small = groups.filter(F.col("size") <= mean / BOULDER).withColumn("u", F.xxhash64("g")).withColumn("doc_id", F.lit(0))
-    cut = cut_lineage(lay(linked.join(giants.select("g"), "g", "left_semi"), giants, _loads(names), mean, n))
-    placed = cut_lineage(place_boulders(large, _loads(names, cut), ["g"], mean * (1 + SLACK)), SHARDS)
+    placed = cut_lineage(place_boulders(large, _loads(names, *before), ["g"], mean * (1 + SLACK)), SHARDS)
     rest = placed.filter("shard IS NULL").select("g", "size")
+    cut = linked.limit(0).withColumn("shard", F.lit(0))
     if not rest.isEmpty():
-        more = lay(linked.join(rest.select("g"), "g", "left_semi"), rest, _loads(names, cut, placed), mean, n)
-        cut = cut_lineage(cut.unionByName(more))
-    filled = fill_room(small, names, mean, n, cut, placed)
+        cut = cut_lineage(lay(linked.join(rest.select("g"), "g", "left_semi"), rest, _loads(names, placed, *before), mean, n).select(*cut.columns))
+    filled = fill_room(small, names, mean, n, cut, placed, *before)
     homes = cut_lineage(placed.filter("shard IS NOT NULL").select("g", "shard").unionByName(filled.select("g", "shard")), n_rows)
     return linked.join(homes, "g"), cut
 
 
-def propagate(linked: DataFrame, others: DataFrame, shards: int, mean: float) -> DataFrame:
+def propagate(linked: DataFrame, others: DataFrame, shards: int, mean: float, rounds: int | None = None) -> DataFrame:
     """Moves of ``linked(doc_id, size, text_crc32, g, u, shard)`` towards the shard that holds most of their group.
 
     A round: bytes by (group, shard), added before the shuffle; each group's heaviest shard that has room;
     movers in ``u`` order while the sum of their sizes fits the target's room, beside the loads of ``others``.
-    Who does not fit stays and tries again. Rows move to larger parts only, so the rounds end; they do when nothing moves.
+    Who does not fit stays and tries again. Rows move to larger parts only, so the rounds end; they do when nothing moves, or after ``rounds``.
     """
     keep = ["doc_id", "size", "text_crc32", "g", "u", "shard"]
     n_rows = linked.count()
     n = bucket_count(n_rows)
     names = linked.sparkSession.range(shards).select(F.col("id").cast("int").alias("shard"))
-    while n_rows:
+    while n_rows and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
         held = cut_lineage(linked.groupBy("g", "shard").agg(F.sum("size").alias("held")), n_rows)
         loads = _loads(names, held.select("shard", F.col("held").alias("size")), others.select("shard", F.col("load").alias("size")))
         room = cut_lineage(loads.select("shard", (F.lit(mean) - F.col("load")).alias("room")), shards)
@@ -187,7 +205,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     The law is ``bytes``: shards end near equal in bytes, as near as whole documents allow. Null texts have
     size 16, the checksum of no bytes, and no links; empty texts are equal texts. A group larger than a shard
     is cut into as few parts as room allows, and so is one that no shard has room for; all others stay whole. Repeated rows are equal texts. Slots count from 0 in each shard. An empty
-    table returns none.
+    table returns none. Very long texts count with their bytes; only the two named columns are read, whatever others are called.
     """
     rows = cut_lineage(measured(docs))
     n_rows, total = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -197,9 +215,16 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = cut_lineage(grouped.filter("n > 1").select("g", "size"), n_rows)
     keep = ["doc_id", "size", "text_crc32", "u", "shard"]
     linked = cut_lineage(rows.join(groups.select("g"), "g", "left_semi"), n_rows)
-    whole, cut = start_groups(linked, groups, names, mean, n)
-    whole = cut_lineage(whole.select(*keep), n_rows)
-    moved = propagate(cut_lineage(cut.select("g", *keep), n_rows), _loads(names, whole), shards, mean)
+    giants = cut_giants(linked, groups, names, mean, n)
+    movable = groups.filter(F.col("size") <= mean * (1 + SLACK))
+    started = cut_lineage(linked.join(movable.select("g"), "g", "left_semi").withColumn("shard", _bucket(shards).cast("int")), n_rows)
+    settled = settled_groups(propagate(started, _loads(names, giants), shards, mean * (1 + QUOTA), ROUNDS), names, mean, n, giants)
+    there = cut_lineage(linked.join(settled.select("g", "shard"), "g").select(*keep), n_rows)
+    rest = cut_lineage(movable.join(settled.select("g"), "g", "left_anti"), n_rows)
+    whole, cut = place_groups(linked.join(rest.select("g"), "g", "left_semi"), rest, names, mean, n, giants, there)
+    whole = cut_lineage(whole.select(*keep).unionByName(there), n_rows)
+    cut = cut.select("g", *keep).unionByName(giants.select("g", *keep))
+    moved = propagate(cut_lineage(cut, n_rows), _loads(names, whole), shards, mean)
     linked = cut_lineage(whole.unionByName(moved.select(*keep)), n_rows)
     alone = cut_lineage(rows.filter("g IS NULL").unionByName(rows.join(groups.select("g"), "g", "left_anti").filter("g IS NOT NULL")).drop("g"), n_rows)
     heavy = F.col("size") > F.lit(mean / BOULDER)
