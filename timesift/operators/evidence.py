@@ -26,10 +26,20 @@ class Scout:
     spans: DataFrame
 
 
-def scout(segments: DataFrame, one_record: bool = False) -> Scout:
-    """Read the corpus once and keep the result as tables in the shared folder."""
-    marked = cut_lineage(seg.pause_marks(segments, one_record))
-    chapters = cut_lineage(seg.pause_chapters(segments, one_record=one_record))
+def scout(segments: DataFrame, one_record: bool = False, metadata: DataFrame | None = None) -> Scout:
+    """Read the corpus once and keep the result as tables in the shared folder.
+
+    ``metadata`` is ``(source_id, duration, chapters)``: its usable chapters and durations come first, pauses stand in elsewhere.
+    """
+    if metadata is None:
+        marked = cut_lineage(seg.pause_marks(segments, one_record))
+        chapters = cut_lineage(seg.pause_chapters(segments, one_record=one_record))
+    else:
+        segments = cut_lineage(segments)
+        chapters = cut_lineage(seg.chapters_from_metadata(metadata, segments))
+        told = metadata.where("duration > 0").select("source_id", F.col("duration").cast("double").alias("told"))
+        ends = seg.durations(segments).join(told, "source_id", "left").select("source_id", F.coalesce("told", "duration").alias("duration"))
+        marked = cut_lineage(seg.attach_chapters(segments, chapters).join(ends, "source_id"))
     spans = cut_lineage(retrieval.with_tokens(seg.build_spans(marked, one_record)))
     return Scout(marked, chapters, spans)
 
@@ -40,17 +50,21 @@ def chapter_sizes(segments: DataFrame) -> DataFrame:
         (F.sum(F.length(seg.stamped_line())) + F.count(F.lit(1)) - 1).alias("chars"))
 
 
-def budget_rollup(ranks: DataFrame, sizes: DataFrame, budget: int = fixed.TEXT_BUDGET) -> DataFrame:
-    """Chapters kept while walking the ranking: the first always, then each that still fits."""
-    rows = ranks.join(sizes, ["source_id", "chapter_id"]).select(
-        *PAIR, F.col("rank").cast("int").alias("rank"), "chapter_id", "best", "chars")
+def budget_rollup(ranks: DataFrame, sizes: DataFrame, budget: int = fixed.TEXT_BUDGET, budgets: DataFrame | None = None) -> DataFrame:
+    """Chapters kept while walking the ranking: the first always, then each that still fits.
 
-    def step(used, chars: int):
+    ``budgets`` is ``(question_id, text_budget)`` where questions have budgets of their own.
+    """
+    rows = ranks.join(sizes, ["source_id", "chapter_id"])
+    rows = rows.join(budgets, "question_id") if budgets is not None else rows.withColumn("text_budget", F.lit(budget))
+    rows = rows.select(*PAIR, F.col("rank").cast("int").alias("rank"), "chapter_id", "best", "chars", "text_budget")
+
+    def step(used, chars: int, budget: int):
         if used is None:
             return (), int(chars)
         return ((), used + int(chars)) if used + chars <= budget else (None, used)
 
-    return ordered_fold(rows, PAIR, "rank", ["chars"], step)
+    return ordered_fold(rows, PAIR, "rank", ["chars", "text_budget"], step).drop("text_budget")
 
 
 def numeric_guard(pairs: DataFrame, selected: DataFrame, segments: DataFrame, spans: DataFrame,
@@ -268,7 +282,7 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
 
     A question with a ``source_id`` is asked of that source alone, and keeps the source's first chapter when no
     span scores. A null ``source_id``, or no such column, searches all sources: the question and a source then form a
-    pair when at least one span scores above zero.
+    pair when at least one span scores above zero. Columns ``text_budget`` and ``max_frames`` give questions limits of their own.
     """
     spark = questions.sparkSession
     bound = retrieval.bindings(questions)
@@ -296,7 +310,8 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
         first = scouted.chapters.groupBy("source_id").agg(F.min("chapter_id").alias("chapter_id"))
         silent = bound.join(ranks.select(*PAIR).distinct(), PAIR, "left_anti").join(first, "source_id")
         ranks = ranks.unionByName(silent.select(*PAIR, "chapter_id", F.lit(0.0).alias("best"), F.lit(0.0).alias("top_two"), F.lit(0).alias("rank")))
-    selected = cut_lineage(budget_rollup(ranks, chapter_sizes(segments), budget))
+    own_budgets = questions.select("question_id", "text_budget") if "text_budget" in questions.columns else None
+    selected = cut_lineage(budget_rollup(ranks, chapter_sizes(segments), budget, own_budgets))
     pairs = selected.where("rank = 0").select(*PAIR)
     fired = pairs.join(fires, "question_id").unionByName(new_fires.join(pairs, PAIR, "left_semi"))
 
@@ -316,8 +331,12 @@ def select_targeted(questions: DataFrame, scouted: Scout, *, budget: int = fixed
     span_chars = blocks.groupBy(*PAIR).agg(F.sum(F.length("block")).alias("more"))
     chars = selected.groupBy(*PAIR).agg(F.sum("chars").alias("chars")).join(span_chars, PAIR, "left").select(
         *PAIR, (F.col("chars") + F.coalesce("more", F.lit(0))).alias("chars"))
-    cap = measures.reader_budget(F.col("chars"), F.lit(max_frames)).cast("int")
-    specs = targeted_specs(selected, guards, scouted, deictic).join(chars.withColumn("cap", cap), PAIR)
+    if "max_frames" in questions.columns:
+        chars = chars.join(questions.select("question_id", "max_frames"), "question_id")
+    else:
+        chars = chars.withColumn("max_frames", F.lit(max_frames))
+    cap = measures.reader_budget(F.col("chars"), F.col("max_frames")).cast("int")
+    specs = targeted_specs(selected, guards, scouted, deictic).join(chars.select(*PAIR, cap.alias("cap")), PAIR)
     frames = spaced_evidence(specs, PAIR)
 
     shown = selected.select(*PAIR, "chapter_id", F.lit(None).cast("int").alias("first_seg"),
