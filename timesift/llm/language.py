@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -112,12 +113,12 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
         return None
     languages = sorted(counts)
     each = max(1, fit_rows // len(languages))
-    # A share of each language by a hash in [0, 2^63), then at most ``fit_rows`` by that hash.
+    # A share of each language by a hash in [0, 2^63); texts become bags where they lie, and at most ``fit_rows`` bags are fetched.
     shares = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(2 ** 63 - 1, int(each / n * 2 ** 63)))])
     place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(23)), 1)
-    picked = usable.filter(place <= F.element_at(shares, F.col("lang"))).orderBy(place, "doc_id", "lang", F.md5(F.col("text").cast("binary"))).limit(fit_rows)
+    picked = usable.filter(place <= F.element_at(shares, F.col("lang")))
     rows = picked.mapInArrow(_bags(languages), "doc_id long, bag binary, label int").orderBy("doc_id", "label", "bag")
-    got = [(r["bag"], r["label"]) for r in rows.toLocalIterator()]
+    got = [(r["bag"], r["label"]) for r in islice(rows.toLocalIterator(), fit_rows)]
     bags = np.frombuffer(b"".join(bytes(b) for b, _ in got), dtype=np.float32).reshape(-1, BUCKETS)
     return train(bags, np.array([y for _, y in got]), languages)
 
