@@ -14,7 +14,7 @@ from check_queries import rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 PICKED = ["tokenize_norm", "sentence_stream", "url_identity", "secret_scan", "rolling_dedupe", "build_spans", "span_score", "lexical_rank", "frame_dedupe_window",
-          "chunk_plan", "budget_prefix", "fallback_choice", "evidence_match", "latency_gate", "gate_decision", "targeted_evidence", "coverage_evidence", "row_rules", "hash_chain", "subtitle_parse"]
+          "chunk_plan", "budget_prefix", "fallback_choice", "evidence_match", "latency_gate", "gate_decision", "gate_refused", "facet_expansion", "targeted_evidence", "coverage_evidence", "row_rules", "hash_chain", "subtitle_parse"]
 
 
 def test_registry_is_whole():
