@@ -107,7 +107,7 @@ def test_as_of_before_first_chapter(spark):
 
 @pytest.mark.parametrize("block", [4, 100000])
 def test_spans(spark, monkeypatch, block):
-    monkeypatch.setattr(keyed, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ops, "BLOCK_ROWS", block)
     rng = random.Random(5)
     t, cues = 0.0, []
     for i in range(50):
@@ -126,6 +126,29 @@ def test_spans(spark, monkeypatch, block):
         assert [[r.first_seg, r.last_seg, r.text] for r in got] == want
 
 
+@pytest.mark.parametrize("block,one", [(4, False), (100000, False), (100000, True)])
+def test_spans_of_starts_in_any_order(spark, monkeypatch, block, one):
+    """Long chapters without a pause, starts that stand still, go back or meet 30 s exactly, chapters that come again."""
+    monkeypatch.setattr(ops, "BLOCK_ROWS", block)
+    rng = random.Random(11)
+    rows, want = [], []
+    for source in (1, 2, 3):
+        t, chapter, opened = 470.3, 0, None
+        for i in range(120 if source == 1 else 40):
+            t = round(t + rng.choice([0.0, 5.0, 10.0, 10.0, 0.1, -4.0] + [31.0, 95.0] * (source == 3)), 1)
+            chapter = rng.choice([0, 1]) if source == 2 and i % 9 == 0 else chapter
+            rows.append((source, i, t, t + 1, f"w{i}", chapter))
+            if opened is None or chapter != opened[0] or t - opened[1] >= 30.0:
+                opened = (chapter, t)
+                want.append((source, i))
+    schema = "source_id long, seg_idx int, start_s double, end_s double, text string, chapter_id int"
+    table = spark.createDataFrame(rows, schema)
+    got = ops.build_spans(table, one)
+    assert sorted((r.source_id, r.first_seg) for r in got.collect()) == want
+    assert got.selectExpr("sum(last_seg - first_seg + 1) n").first().n == len(rows)
+    assert ops.build_spans(table.limit(0), one).count() == 0
+
+
 def test_ranges_are_inclusive(spark):
     got = ops.filter_range(segments(spark), 13, 61).orderBy("seg_idx").collect()
     assert [r.start_s for r in got] == [9.0, 17.0, 61.0]

@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 from timesift.functions import fixed, timecode
 from timesift.operators.keyed import (
     BLOCK_ROWS, ordered_fold, row_index, running_totals, with_previous)
+from timesift.session import cut_lineage
 
 KEY = ["source_id"]
 MIN_OVERLAP = 8
+SPAN_BUCKET = fixed.SPAN_SECONDS + 1.0
 
 
 def filter_range(segments: DataFrame, start: float | None, end: float | None) -> DataFrame:
@@ -216,24 +218,92 @@ def attach_chapters(segments: DataFrame, chapters: DataFrame) -> DataFrame:
     return placed.withColumn("chapter_id", F.coalesce("chapter_id", F.lit(0)))
 
 
-def span_step(state, at: int, start: float, chapter: int):
-    """Greedy 30 s spans; the state is the open span's chapter, start and first position."""
-    if state is None or chapter != state[0] or start - state[1] >= fixed.SPAN_SECONDS:
-        state = [int(chapter), float(start), int(at)]
-    return (state[2],), state
+def _span_pointers(segments: DataFrame) -> DataFrame:
+    """(source_id, seg_idx, reached, to): segments that may open a span, and the one that opens the span behind theirs.
+
+    Only a segment that starts later than all before it in its chapter may open a span by time. ``reached`` marks
+    those that open one whatever came before: a new chapter, or a step of a whole span. Between these, steps are
+    shorter than a bucket, so the next opening lies in the bucket where a span ends, or in the one behind it.
+    """
+    changed = with_previous(segments.select("source_id", "seg_idx", "start_s", "chapter_id"), KEY, "seg_idx",
+                            {"__before": "chapter_id"}, BLOCK_ROWS)
+    fresh = F.when(F.col("__before").isNull() | (F.col("__before") != F.col("chapter_id")), 1).otherwise(0)
+    parts = running_totals(changed, KEY, "seg_idx", {"__part": fresh}, block_rows=BLOCK_ROWS)
+    latest = running_totals(parts, [*KEY, "__part"], "seg_idx", {"__latest": F.col("start_s")}, F.max, BLOCK_ROWS)
+    seen = with_previous(latest, KEY, "seg_idx", {"__was": "__latest", "__of": "__part"}, BLOCK_ROWS)
+    first = F.col("__of").isNull() | (F.col("__of") != F.col("__part"))
+    reached = first | (F.col("start_s") - F.col("__was") >= fixed.SPAN_SECONDS)
+    opening = seen.where(first | (F.col("start_s") > F.col("__was"))).withColumn("__reached", reached)
+    ends = F.col("start_s") + F.lit(fixed.SPAN_SECONDS)
+    # A sum may be rounded down; a segment that starts there is still too early.
+    side = F.when(ends - F.col("start_s") >= fixed.SPAN_SECONDS, 0).otherwise(2)
+
+    def event(t: Column, side: Column, back: int) -> Column:
+        return F.struct(t.alias("t"), side.alias("side"), (F.floor(t / SPAN_BUCKET) - back).alias("bucket"))
+
+    start, mark = F.col("start_s"), F.lit(1)
+    events = opening.select("source_id", "__part", "seg_idx", "__reached", F.explode(F.array(
+        event(start, mark, 0), event(start, mark, 1), event(ends, side, 0))).alias("e"))
+    behind = Window.partitionBy("source_id", "__part", "e.bucket").orderBy(F.desc("e.t"), F.desc("e.side")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    following = F.min(F.when(F.col("e.side") == 1, F.struct("e.t", "seg_idx"))).over(behind)
+    return events.withColumn("to", following["seg_idx"]).where("e.side <> 1").select(
+        "source_id", "seg_idx", F.col("__reached").alias("reached"), "to")
+
+
+def span_starts(segments: DataFrame) -> DataFrame:
+    """(source_id, seg_idx) of the segments that open a span, for sources of any length.
+
+    Pointers are followed by doubling: after round k all openings up to 2^k behind a certain one are reached, so
+    the longest stretch without a certain one takes its logarithm in rounds and written tables.
+    """
+    nodes = cut_lineage(_span_pointers(segments))
+    while not nodes.where("reached AND to IS NOT NULL").isEmpty():
+        onward = nodes.select("source_id", F.col("seg_idx").alias("to"), F.col("to").alias("__to"))
+        hit = nodes.where("reached AND to IS NOT NULL").select(
+            "source_id", F.col("to").alias("seg_idx"), F.lit(True).alias("__hit")).distinct()
+        nodes = cut_lineage(nodes.join(onward, ["source_id", "to"], "left").join(hit, ["source_id", "seg_idx"], "left").select(
+            "source_id", "seg_idx", (F.col("reached") | F.col("__hit").isNotNull()).alias("reached"), F.col("__to").alias("to")))
+    return nodes.where("reached").select("source_id", "seg_idx")
+
+
+def _record_spans(segments: DataFrame) -> DataFrame:
+    """Spans of sources cut out of one input record: the lines of a record meet as one array, as they came."""
+    line = F.struct("seg_idx", "start_s", "end_s", "chapter_id", "text")
+    lines = segments.groupBy("source_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    none = F.struct(F.lit(None).cast("int").alias("chapter"), F.lit(None).cast("double").alias("start"),
+                    F.array().cast("array<int>").alias("firsts"))
+
+    def step(open_: Column, x: Column) -> Column:
+        stays = (x["chapter_id"] == open_["chapter"]) & (x["start_s"] - open_["start"] < fixed.SPAN_SECONDS)
+        opened = F.struct(x["chapter_id"].cast("int").alias("chapter"), x["start_s"].alias("start"),
+                          F.concat(open_["firsts"], F.array(x["seg_idx"].cast("int"))).alias("firsts"))
+        return F.when(stays, open_).otherwise(opened)
+
+    cut = lines.withColumn("firsts", F.aggregate("lines", none, step, lambda x: x["firsts"]))
+    after = F.coalesce(F.get("firsts", F.col("span_id") + 1), F.size("lines"))
+    spans = cut.select("source_id", "lines", "firsts", F.posexplode("firsts").alias("span_id", "first_seg")).select(
+        "source_id", "span_id", "first_seg", F.slice("lines", F.col("first_seg") + 1, after - F.col("first_seg")).alias("s"))
+    last = F.element_at("s", -1)
+    return spans.select(
+        "source_id", "span_id", F.col("s")[0]["chapter_id"].alias("chapter_id"), F.col("s")[0]["start_s"].alias("start_s"),
+        last["end_s"].alias("end_s"), F.array_join(F.col("s.text"), " ").alias("text"), "first_seg",
+        last["seg_idx"].alias("last_seg"))
 
 
 def build_spans(segments: DataFrame, one_record: bool = False) -> DataFrame:
     """Spans of about 30 s inside one chapter, from segments with ``chapter_id``."""
-    slim = segments.select("source_id", "seg_idx", "start_s", "end_s", "chapter_id", "text")
-    parts = ordered_fold(slim, KEY, "seg_idx", ["seg_idx", "start_s", "chapter_id"], span_step,
-                         "first_seg int", one_record_per_key=one_record)
+    if one_record:
+        return _record_spans(segments)
+    slim = cut_lineage(segments.select("source_id", "seg_idx", "start_s", "end_s", "chapter_id", "text"))
+    opened = slim.join(span_starts(slim).withColumn("__opens", F.lit(True)), ["source_id", "seg_idx"], "left")
+    parts = running_totals(opened, KEY, "seg_idx", {"first_seg": F.when(F.col("__opens"), F.col("seg_idx"))}, F.max, BLOCK_ROWS)
     line = F.struct("seg_idx", "text")
     spans = parts.groupBy("source_id", "first_seg").agg(
         F.min("chapter_id").alias("chapter_id"), F.min_by("start_s", "seg_idx").alias("start_s"),
         F.max_by("end_s", "seg_idx").alias("end_s"), F.max("seg_idx").alias("last_seg"),
         F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda x: x["text"]), " ").alias("text"))
-    placed = row_index(spans, KEY, [F.col("first_seg")], None if one_record else F.floor(F.col("first_seg") / 65536), "span_id")
+    placed = row_index(spans, KEY, [F.col("first_seg")], F.floor(F.col("first_seg") / 65536), "span_id")
     return placed.withColumn("span_id", F.col("span_id").cast("int")).select(
         "source_id", "span_id", "chapter_id", "start_s", "end_s", "text", "first_seg", "last_seg")
 

@@ -34,16 +34,29 @@ _REPEATS = f"""len(list_filter(w.recent, lambda s: f.ts - s.at <= 90 AND len(lis
     <= {_WIDE['allowed_pct']} * 22 / 100.0)) > 0"""
 
 
-@query("frame_dedupe_window", sql(f"""sigs AS (SELECT source_id, idx, ts, list_concat(thumb, [0, 0]) AS a FROM v_frames),
+_WINDOWED = f"""sigs AS (SELECT source_id, idx, ts, list_concat(thumb, [0, 0]) AS a FROM v_frames),
 walk AS (SELECT source_id, idx, [{{'sig': a, 'at': ts}}] AS recent, idx AS keeper FROM sigs WHERE idx = 0
   UNION ALL SELECT source_id, idx, CASE WHEN dup THEN recent ELSE list_append(recent, {{'sig': a, 'at': ts}})[-4:] END, CASE WHEN dup THEN keeper ELSE idx END
-  FROM (SELECT f.source_id, f.idx, f.ts, f.a, w.recent, w.keeper, {_REPEATS} AS dup FROM walk w JOIN sigs f ON f.source_id = w.source_id AND f.idx = w.idx + 1))
-SELECT source_id, idx, keeper FROM walk""", "v_frames"))
+  FROM (SELECT f.source_id, f.idx, f.ts, f.a, w.recent, w.keeper, {_REPEATS} AS dup FROM walk w JOIN sigs f ON f.source_id = w.source_id AND f.idx = w.idx + 1))"""
+
+
+@query("frame_dedupe_window", sql(_WINDOWED + " SELECT source_id, idx, keeper FROM walk", "v_frames"))
 def frame_dedupe_window(spark, sf):
     return frames.mark_windowed(_rgb(spark, sf), **_WIDE).select("source_id", "idx", "keeper")
 
 
-@query("gap_fill")
+_MIDDLE = """list_min(list_transform(list_filter(pool, lambda x: x.ts > a AND x.ts < b),
+    lambda x: {'far': abs(x.ts - (a + b) / 2), 'ts': x.ts, 'idx': x.idx}))"""
+
+
+@query("gap_fill", sql(_WINDOWED + f""",
+marked AS (SELECT source_id, idx, ts, keeper FROM walk JOIN sigs USING (source_id, idx)),
+kept AS (SELECT source_id, idx AS gap, ts AS a, lead(ts) OVER (PARTITION BY source_id ORDER BY idx) AS b FROM marked WHERE keeper = idx),
+pools AS (SELECT source_id, keeper AS gap, list({{'idx': idx, 'ts': ts}}) AS pool FROM marked WHERE keeper <> idx GROUP BY ALL),
+halves AS (SELECT source_id, gap, '' AS path, a, b, pool, {_MIDDLE} AS p FROM kept JOIN pools USING (source_id, gap) WHERE b - a > 5
+  UNION ALL SELECT *, {_MIDDLE} FROM (SELECT source_id, gap, path || side AS path, CASE side WHEN '0' THEN a ELSE p.ts END AS a, CASE side WHEN '0' THEN p.ts ELSE b END AS b, pool
+    FROM halves, (VALUES ('0'), ('1')) s(side) WHERE p IS NOT NULL) WHERE b - a > 5)
+SELECT source_id, idx, ts FROM (SELECT source_id, p.idx AS idx, p.ts AS ts, row_number() OVER (PARTITION BY source_id ORDER BY gap, path) AS n FROM halves WHERE p IS NOT NULL) WHERE n <= 30""", "v_frames"))
 def gap_fill(spark, sf):
     marked = frames.mark_windowed(_rgb(spark, sf), **_WIDE)
     limits = views.frames(spark, sf).select("source_id").distinct().select(

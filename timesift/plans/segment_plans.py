@@ -9,7 +9,7 @@ from timesift.operators import segments as ops
 from timesift.operators.keyed import row_index
 from timesift.plans import views
 from timesift.plans.catalog import query
-from timesift.plans.text_plans import sql_stamp
+from timesift.plans.text_plans import indexed_points, sql_stamp
 from timesift.plans.views import sql
 
 _SQL_GAPS = """g AS (SELECT *, start_s - lag(end_s) OVER (PARTITION BY source_id ORDER BY seg_idx) > 2.0 AS pause FROM v_segments),
@@ -144,6 +144,21 @@ def build_spans(spark, sf):
     return spans(spark, sf)
 
 
+# A user's events as one long stretch without chapters, a day in 4.3 s: no key is one record here.
+@query("stretch_spans", sql("""p AS (SELECT source_id, t / 20000 AS s, row_number() OVER (PARTITION BY source_id ORDER BY t, item_id) - 1 AS i FROM v_points),
+walk AS (SELECT source_id, i, s AS opened, i AS first_seg FROM p WHERE i = 0
+  UNION ALL SELECT p.source_id, p.i, CASE WHEN p.s - opened >= 30 THEN p.s ELSE opened END, CASE WHEN p.s - opened >= 30 THEN p.i ELSE first_seg END
+  FROM walk w JOIN p ON p.source_id = w.source_id AND p.i = w.i + 1)
+SELECT source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY first_seg) - 1 AS INT) AS span_id, CAST(first_seg AS INT) AS first_seg, CAST(max(i) AS INT) AS last_seg
+FROM walk GROUP BY source_id, first_seg""", "v_points"))
+def stretch_spans(spark, sf):
+    start = F.col("t") / 20000
+    made = indexed_points(spark, sf).select(
+        "source_id", F.col("idx").cast("int").alias("seg_idx"), start.alias("start_s"), start.alias("end_s"),
+        F.lit(0).alias("chapter_id"), F.col("kind").alias("text"))
+    return ops.build_spans(made).select("source_id", "span_id", "first_seg", "last_seg")
+
+
 @query("span_context", sql(SQL_SPANS + f""" SELECT p.source_id, p.span_id, min(s.start_s) AS t0, arg_max(s.end_s, s.seg_idx) AS t1,
   string_agg('[' || {sql_stamp('s.start_s')} || '] ' || s.text, chr(10) ORDER BY s.seg_idx) AS block
 FROM spans p JOIN v_segments s ON s.source_id = p.source_id AND s.seg_idx BETWEEN p.first_seg - 1 AND p.last_seg + 1 GROUP BY p.source_id, p.span_id""", "v_segments"))
