@@ -11,6 +11,7 @@ from timesift.functions import fixed, measures, text, timecode
 from timesift.operators import retrieval
 from timesift.operators import segments as seg
 from timesift.operators.keyed import ordered_fold, row_index
+from timesift.operators.spacing import keep_spaced
 from timesift.operators.retrieval import PAIR
 from timesift.session import cut_lineage
 
@@ -216,18 +217,9 @@ def uniform_grid(known: DataFrame, n: int) -> DataFrame:
 
 
 def spaced_evidence(specs: DataFrame, keys: list[str], spacing: float = fixed.FRAME_DEDUPE_SECONDS) -> DataFrame:
-    """Walk ``(keys, class, ord, ts, …, cap)`` in priority order; keep a time at least ``spacing``
-    from every kept one, at most ``cap`` of them. The state is the kept times, so at most ``cap``."""
-    placed = row_index(specs, keys, [F.col("class"), F.col("ord")],
-                       F.struct(F.col("class"), F.floor(F.col("ord") / 65536)), "__at")
-
-    def step(kept, ts: float, cap: int):
-        kept = kept or []
-        if len(kept) < cap and all(abs(ts - other) >= spacing for other in kept):
-            return (), [*kept, float(ts)]
-        return None, kept
-
-    return ordered_fold(placed, keys, "__at", ["ts", "cap"], step).drop("__at")
+    """Of ``(keys, class, ord, ts, …, cap)`` in order of class and ord, the times at least ``spacing``
+    from every better one kept, at most ``cap`` a key, which is the same on all its rows."""
+    return keep_spaced(specs, keys, "ts", [F.col("class"), F.col("ord")], spacing, F.col("cap"))
 
 
 def unmet_terms(questions: DataFrame, pairs: DataFrame, rescued: DataFrame, shown: DataFrame,

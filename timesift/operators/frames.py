@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from timesift.functions import fixed, measures
 from timesift.operators.keyed import ordered_fold, row_index, with_previous
+from timesift.operators.spacing import keep_spaced
 from timesift.session import cut_lineage
 
 KEY = ["source_id"]
@@ -130,15 +131,8 @@ def select_frames(frames: DataFrame, budget: int = 100, min_shots: int = fixed.S
 
 def spaced_topk(items: DataFrame, budget: int, spacing: float = 1.0) -> DataFrame:
     """Best-scored ``(source_id, item_id, t, score)`` at least ``spacing`` apart, ``budget`` a source."""
-    placed = row_index(items, KEY, [F.desc("score"), F.col("t"), F.col("item_id")], -F.ceil(F.col("score")))
-
-    def step(kept, t: float):
-        kept = kept or []
-        if len(kept) < budget and all(abs(t - other) >= spacing for other in kept):
-            return (), [*kept, float(t)]
-        return None, kept
-
-    return ordered_fold(placed, KEY, "idx", ["t"], step).drop("idx")
+    rank = [F.col("score").isNull(), -F.col("score"), F.col("t"), F.col("item_id")]
+    return keep_spaced(items, KEY, "t", rank, spacing, F.lit(budget))
 
 
 def merge_timeline(primary: DataFrame, pinned: DataFrame) -> DataFrame:
