@@ -67,3 +67,25 @@ def test_edges(spark):
     none = quality.score_quality(table_, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and len(none) == len(rows)
     assert quality.score_quality(table_.limit(0), labels).count() == 0
+
+
+def test_keep_good_on_odd_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(
+        [(i, "A calm river runs past the old mill." if i % 2 else "#### %%%% $$$$", "en", None, 1) for i in range(40)]
+        + [(100, None, None, None, None), (101, "", "en", "s", 0), (None, "text", "en", "s", 4), (1, "A calm river runs past the old mill.", "en", "s", 1)], schema)
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    ids = [r.doc_id for r in kept.collect()]
+    assert {i for i in ids if i is not None and i < 40} == set(range(1, 40, 2)) and ids.count(1) == 2
+    assert quality.keep_good(docs.limit(0), labels).count() == 0
+    assert quality.keep_good(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_keep_good_fits_as_scoring_does(spark):
+    rows = [(i, ("word " * (3 + i % 9)) + ("#" * (i % 5) * 6)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 < 2), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    kept = sorted(r.doc_id for r in quality.keep_good(docs, labels).collect())
+    assert kept == sorted(r.doc_id for r in quality.score_quality(docs, labels).where("predicted = 1").collect())

@@ -114,3 +114,15 @@ def test_a_source_of_mostly_one_repeated_row_ends_at_its_target(spark):
     for size, target in {(r[2], r[3]) for r in got}:
         mine = [r for r in got if r[2] == size]
         assert abs(sum(r[4] for r in mine) - target) <= max(r[1] for r in mine) / 2 + 1e-6
+
+
+def test_key_buckets_rise_with_the_key_and_are_even(spark):
+    rows = spark.range(20_000).select((-F.log((F.col("id") + 0.5) / 20_000) / F.when(F.col("id") % 3 == 0, 0.05).otherwise(1.0)).alias("key"))
+    bounds = rows.agg(F.percentile_approx("key", mixing.SHARES, 10_000).alias("bounds"))
+    placed = rows.crossJoin(bounds).select("key", mixing.key_bucket(F.col("key"), F.col("bounds"), 50).alias("bucket"))
+    got = sorted((r.key, r.bucket) for r in placed.collect())
+    assert [b for _, b in got] == sorted(b for _, b in got) and got[0][1] >= 0 and got[-1][1] == 49
+    sizes = [sum(b == i for _, b in got) for i in range(50)]
+    assert max(sizes) < 3 * 400
+    few = spark.createDataFrame([(1.0, [1.0] * len(mixing.SHARES)), (1.0, None)], "key double, bounds array<double>")
+    assert all(0 <= r[0] < 50 for r in few.select(mixing.key_bucket(F.col("key"), F.col("bounds"), 50)).collect())

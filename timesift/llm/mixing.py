@@ -13,6 +13,8 @@ WEIGHTS = (5, 2, 1)
 CAP = 3
 LEAST_WEIGHT = 0.05
 FILLER = "#$%&*|!"
+# Shares of a source's keys at which ``mix_plan`` takes bounds: even ones, and finer ones where the keys thin out.
+SHARES = [i / 64 for i in range(64)] + [1 - 2.0 ** -k / 64 for k in range(1, 8)] + [1.0]
 
 
 def word_count(text: Column) -> Column:
@@ -69,6 +71,21 @@ def keyed_sizes(docs: DataFrame, weight: Column, seed: int) -> DataFrame:
     return docs.withColumn("size", word_count(F.col("text"))).withColumn("mix_key", -F.log(u) / w)
 
 
+def key_bucket(key: Column, bounds: Column, n: int) -> Column:
+    """One of ``n`` buckets that never decreases with the key and holds about as many keys as any other.
+
+    ``bounds`` are the keys at ``SHARES`` of a source; between two of them the share grows evenly. Bounds
+    need not be exact: they change the sizes of the buckets, never the order.
+    """
+    under = F.size(F.filter(bounds, lambda b: b <= key))
+    at = F.least(F.greatest(under - 1, F.lit(0)), F.lit(len(SHARES) - 2))
+    shares = F.array(*[F.lit(s) for s in SHARES])
+    low, high = F.get(bounds, at), F.get(bounds, at + 1)
+    inside = F.coalesce(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (key - low) / F.nullif(high - low, F.lit(0.0)))), F.lit(1.0))
+    share = F.get(shares, at) + (F.get(shares, at + 1) - F.get(shares, at)) * inside
+    return F.least(F.lit(n - 1), F.floor(share * F.lit(n)))
+
+
 def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """Per source ``source, source_size, target, epochs, last, part``, from ``rows(doc_id, source, size, mix_key)``.
 
@@ -80,15 +97,15 @@ def mix_plan(rows: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP)
     """
     n_rows = rows.count()
     n = bucket_count(n_rows)
-    sources = cut_lineage(rows.groupBy("source").agg(F.sum("size").alias("source_size")), n_rows)
+    bounds = F.percentile_approx(F.when(F.col("size") > 0, F.col("mix_key")), SHARES, 10_000)
+    sources = cut_lineage(rows.groupBy("source").agg(F.sum("size").alias("source_size"), bounds.alias("bounds")), n_rows)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = cut_lineage(source_targets(sources, weights, cap).withColumn("epochs", epochs), n_rows)
+    targets = cut_lineage(source_targets(sources.drop("bounds"), weights, cap).withColumn("epochs", epochs), n_rows)
     order = ["mix_key", "doc_id", "size"]
     counted = rows.filter("size > 0").groupBy("source", *order).agg(F.count(F.lit(1)).alias("n"))
-    placed = with_source(counted, targets)
-    # 1 - exp(-key * least weight) never decreases with the key and is dense by a factor of 20 at most.
-    bucket = F.least(F.lit(n - 1), F.floor((F.lit(1.0) - F.exp(-F.col("mix_key") * F.lit(LEAST_WEIGHT))) * F.lit(n)))
-    summed = running_sum(placed, ["source"], bucket, [F.col(c) for c in order], {"before": F.col("size") * F.col("n")})
+    placed = with_source(counted, sources.select("source", "bounds")).withColumn(
+        "bucket", key_bucket(F.col("mix_key"), F.col("bounds"), n)).drop("bounds")
+    summed = running_sum(with_source(placed, targets), ["source"], F.col("bucket"), [F.col(c) for c in order], {"before": F.col("size") * F.col("n")})
     rest = F.col("target") - F.col("epochs") * F.col("source_size")
     taken = summed.filter(F.lit(2.0) * F.col("before") + F.col("size") < F.lit(2.0) * rest)
     fit = F.ceil((F.lit(2.0) * rest - F.col("size") - F.lit(2.0) * F.col("before")) / (F.lit(2.0) * F.col("size")))

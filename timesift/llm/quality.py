@@ -124,18 +124,30 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(n), level) for level, _, n in blocks]) if blocks else np.zeros(0)
 
 
-def fit(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 5) -> Model:
-    """A model from ``measured(doc_id, stats)`` and ``labels(doc_id, quality)``.
+def pick_labels(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``(doc_id, y)`` of about ``fit_rows`` labelled documents at most, written; drawn by a hash of the id.
 
-    Callers pass only the labels that may be learnt from. Several labels of a document are averaged and
-    null ones skipped. Rows with crc32(doc_id) mod 10 in 1, 6 fit the calibration, all others the
-    ridge scores. With no labelled rows every score is 0.5.
+    Several labels of a document are averaged and null ones skipped.
     """
     by_doc = labels.filter("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
         F.avg("quality").cast("double").alias("y"))
     n = by_doc.count()
     share = int(min(1.0, fit_rows / max(1, n)) * 1_000_000)
-    picked = by_doc.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share)
+    return cut_lineage(by_doc.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share), min(n, fit_rows))
+
+
+def fit(measured: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, seed: int = 5) -> Model:
+    """A model from ``measured(doc_id, stats)`` and ``labels(doc_id, quality)``, of which callers pass only those
+    that may be learnt from."""
+    return fit_picked(measured, pick_labels(labels, fit_rows), seed)
+
+
+def fit_picked(measured: DataFrame, picked: DataFrame, seed: int = 5) -> Model:
+    """A model from ``measured(doc_id, stats)`` and ``picked(doc_id, y)`` of ``pick_labels``.
+
+    Rows with crc32(doc_id) mod 10 in 1, 6 fit the calibration, all others the
+    ridge scores. With no labelled rows every score is 0.5.
+    """
     rows = cut_lineage(measured.join(picked, "doc_id").withColumn("fold", crc_fold(F.col("doc_id"), 10) % F.lit(5)))
     flat = [F.element_at("stats", i + 1) for i in range(N_STATS)]
     moments = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in flat], *[F.stddev_pop(c) for c in flat]).first()
@@ -192,8 +204,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """``docs`` without the rows scored under ``cut``; texts are judged where they lie and columns stay."""
-    model = fit(cut_lineage(with_statistics(docs)), learnable(labels))
+    """``docs`` without the rows scored under ``cut``; texts are judged where they lie and columns stay.
+
+    Only the labelled documents picked for the fit are measured before all are judged. Null and empty texts are
+    judged like any other, repeated rows each; without labels every score is 0.5 and every row stays.
+    """
+    picked = pick_labels(learnable(labels))
+    chosen = docs.select("doc_id", "text").join(picked.select("doc_id"), "doc_id", "left_semi")
+    model = fit_picked(with_statistics(chosen), picked)
     maps, at = model.maps(), docs.columns.index("text")
     names = [f"c{i}" for i in range(len(docs.columns))]
 
