@@ -13,7 +13,7 @@ import __spark_entry__ as entry_points  # noqa: E402
 from check_queries import rows_of  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-PICKED = ["tokenize_norm", "sentence_stream", "url_identity", "secret_scan", "rolling_dedupe", "build_spans", "stretch_spans", "gap_fill", "span_score", "lexical_rank", "frame_dedupe_window",
+PICKED = ["tokenize_norm", "sentence_stream", "url_identity", "secret_scan", "payload_scan", "spaced_topk", "rolling_dedupe", "build_spans", "stretch_spans", "gap_fill", "span_score", "lexical_rank", "frame_dedupe_window",
           "chunk_plan", "budget_prefix", "fallback_choice", "evidence_match", "latency_gate", "gate_decision", "gate_refused", "facet_expansion", "targeted_evidence", "coverage_evidence", "row_rules", "hash_chain", "subtitle_parse"]
 
 

@@ -76,6 +76,7 @@ NON_SPEECH = r"^\s*(?:[\[\(][^\]\)]*[\]\)]|[♪♫\s])+\s*$"
 EVIDENCE_MARKER = r"(?iU)UNTRUSTED\s+VIDEO\s+EVIDENCE"
 SECRET_KEY = ("(?i)(?:api[_-]?key|authorization|cookie|secret|password|access[_-]?token"
               "|refresh[_-]?token|bearer[_-]?token)")
+MEDIA_KINDS = ("audio", "video", "image", "frame", "frames", "crop", "media", "source_media")
 SECRET_TEXT = r"(?i)(?:authorization\s*:\s*\S+|(?:api[_-]?key|cookie|password|secret)\s*[=:]\s*\S+)"
 HOME_PATH = r"""(?:^|[\s"'=])(/Users/[^\s"'/]+/|/home/[^\s"'/]+/|~/)"""
 PRIVATE_PATH = r"""(?m)(?:^|[\s"'=])(/[^\s"']+|~/[^\s"']+|[A-Za-z]:\\[^\s"']+)"""

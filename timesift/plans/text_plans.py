@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, identity, measures, text, timecode
+from timesift.operators import payloads
 from timesift.operators.keyed import with_previous
 from timesift.plans import views
 from timesift.plans.catalog import query, table
@@ -336,6 +337,35 @@ def secret_scan(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.explode(hits).alias("rule"))
 
 
+# Fields written as "name = value" stand in lists of one-field objects, links below their page. The built-in field names do
+# not stand before such a sign in these texts, but "token" does.
+_FIELD = r"(?:^|[ \n])([A-Za-z_]+) {0,3}[=:] {0,3}([^ \n]+)"
+_FIELD_NAMES = fixed.SECRET_KEY + "|^token$"
+_FIELD_TEXT = fixed.SECRET_TEXT + "|[0-9a-f]{40}"
+
+
+@query("payload_scan", rf"""WITH f AS (SELECT doc_id, source, lang, regexp_extract_all(text, '{_FIELD}', 1) AS k, regexp_extract_all(text, '{_FIELD}', 2) AS v FROM documents),
+p AS (SELECT concat('page ', page_id) AS payload_id, to_json({{page: {{url: url, links: list_transform(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda h: {{href: h}})}}}}) AS j FROM pages
+  UNION ALL SELECT concat('doc ', doc_id), to_json({{meta: {{source: source, lang: lang}}, fields: list_transform(list_zip(k, v), lambda x: json_object(x[1], x[2]))}}) FROM f),
+n AS (SELECT payload_id, 'payload' || replace(substr(t.fullkey, 2), '"', '') AS path, CASE WHEN t.fullkey <> '$' AND NOT suffix(t.fullkey, ']') THEN t.key END AS key,
+  CASE WHEN t.type = 'VARCHAR' THEN t.atom ->> '$' END AS said FROM p, json_tree(p.j) t)
+SELECT payload_id, path, 'secret-like field' AS rule FROM n WHERE regexp_matches(key, '{_FIELD_NAMES}')
+UNION ALL SELECT payload_id, path, 'secret-like text' FROM n WHERE regexp_matches(said, '{_FIELD_TEXT}')
+UNION ALL SELECT payload_id, path, 'absolute private path' FROM n WHERE regexp_matches(said, '^(?:/|~/|\\|[A-Za-z]:\S|(?i:file:))')
+UNION ALL SELECT payload_id, path, 'non-canonical URL' FROM n WHERE contains(said, '://') AND (contains(said, '?') OR contains(said, '#'))""")
+def payload_scan(spark, sf):
+    links = F.transform(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)), lambda h: F.struct(h.alias("href")))
+    pages = table(spark, sf, "pages").select(
+        F.concat(F.lit("page "), F.col("page_id").cast("string")).alias("payload_id"),
+        F.to_json(F.struct(F.struct("url", links.alias("links")).alias("page"))).alias("payload"))
+    names, values = (F.regexp_extract_all("text", F.lit(_FIELD), F.lit(i)) for i in (1, 2))
+    docs = table(spark, sf, "documents").select(
+        F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("payload_id"),
+        F.to_json(F.struct(F.struct("source", "lang").alias("meta"),
+                           F.zip_with(names, values, lambda k, v: F.create_map(k, v)).alias("fields"))).alias("payload"))
+    return payloads.payload_violations(pages.unionByName(docs), _FIELD_NAMES, _FIELD_TEXT)
+
+
 _PATH_SPEC = ("CASE WHEN page_id % 6 = 0 THEN concat('/', p) WHEN page_id % 6 = 1 THEN concat('a/../', p) "
               "WHEN page_id % 6 = 2 THEN concat('C:', p) WHEN page_id % 6 = 3 THEN concat(p, '/./x') ELSE p END")
 
