@@ -108,3 +108,23 @@ def test_registry(spark):
     doers = spark.createDataFrame([("runner", "k")], "actor_id string, custodian_id string")
     held = ids.withColumn("custodian_id", F.lit("k"))
     assert quality.visible_rows(held, fam, doers, "runner").count() == 1 and quality.visible_rows(held, fam, doers, "other").count() == 0
+
+
+def test_a_log_is_checked_from_its_seal_and_tail(spark):
+    events = spark.createDataFrame([(log, i, 7 * i, "exposure" if (log, i) == (2, 3) else "authorized_open") for log in (1, 2) for i in range(9)],
+                                   "log_id long, idx long, item_id long, action string")
+    log = audit.append_records(events).orderBy("log_id", "idx").collect()
+    log = spark.createDataFrame(log, "log_id long, idx long, item_id long, action string, sequence long, previous_hash string, record_hash string")
+    sealed, tail = audit.seals(log.where("idx < 6")), log.where("idx >= 6")
+
+    def found(seal, rows):
+        return sorted((r.log_id, r.idx, r.rule) for r in audit.tail_violations(seal, rows).collect())
+
+    # The tail of log 2 comes after an exposure under the seal, as in the whole log.
+    spent = [(2, i, "reuses a spent cohort") for i in (6, 7, 8)]
+    assert found(sealed, tail) == spent == [x for x in sorted((r.log_id, r.idx, r.rule) for r in audit.log_violations(log).collect()) if x[1] >= 6]
+    assert found(sealed, tail.limit(0)) == []
+    assert (1, 7, "does not follow the seal") in found(sealed, tail.where("idx > 6")) and (1, 7, "previous_hash does not chain") in found(sealed, tail.where("idx > 6"))
+    assert {(1, 6, "seal does not verify"), (2, 6, "seal does not verify")} <= set(found(sealed.withColumn("exposures", F.lit(9).cast("long")), tail))
+    assert found(sealed.limit(0), log.where("log_id = 1")) == []
+    assert (1, 6, "does not follow the seal") in found(sealed.limit(0), tail)

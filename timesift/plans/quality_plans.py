@@ -10,6 +10,7 @@ from timesift.plans.catalog import query, table
 from timesift.plans.evaluation_plans import _RUNS, runs
 from timesift.plans.text_plans import indexed_points
 from timesift.plans.views import sql
+from timesift.session import cut_lineage
 
 # Run rows as an artifact table, with faults that follow from the data.
 _ARTIFACT = """SELECT l_orderkey AS case_id, l_linenumber AS line, l_partkey AS part, 'run' AS artifact_type, 1 AS schema_version,
@@ -188,22 +189,53 @@ _ACTION = "CASE kind WHEN 'click' THEN 'authorized_open' WHEN 'purchase' THEN 'e
 _BODY = "CAST(to_json({{action: {a}, item_id: {i}, previous_hash: {p}, sequence: {s}}}) AS VARCHAR)"
 
 
-@query("hash_chain", sql(f"""e AS (SELECT source_id AS log_id, item_id, {_ACTION} AS action, row_number() OVER (PARTITION BY source_id ORDER BY t, item_id) - 1 AS idx FROM v_points),
+_CHAIN = f"""e AS (SELECT source_id AS log_id, item_id, {_ACTION} AS action, row_number() OVER (PARTITION BY source_id ORDER BY t, item_id) - 1 AS idx FROM v_points),
 chain AS (SELECT log_id, idx, item_id, action, idx + 1 AS sequence, repeat('0', 64) AS previous_hash, sha256({_BODY.format(a='action', i='item_id', p="repeat('0', 64)", s='idx + 1')}) AS record_hash FROM e WHERE idx = 0
   UNION ALL SELECT e.log_id, e.idx, e.item_id, e.action, e.idx + 1, c.record_hash, sha256({_BODY.format(a='e.action', i='e.item_id', p='c.record_hash', s='e.idx + 1')}) FROM chain c JOIN e ON e.log_id = c.log_id AND e.idx = c.idx + 1),
-bent AS (SELECT log_id, idx, item_id, action, CASE WHEN item_id % 97 = 0 THEN sequence + 1 ELSE sequence END AS sequence, previous_hash, CASE WHEN item_id % 89 = 0 THEN sha256(record_hash) ELSE record_hash END AS record_hash FROM chain),
+bent AS (SELECT log_id, idx, item_id, action, CASE WHEN item_id % 97 = 0 THEN sequence + 1 ELSE sequence END AS sequence, previous_hash, CASE WHEN item_id % 89 = 0 THEN sha256(record_hash) ELSE record_hash END AS record_hash FROM chain)"""
+
+
+@query("hash_chain", sql(f"""{_CHAIN},
 v AS (SELECT *, coalesce(lag(record_hash) OVER w, repeat('0', 64)) AS before, count(*) FILTER (WHERE action = 'exposure') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent,
   sha256({_BODY.format(a='action', i='item_id', p='previous_hash', s='sequence')}) AS again FROM bent WINDOW w AS (PARTITION BY log_id ORDER BY idx))
 SELECT log_id, idx, 'non-append-only sequence' AS rule FROM v WHERE sequence <> idx + 1 UNION ALL SELECT log_id, idx, 'previous_hash does not chain' FROM v WHERE previous_hash <> before
 UNION ALL SELECT log_id, idx, 'record_hash does not verify' FROM v WHERE record_hash <> again UNION ALL SELECT log_id, idx, 'unknown action' FROM v WHERE action = 'unknown'
 UNION ALL SELECT log_id, idx, 'reuses a spent cohort' FROM v WHERE spent > 0""", "v_points"))
 def hash_chain(spark, sf):
+    return audit.log_violations(_bent(_chained(spark, sf)))
+
+
+def _chained(spark, sf):
     events = indexed_points(spark, sf).select(F.col("source_id").alias("log_id"), "idx", "item_id", F.expr(_ACTION).alias("action"))
-    chained = audit.append_records(events)
-    bent = chained.withColumns({
+    return audit.append_records(events)
+
+
+def _bent(chained):
+    """Some records changed after they were written."""
+    return chained.withColumns({
         "sequence": F.when(F.col("item_id") % 97 == 0, F.col("sequence") + 1).otherwise(F.col("sequence")),
         "record_hash": F.when(F.col("item_id") % 89 == 0, F.sha2("record_hash", 256)).otherwise(F.col("record_hash"))})
-    return audit.log_violations(bent)
+
+
+# Four fifths of every log are sealed; every eleventh seal was changed.
+@query("log_tail", sql(f"""{_CHAIN},
+n AS (SELECT log_id, count(*) * 4 // 5 AS cut FROM e GROUP BY log_id),
+s AS (SELECT log_id, count(*) + CASE WHEN log_id % 11 = 3 THEN 1 ELSE 0 END AS rows, arg_max(record_hash, idx) AS last_hash, count(*) FILTER (WHERE action = 'exposure') AS exposures
+  FROM chain JOIN n USING (log_id) WHERE idx < cut GROUP BY log_id),
+a AS (SELECT bent.*, lag(record_hash) OVER w AS before, count(*) FILTER (WHERE action = 'exposure') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent,
+  sha256({_BODY.format(a='action', i='item_id', p='previous_hash', s='sequence')}) AS again FROM bent JOIN n USING (log_id) WHERE idx >= cut WINDOW w AS (PARTITION BY log_id ORDER BY idx)),
+v AS (SELECT a.*, coalesce(rows, 0) AS sealed, coalesce(before, last_hash, repeat('0', 64)) AS due, spent + coalesce(exposures, 0) AS used FROM a LEFT JOIN s USING (log_id))
+SELECT log_id, idx, 'non-append-only sequence' AS rule FROM v WHERE sequence <> idx + 1 UNION ALL SELECT log_id, idx, 'previous_hash does not chain' FROM v WHERE previous_hash <> due
+UNION ALL SELECT log_id, idx, 'record_hash does not verify' FROM v WHERE record_hash <> again UNION ALL SELECT log_id, idx, 'unknown action' FROM v WHERE action = 'unknown'
+UNION ALL SELECT log_id, idx, 'reuses a spent cohort' FROM v WHERE used > 0 UNION ALL SELECT log_id, idx, 'does not follow the seal' FROM v WHERE before IS NULL AND idx <> sealed
+UNION ALL SELECT log_id, rows, 'seal does not verify' FROM s WHERE log_id % 11 = 3""", "v_points"))
+def log_tail(spark, sf):
+    chained = cut_lineage(_chained(spark, sf))
+    cuts = chained.groupBy("log_id").agg(F.floor(F.count(F.lit(1)) * 4 / 5).alias("cut"))
+    parted = chained.join(cuts, "log_id")
+    sealed = audit.seals(parted.where("idx < cut")).withColumn(
+        "rows", F.col("rows") + F.when(F.col("log_id") % 11 == 3, 1).otherwise(0))
+    return audit.tail_violations(sealed, _bent(parted.where("idx >= cut").drop("cut")))
 
 
 @query("coverage_gaps", sql("""req AS (SELECT DISTINCT family_id, question_class AS c FROM v_cases WHERE case_id % 2 = 0),
