@@ -255,6 +255,11 @@ def progressive_expand(ranked: DataFrame, questions: DataFrame, segments: DataFr
     """
     rows = expansion_rows(ranked, segments).groupBy(*PAIR).agg(
         F.array_sort(F.collect_list(F.struct("rank", "seg_idx", "around"))).alias("ranked"))
+    return expand_lists(rows, questions, seeds)
+
+
+def expand_lists(rows: DataFrame, questions: DataFrame, seeds: int = fixed.LEXICAL_SEEDS) -> DataFrame:
+    """``progressive_expand`` from ``(pair, ranked ARRAY<STRUCT<rank, seg_idx, around>>)``."""
     joined = rows.join(questions.select("question_id", text.obligations(F.col("text")).alias("duties")), "question_id")
     seg_type = "array<struct<at:int,text:string>>"
     start = F.flatten(F.transform(F.filter("ranked", lambda r: r["rank"] <= seeds), lambda r: F.filter(

@@ -67,6 +67,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str = "source_id") -> DataFrame:
+    """Deal rows by ``key`` into as many parts as the session shuffles into, also where rows are few.
+
+    Small parts leave room for what a step makes of a source; steps grouped by keys that hold ``key`` shuffle no more.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/timesift/{spark.sparkContext.applicationId}"
 
