@@ -46,6 +46,7 @@ def test_progressive_expand(inputs, rows):
     assert rows.got(retrieval.expand_lists(records.expansion_lists(ranked, inputs[1]), inputs[0])) == want
 
 
-@pytest.mark.parametrize("name", ["lexical_rank", "uncertainty_flag", "progressive_expand"])
+@pytest.mark.parametrize("name", ["lexical_rank", "uncertainty_flag", "progressive_expand", "span_score", "chapter_rank", "budget_rollup",
+                                  "numeric_guard", "facet_coverage", "facet_expansion", "span_rescue", "frame_specs", "spaced_evidence", "unmet_terms"])
 def test_pairs_are_made_where_their_source_lies(spark, name):
     assert pair_shuffles(all_queries()[name](spark, SF)) == []
