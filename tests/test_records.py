@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from timesift.operators import records, retrieval
+from timesift.operators import evidence, records, retrieval
 from timesift.plans import all_queries, views
 
 SF = "/root/testdata/sf0.001"
@@ -50,3 +50,29 @@ def test_progressive_expand(inputs, rows):
                                   "numeric_guard", "facet_coverage", "facet_expansion", "span_rescue", "frame_specs", "spaced_evidence", "unmet_terms"])
 def test_pairs_are_made_where_their_source_lies(spark, name):
     assert pair_shuffles(all_queries()[name](spark, SF)) == []
+
+
+@pytest.fixture(scope="module")
+def few(inputs):
+    """Some questions over some sources, chosen by both ways: (questions, scout, selection, segments)."""
+    questions, segments = inputs[0].where("question_id < 12"), inputs[1].where("source_id < 40")
+    scouted = evidence.scout(segments, one_record=True)
+    return questions, scouted, evidence.select_targeted(questions, scouted), segments
+
+
+def test_manifests(few, rows):
+    questions, scouted, chosen, segments = few
+    got = rows.got(records.manifests(records.select_targeted(questions, records.shelve(segments)), questions))
+    assert got and got == rows.got(evidence.manifests(questions, chosen, scouted))
+
+
+def test_report_lines(few, rows):
+    questions, scouted, chosen, segments = few
+    shelf = records.stamped(records.shelve(segments))
+    got = rows.got(records.report_lines(records.select_targeted(questions, shelf), questions))
+    assert got and got == rows.got(evidence.report_lines(questions, chosen, scouted))
+
+
+@pytest.mark.parametrize("name", ["targeted_evidence", "evidence_manifest", "evidence_report", "fuzzy_rescue"])
+def test_targeted_pairs_are_made_where_their_source_lies(spark, name):
+    assert pair_shuffles(all_queries()[name](spark, SF)) == []
