@@ -2,11 +2,13 @@
 
 import os
 import re
+from pathlib import Path
 
 import pytest
 
 from timesift.operators import evidence, records, retrieval
 from timesift.plans import all_queries, views
+from timesift.session import _tables_dir
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
@@ -76,3 +78,17 @@ def test_report_lines(few, rows):
 @pytest.mark.parametrize("name", ["targeted_evidence", "evidence_manifest", "evidence_report", "fuzzy_rescue"])
 def test_targeted_pairs_are_made_where_their_source_lies(spark, name):
     assert pair_shuffles(all_queries()[name](spark, SF)) == []
+
+
+def test_coverage(inputs, rows):
+    segments = inputs[1].where("source_id < 60")
+    got = rows.got(records.coverage(segments))
+    assert got and got == rows.got(evidence.select_coverage(evidence.scout(segments, one_record=True)))
+
+
+def test_coverage_writes_no_table(spark):
+    home = Path(_tables_dir(spark))
+    before = set(home.iterdir()) if home.exists() else set()
+    out = all_queries()["coverage_evidence"](spark, SF)
+    assert out.columns == ["source_id", "t_start", "t_end", "chapter", "modality", "reason"]
+    assert (set(home.iterdir()) if home.exists() else set()) == before
