@@ -6,8 +6,8 @@ from pathlib import Path
 
 import pytest
 
-from timesift.operators import evidence, records, retrieval
-from timesift.plans import all_queries, views
+from timesift.operators import compiling, evidence, records, retrieval
+from timesift.plans import all_queries, evidence_plans, views
 from timesift.session import _tables_dir
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +92,18 @@ def test_coverage_writes_no_table(spark):
     out = all_queries()["coverage_evidence"](spark, SF)
     assert out.columns == ["source_id", "t_start", "t_end", "chapter", "modality", "reason"]
     assert (set(home.iterdir()) if home.exists() else set()) == before
+
+
+def test_requests_over_a_shelf(spark, rows):
+    """Captions in which a chapter of the metadata holds no line, and requests of both kinds with limits of their own."""
+    texts = evidence_plans.captions(spark, SF).where("source_id < 25")
+    chapters = "array<struct<start_time:string,end_time:string,title:string>>"
+    told = spark.createDataFrame([(3, None, [("0", "9", "One"), ("9", "9", "none"), ("x", "1", "bad"), ("9", "900", "")]), (5, 33.0, [])],
+                                 f"source_id long, duration double, chapters {chapters}")
+    requests = evidence_plans._requests(spark, SF).where("question_id IN (1, 2, 3, 9, 19, 29)")
+    general = compiling.compile_requests(requests, compiling.scout_captions(texts, told))
+    made = compiling.compile_records(requests, records.shelve_captions(texts, told))
+    got = rows.got(compiling.record_rows(made), *sorted(general.rows.columns))
+    assert got and got == rows.got(general.rows, *sorted(general.rows.columns))
+    assert pair_shuffles(compiling.record_rows(made)) == []
+    assert rows.got(compiling.record_manifests(made)) == rows.got(compiling.manifests(general))
