@@ -39,3 +39,9 @@ def test_query_equals_sql(spark, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
 def test_entry(spark):
     assert entry_points.entry(spark).limit(1).count() == 1
+
+
+def test_hash_similarity_deals_lines_once(spark):
+    """A line is hashed once, and no line is dealt again by block."""
+    plan = entry_points.queries()["hash_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "__block" not in plan and plan.count("sha2(") == 1

@@ -407,9 +407,10 @@ def frame_stamp(spark, sf):
 SELECT source_id, seg_idx, len(list_filter(range(0, 32), lambda i: substr(a, i * 2 + 1, 2) = substr(b, i * 2 + 1, 2))) / 32.0::DOUBLE AS similarity
 FROM h WHERE b IS NOT NULL""", "v_segments"))
 def hash_similarity(spark, sf):
-    paired = with_previous(views.segments(spark, sf), ["source_id"], "seg_idx", {"before": "text"})
+    lines = views.segments(spark, sf).select("source_id", "seg_idx", identity.text_digest(F.col("text")).alias("digest"))
+    paired = with_previous(lines, ["source_id"], "seg_idx", {"before": "digest"}, None)
     return paired.where("before is not null").select(
-        "source_id", "seg_idx", identity.hash_similarity(F.col("text"), F.col("before")).alias("similarity"))
+        "source_id", "seg_idx", identity.digest_similarity(F.col("digest"), F.col("before")).alias("similarity"))
 
 
 def _frame_pairs(spark, sf):
