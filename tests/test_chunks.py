@@ -111,3 +111,15 @@ def test_tracks(spark):
     got = [r.name for r in chunks.preferred_tracks(df, ["fr", "en-US"]).orderBy("rank").collect()]
     assert got == ["video.fr.vtt", "video.en.vtt", "video.en-orig.vtt", "video.de.vtt"]
     assert spark.createDataFrame([], SEGMENT).count() == 0
+
+
+def test_loops_of_a_record_are_read_once(spark, rows):
+    """One reading and one deal of the segments; the same verdicts as for sources of any length."""
+    from timesift.plans import all_queries, views
+
+    sf = "/root/testdata/sf0.001"
+    made = all_queries()["loop_verdict"](spark, sf)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    segments = views.looped(spark, sf).where("source_id < 100")
+    runs = chunks.loop_verdict(segments, one_record=True)
+    assert rows.got(runs, "source_id", "verdict") == rows.got(chunks.loop_verdict(segments), "source_id", "verdict")

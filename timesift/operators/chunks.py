@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from timesift.functions import fixed, identity, text
@@ -257,17 +257,55 @@ def loop_periods(stream: DataFrame) -> DataFrame:
 def loop_verdict(segments: DataFrame, one_record: bool = False) -> DataFrame:
     """(source_id, verdict): the first rule that shows a decoding loop, null for none."""
     stream = sentence_stream(segments)
+    if one_record:
+        return _record_loops(stream).select("source_id", _loop_rule().alias("verdict"))
     runs, share = loop_runs(stream, one_record), loop_dominance(stream)
     spans = loop_periods(stream).groupBy("source_id").agg(F.min(F.struct("seg_idx", "period", "repeats")).alias("p"))
+    return runs.join(share, "source_id").join(spans, "source_id", "left").select("source_id", _loop_rule().alias("verdict"))
+
+
+def _loop_rule() -> Column:
     ratio = F.col("top") / F.col("n_sentences")
-    verdict = F.coalesce(
+    return F.coalesce(
         F.when(F.col("longest_run") >= fixed.LOOP_MIN_CONSECUTIVE, F.concat(
             F.lit("one sentence repeated "), F.col("longest_run").cast("string"), F.lit("x consecutively"))),
         F.when((F.col("n_sentences") >= fixed.LOOP_DOMINANCE_MIN) & (ratio > fixed.LOOP_DOMINANCE_RATIO), F.concat(
             F.lit("one sentence is "), F.col("top").cast("string"), F.lit("/"), F.col("n_sentences").cast("string"))),
         F.when(F.col("p").isNotNull(), F.concat(
             F.lit("one "), F.col("p.period").cast("string"), F.lit("-word phrase repeated "), F.col("p.repeats").cast("string"), F.lit("x"))))
-    return runs.join(share, "source_id").join(spans, "source_id", "left").select("source_id", verdict.alias("verdict"))
+
+
+def _record_loops(stream: DataFrame) -> DataFrame:
+    """(source_id, longest_run, n_sentences, top, p) in one reading of the stream: what a source needs is grouped where it lies."""
+    order = Window.partitionBy("source_id").orderBy("seg_idx", "part")
+    same = F.coalesce(F.lag("sentence").over(order) == F.col("sentence"), F.lit(False))
+    lone = F.when((F.col("parts") == 1) & (F.size(F.split("sentence", " ")) >= 2 * fixed.LOOP_INTRA_MIN_REPEATS), F.array_min(_phrases()))
+    marked = stream.withColumns({"__fresh": F.when(same, 0).otherwise(1), "__p": lone}).withColumn(
+        "__run", F.sum("__fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = marked.groupBy("source_id", "__run").agg(
+        F.first("sentence").alias("sentence"), F.count(F.lit(1)).alias("n"), F.min("__p").alias("p"))
+    said = runs.groupBy("source_id", "sentence").agg(F.sum("n").alias("all"), F.max("n").alias("longest"), F.min("p").alias("p"))
+    return said.groupBy("source_id").agg(
+        F.max("longest").alias("longest_run"), F.sum("all").alias("n_sentences"), F.max("all").alias("top"), F.min("p").alias("p"))
+
+
+def _phrases() -> Column:
+    """(seg_idx, period, repeats) of the phrases that ``loop_periods`` finds in the one sentence of a segment.
+
+    The words are bound to a variable of a lambda, so that they are cut once a sentence and not once a comparison.
+    """
+    def of(w: Column) -> Column:
+        def tried(p: Column) -> Column:
+            same = F.transform(F.sequence(F.lit(1), F.floor(F.size(w) / p).cast("int") - 1), lambda i: F.when(
+                F.slice(w, i * p + 1, p) == F.slice(w, (i - 1) * p + 1, p), "1").otherwise("0"))
+            runs = F.array_max(F.transform(F.split(F.array_join(same, ""), "0"), F.length))
+            return F.struct(F.col("seg_idx"), p.alias("period"), (runs + 1).alias("repeats"))
+
+        periods = F.sequence(F.lit(1), F.least(F.lit(fixed.LOOP_MAX_PERIOD), F.floor(F.size(w) / fixed.LOOP_INTRA_MIN_REPEATS).cast("int")))
+        return F.filter(F.transform(periods, tried), lambda x: (x["repeats"] >= fixed.LOOP_INTRA_MIN_REPEATS) & (
+            x["repeats"] * x["period"] > 0.8 * F.size(w)))
+
+    return F.flatten(F.transform(F.array(F.split("sentence", " ")), of))
 
 
 def preferred_tracks(tracks: DataFrame, languages: list[str]) -> DataFrame:
