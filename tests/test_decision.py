@@ -101,3 +101,15 @@ def test_metrics_from_rows(spark):
     bounds = {(r.metric, r.scope): r.value for r in decision.quality_metrics(cases, scores, "score", "quality", "confirmatory", 1).collect()}
     assert bounds[("quality.mean", "all")] == 2.0 and 1.5 <= bounds[("quality.lower_95", "all")] <= 2.0
     assert set(bounds) == {(f"{m}.{s}", c) for m, cs in (("quality", ["all"]), ("quality_class", ["how", "why"])) for s in ("mean", "lower_95") for c in cs}
+
+
+def test_names_read_together_equal_names_read_alone(spark):
+    rows = [(i, i % 3, "how" if i < 6 else "why", None if i == 4 else i * 0.5, 1.0 - i) for i in range(9)]
+    deltas = spark.createDataFrame(rows, "case_id long, family_id long, question_class string, quality double, recall double")
+    for split in ("development", "confirmatory"):
+        both = {tuple(r) for r in decision.delta_metrics(deltas, ["quality", "recall"], split, 3).collect()}
+        alone = set()
+        for name in ("quality", "recall"):
+            scores = deltas.selectExpr("case_id", f"inline(array(struct('control' AS arm, 0.0D AS v), struct('candidate' AS arm, {name} AS v)))")
+            alone |= {tuple(r) for r in decision.quality_metrics(deltas, scores, "v", name, split, 3).collect()}
+        assert both == alone and {m for m, _, _ in both} >= {"quality.mean", "recall_class.mean"}

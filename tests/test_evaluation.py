@@ -118,3 +118,15 @@ def test_pareto(spark):
     got = {r.k: (r.no_worse, r.regressions) for r in ev.pareto({"recall": "up", "wall": "down"}, rows, ["k"]).collect()}
     assert got == {"a": (True, ""), "b": (False, "recall|wall")}
     assert rows.where(F.col("k") == "a").count() == 2
+
+
+def test_a_sheet_holds_both_arms_of_a_case_in_one_row(spark):
+    rows = [(1, "control", 5, False), (1, "control", 7, False), (1, "control", 9, True), (1, "candidate", 4, False), (2, "candidate", 3, True),
+            (3, "odd", 1, False), (3, None, 1, False)]
+    judged = spark.createDataFrame(rows, "case_id long, arm string, citation int, refused boolean").withColumns(
+        {c: F.col("citation") for c in ("correctness", "completeness", "adherence")})
+    sheet = {r.case_id: r for r in ev.case_sheet(judged, lambda own: ev.score_means(own) | {"n": F.count_if(own)}).collect()}
+    alone = {(r.case_id, r.arm): (r.score, r.citation) for r in ev.arm_scores(judged).collect()}
+    assert set(sheet) == {1, 2, 3} and sheet[3].control is None and sheet[3].candidate is None and sheet[2].control is None
+    for case, arm, n in ((1, "control", 3), (1, "candidate", 1), (2, "candidate", 1)):
+        assert tuple(sheet[case][arm]) == (*alone[case, arm], n)

@@ -34,26 +34,37 @@ def quality_metrics(cases: DataFrame, scores: DataFrame, value: str, name: str,
 
     ``scores`` is ``(case_id, arm, value)``; cases that lack an arm take no part.
     """
-    both = ev.by_arm(scores, value).where("control IS NOT NULL AND candidate IS NOT NULL")
-    paired = cut_lineage(cases.join(both, "case_id").select(
-        "family_id", "question_class", (F.col("candidate") - F.col("control")).alias("delta")))
-    scoped = {name: (paired.withColumn("scope", _all())), f"{name}_class": paired.withColumn("scope", F.col("question_class"))}
+    paired = cases.join(ev.by_arm(scores, value), "case_id").select(
+        "family_id", "question_class", (F.col("candidate") - F.col("control")).alias(name))
+    return delta_metrics(paired, [name], split, seed)
+
+
+def delta_metrics(deltas: DataFrame, names: list[str], split: str, seed: int) -> DataFrame:
+    """As ``quality_metrics`` for several names at once: ``deltas`` is ``(family_id, question_class)`` and a column of each name.
+
+    Rows are read once, into sums by class (and family); all means are made of these.
+    """
+    family = [] if split == "development" else ["family_id"]
+    sums = cut_lineage(deltas.groupBy("question_class", *family).agg(
+        *[F.struct(F.sum(n).alias("total"), F.count(n).alias("n")).alias(n) for n in names]))
     out = None
-    for metric, rows in scoped.items():
-        if split == "development":
-            parts = _named(f"{metric}.mean", rows.groupBy("scope").agg(F.avg("delta").alias("m")), F.col("scope"), F.col("m"))
-        else:
-            families = rows.groupBy(F.col("scope").alias("metric"), "family_id").agg(F.round(F.avg("delta"), 9).alias("delta"))
-            bound = cut_lineage(ev.bootstrap_drawn(cut_lineage(families), seed))
-            parts = _named(f"{metric}.mean", bound, F.col("metric"), F.col("mean")).unionByName(
-                _named(f"{metric}.lower_95", bound, F.col("metric"), F.col("lower_95")))
-        out = parts if out is None else out.unionByName(parts)
+    for name in names:
+        for metric, scope in ((name, _all()), (f"{name}_class", F.col("question_class"))):
+            means = sums.where(F.col(name)["n"] > 0).groupBy(scope.alias("metric"), *family).agg(
+                (F.sum(F.col(name)["total"]) / F.sum(F.col(name)["n"])).alias("delta"))
+            if not family:
+                parts = _named(f"{metric}.mean", means, F.col("metric"), F.col("delta"))
+            else:
+                families = cut_lineage(means.select("metric", "family_id", F.round("delta", 9).alias("delta")))
+                bound = cut_lineage(ev.bootstrap_drawn(families, seed))
+                parts = _named(f"{metric}.mean", bound, F.col("metric"), F.col("mean")).unionByName(
+                    _named(f"{metric}.lower_95", bound, F.col("metric"), F.col("lower_95")))
+            out = parts if out is None else out.unionByName(parts)
     return out
 
 
-def completion_metrics(cases: DataFrame, runs: DataFrame) -> DataFrame:
-    """``completion.drop``, and ``completion.excess`` over the drop that a development split allows, by environment."""
-    done = ev.completion(cases, runs)
+def completion_metrics(done: DataFrame) -> DataFrame:
+    """``completion.drop``, and ``completion.excess`` over the drop that a development split allows, by environment, of ``ev.completion``."""
     drop = F.col("control") - F.col("candidate")
     scope = F.col("environment_id")
     return _named("completion.drop", done, scope, drop).unionByName(
@@ -67,8 +78,8 @@ def latency_metrics(latency: DataFrame, keys: list[str]) -> DataFrame:
     return _named("latency.excess", gates, F.concat_ws(":", *keys), F.when(F.col("enough"), excess).otherwise(F.lit(INFINITE)))
 
 
-def asr_metrics(rows: DataFrame) -> DataFrame:
-    one = ev.asr_gate(rows)
+def asr_metrics(one: DataFrame) -> DataFrame:
+    """``asr.*`` of the one row of ``ev.asr_gate``."""
     parts = {"asr.wer": F.col("wer_delta_points"), "asr.boundary_median": F.col("median_delta"), "asr.boundary_p95": F.col("p95_delta"),
              "asr.language_failed": F.when(F.col("language_pass"), 0.0).otherwise(1.0)}
     tall = one.select(F.explode(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))])).alias("metric", "value"))
@@ -80,7 +91,7 @@ def usage_metrics(usage: DataFrame, metrics: list[str], reader: str) -> DataFram
 
     ``usage`` holds a row for each case and arm with ``question_class``. A metric that appears from nothing has an infinite ratio.
     """
-    wide = ev.by_arm(ev.metric_medians(usage, ["question_class"], metrics, 100.0), "median", ["question_class", "metric"])
+    wide = cut_lineage(ev.by_arm(ev.metric_medians(usage, ["question_class"], metrics, 100.0), "median", ["question_class", "metric"]))
     ratio = F.when(F.col("control") > 0, F.col("candidate") / F.col("control")).when(F.col("candidate") > 0, F.lit(INFINITE)).otherwise(1.0)
     ratios = wide.select(F.concat(F.lit("usage."), "metric").alias("metric"), F.col("question_class").alias("scope"), F.round(ratio, 9).alias("value"))
     saved = wide.where((F.col("metric") == reader) & (F.col("control") > 0))

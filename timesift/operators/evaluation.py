@@ -7,6 +7,7 @@ rows. Everything else is grouping that combines before the shuffle.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -79,11 +80,28 @@ def rubric() -> Column:
 
 def arm_scores(judgments: DataFrame) -> DataFrame:
     """(case_id, arm, score, citation): means of judgments that were not refused, null under two."""
-    valid = ~F.col("refused")
+    return judgments.groupBy(*CASE_ARM).agg(*[c.alias(name) for name, c in score_means(F.lit(True)).items()])
+
+
+def score_means(own: Column) -> dict[str, Column]:
+    """The aggregates of ``arm_scores`` over the rows that are ``own``."""
+    valid = own & ~F.col("refused")
     enough = F.count_if(valid) >= 2
-    return judgments.groupBy(*CASE_ARM).agg(
-        F.when(enough, F.avg(F.when(valid, rubric()))).alias("score"),
-        F.when(enough, F.avg(F.when(valid, F.col("citation") / 10.0))).alias("citation"))
+    return {"score": F.when(enough, F.avg(F.when(valid, rubric()))),
+            "citation": F.when(enough, F.avg(F.when(valid, F.col("citation") / 10.0)))}
+
+
+def case_sheet(rows: DataFrame, measured: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """(case_id, control, candidate): what is ``measured`` over the rows of each arm, as structs in the one row of a case.
+
+    An arm without rows is null. ``measured`` is given the test for the arm's own rows. All that is asked of a case comes
+    from one grouping, so rows dealt by case are not shuffled again.
+    """
+    def of(arm: str) -> Column:
+        own = F.coalesce(F.col("arm") == arm, F.lit(False))
+        return F.when(F.count_if(own) > 0, F.struct(*[c.alias(name) for name, c in measured(own).items()])).alias(arm)
+
+    return rows.groupBy("case_id").agg(of("control"), of("candidate"))
 
 
 def by_arm(rows: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
@@ -185,12 +203,20 @@ def asr_gate(rows: DataFrame) -> DataFrame:
         F.max(F.when(F.col("arm") == "control", F.col("wer"))).alias("control"),
         F.max(F.when(F.col("arm") == "candidate", F.col("wer"))).alias("candidate"),
         F.max(F.when(F.col("arm") == "candidate", F.col("language"))).alias("language"),
-    ).where("control is not null and candidate is not null")
+        F.max(F.when(F.col("arm") == "control", F.col("boundary_errors"))).alias("control_errors"),
+        F.max(F.when(F.col("arm") == "candidate", F.col("boundary_errors"))).alias("candidate_errors"))
+    return asr_paired_gate(paired)
+
+
+def asr_paired_gate(cases: DataFrame) -> DataFrame:
+    """As ``asr_gate``, of one row a case: ``(control, candidate)`` WER, the ``language``, ``control_errors`` and ``candidate_errors``."""
+    paired = cases.where("control is not null and candidate is not null")
     language = paired.groupBy("language").agg(F.avg(F.col("candidate") - F.col("control")).alias("d")).agg(
         F.bool_and(F.col("d") <= 2.0).alias("language_pass"))
     overall = paired.agg((F.avg("candidate") - F.avg("control")).alias("wer_delta_points"), F.count(F.lit(1)).alias("cases"))
-    spread = rows.join(paired.select("case_id"), "case_id", "left_semi").select(
-        "arm", F.explode("boundary_errors").alias("e"))
+    spread = paired.select(F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.col(f"{arm}_errors").alias("errors"))
+                                                for arm in ("control", "candidate")])).alias("x")).select(
+        "x.arm", F.explode("x.errors").alias("e"))
     edge = order_statistics(spread, ["arm"], "e", {"median": "median", "p95": 0.95}, width=0.05)
 
     def of(arm: str, name: str) -> Column:
@@ -225,8 +251,8 @@ def completion(cases: DataFrame, runs: DataFrame) -> DataFrame:
 
 def metric_medians(rows: DataFrame, keys: list[str], metrics: list[str], width: float = 1.0) -> DataFrame:
     """(keys, arm, metric, median) of several columns at once."""
-    tall = rows.select(*keys, "arm", F.explode(F.map_from_arrays(
-        F.array(*[F.lit(m) for m in metrics]), F.array(*[F.col(m).cast("double") for m in metrics]))).alias("metric", "v"))
+    tall = rows.select(*keys, "arm", F.inline(F.array(*[
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])))
     return order_statistics(tall, [*keys, "arm", "metric"], "v", {"median": "median"}, width)
 
 
