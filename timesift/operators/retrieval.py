@@ -229,14 +229,22 @@ def rank_fusion(rankings: DataFrame, keys: list[str], k: int = fixed.RANK_FUSION
     return rankings.groupBy(*keys, "item").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 12).alias("score"))
 
 
-def uncertainty(ranked: DataFrame, questions: DataFrame) -> DataFrame:
-    """(pair, uncertain): the top two are close, or more than two obligations."""
-    tops = ranked.where("rank <= 2").groupBy(*PAIR).agg(
+def doubtful(first: Column, second: Column, duties: Column) -> Column:
+    """Nothing was ranked, the ``second`` score is close to the ``first``, or more than two obligations."""
+    close = F.coalesce((first > 0) & (second / first >= 0.92), F.lit(False))
+    return first.isNull() | close | (duties > 2)
+
+
+def uncertainty(ranked: DataFrame, questions: DataFrame, segments: DataFrame) -> DataFrame:
+    """(pair, uncertain) of each question and each source of ``segments`` that it searches: nothing was ranked, the top two are close,
+    or more than two obligations."""
+    tops = ranked.where("rank <= 2").groupBy(F.col("question_id").alias("__q"), F.col("source_id").alias("__s")).agg(
         F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("a"),
         F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("b"))
-    duties = questions.select("question_id", F.size(text.obligations(F.col("text"))).alias("duties"))
-    close = F.coalesce((F.col("a") > 0) & (F.col("b") / F.col("a") >= 0.92), F.lit(False))
-    return tops.join(duties, "question_id").select(*PAIR, (close | (F.col("duties") > 2)).alias("uncertain"))
+    duties = questions.where("question_id IS NOT NULL").select("question_id", F.size(text.obligations(F.col("text"))).alias("duties"))
+    pairs = asked_of(segments.select("source_id").distinct().crossJoin(duties), bindings(questions))
+    told = pairs.join(tops, (F.col("question_id") == F.col("__q")) & F.col("source_id").eqNullSafe(F.col("__s")), "left")
+    return told.select(*PAIR, doubtful(F.col("a"), F.col("b"), F.col("duties")).alias("uncertain"))
 
 
 def expansion_rows(ranked: DataFrame, segments: DataFrame) -> DataFrame:
