@@ -74,3 +74,18 @@ def test_few_and_no_vectors(spark):
     assert answers(nb.nearest_neighbours(spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema))) == {0: [(1, 1.0)]}
     assert nb.nearest_neighbours(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     assert nb.nearest_neighbours(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_blocks_meet_without_a_broadcast(spark, monkeypatch):
+    """Blocks are repeated only on the way to the tasks: no broadcast holds them; however they meet, the answers are the same."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(1000 + i, [1.0] * 6) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for blocks, queries, meetings in ((8, 64, 48), (2, 1, 1), (3, 2, 2)):
+        for name, value in (("BLOCK_ROWS", 25), ("QUERY_ROWS", 7), ("MEET_BLOCKS", blocks), ("MEET_QUERIES", queries), ("MEETINGS", meetings)):
+            monkeypatch.setattr(nb, name, value)
+        table = nb.usable(df)
+        pivots = nb.pick_pivots(table)
+        found = nb.search(nb.build_index(table, pivots, 25), nb.build_index(table.filter("vec_id % 10 = 0"), pivots, 7))
+        assert answers(found) == brute(rows, 10)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -24,6 +24,10 @@ PREFIX = 96
 SAMPLE_ROWS = 4_096
 """Vectors that pivots are picked from, by a hash of vec_id."""
 BLOCK_ROWS, QUERY_ROWS = 2_048, 512
+MEET_BLOCKS, MEET_QUERIES = 8, 64
+"""Blocks of vectors and of queries that meet in a task at most."""
+MEETINGS = 48
+"""Tasks that blocks of vectors are dealt to before one takes several."""
 SHARE, LEAST = 0.15, 400
 """Part of a block, and least number of its vectors, that is ranked again for a query."""
 
@@ -114,25 +118,37 @@ def build_index(vectors: DataFrame, pivots: np.ndarray, block_rows: int = BLOCK_
 def search(index: DataFrame, queries: DataFrame, k: int = 10, prefix: int = PREFIX, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """``query_id, rank, vec_id, score``: the nearest found of ``queries``, itself such an index, among ``index``.
 
-    Blocks of queries are sent to blocks of vectors by number; only ``k`` rows a query leave a block.
+    A task holds up to ``MEET_BLOCKS`` blocks of vectors and ``MEET_QUERIES`` of queries, sent there by number; ``k`` rows a query leave it at most.
     """
-    blocks = index.select("block").agg(F.max("block")).first()[0]
     schema = "query_id long, vec_id long, score double"
-    if blocks is None:
+    blocks, asked = (x.select("block").agg(F.max("block")).first()[0] for x in (index, queries))
+    if blocks is None or asked is None:
         return index.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sent = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks))).alias("block"), F.col("packed").alias("asked"))
-
-    def run(batches):
-        for batch in batches:
-            for packed, asked in zip(batch.column("packed"), batch.column("asked"), strict=True):
-                block, q = pickle.loads(packed.as_py()), pickle.loads(asked.as_py())
-                got = nearest(block, q["ids"], q["v"], q["ranks"], k, prefix, share, least)
-                cols = list(zip(*got, strict=True)) or [[], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
-                                                  pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
-    pairs = index.join(sent, "block").select("packed", "asked").repartition(F.xxhash64("packed", "asked"))
+    each = min(MEET_BLOCKS, max(1, (blocks + 1) // MEETINGS))
+    parts, turns = blocks // each + 1, asked // MEET_QUERIES + 1
+    met = index.select(F.floor(F.col("block") / each).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn"), "packed")
+    sent = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"),
+                          F.floor(F.col("block") / MEET_QUERIES).cast("int").alias("turn"), "packed")
+
+    def run(held: pa.Table, sought: pa.Table) -> pa.Table:
+        ids, scores = [np.zeros((0, 2), dtype=np.int64)], [np.zeros(0)]
+        blocks = [pickle.loads(x.as_py()) for x in held.column("packed")]
+        for x in sought.column("packed"):
+            q = pickle.loads(x.as_py())
+            got = [n for block in blocks for n in nearest(block, q["ids"], q["v"], q["ranks"], k, prefix, share, least)]
+            pair, score = np.array([n[:2] for n in got], dtype=np.int64).reshape(-1, 2), np.array([n[2] for n in got], dtype=np.float64)
+            order = np.lexsort((pair[:, 1], score, pair[:, 0]))
+            pair, score = pair[order], score[order]
+            first = np.flatnonzero(np.diff(pair[:, 0], prepend=pair[:1, 0] - 1))
+            stay = np.arange(len(pair)) - np.repeat(first, np.diff(first, append=len(pair))) < k
+            ids.append(pair[stay])
+            scores.append(score[stay])
+        pair = np.concatenate(ids)
+        return pa.table({"query_id": pair[:, 0], "vec_id": pair[:, 1], "score": np.concatenate(scores)})
+
+    pairs = met.groupBy("part", "turn").cogroup(sent.groupBy("part", "turn")).applyInArrow(run, schema)
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return (pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return (pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
 
 
