@@ -52,3 +52,17 @@ def test_a_shelf_read_once_is_not_written(spark, name):
     plan = all_queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "titled:array" not in plan and "tokens:array" not in plan
     assert plan.count("Exchange hashpartitioning(source_id") == 1 and "documents.parquet" in plan
+
+
+@pytest.mark.parametrize("cells, per_block", [(1 << 20, 100), (1, 100), (1 << 20, 1)])
+def test_weights_of_one_source(spark, monkeypatch, cells, per_block):
+    """Words that weigh in one source only, beside the same words elsewhere, of no question and of no span."""
+    monkeypatch.setattr(ranking, "CELLS", cells)
+    shelf = spark.createDataFrame(SHELVES, SPANS)
+    weights = spark.createDataFrame(WEIGHTS, "question_id long, term string, weight long")
+    own = spark.createDataFrame([(1, [(7, "blue", 2), (8, "red", 1), (7, "red", 3), (7, "absent", 9)]), (3, [(9, "none", 4), (7, "sky", 1)]), (4, [(7, "red", 1)]), (5, None)],
+                                "source_id long, own array<struct<question_id:long,term:string,weight:long>>")
+    wanted = spark.createDataFrame([(t,) for t in ("red", "sky", "blue", "fox", "never", "none", "absent")], "term string")
+    want = listed(records.ranked_pairs(records.span_scores(records.term_parts(shelf, wanted), weights, own)))
+    assert len(want) == 5
+    assert listed(ranking.ranked(shelf.join(own, "source_id", "left"), weights, hits=True, own="own", per_block=per_block)) == want
